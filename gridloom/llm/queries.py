@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, ngram_lm, quality, simhash
+from gridloom.llm import bpe, chat, mixing, ngram_lm, quality, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,10 +58,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bpe, op3_lm_score, op6_simhash, op7_chat_format, op9_quality_rules, op10_mixing]
+    found = [op2_bpe, op3_lm_score, op4_topk, op5_toxicity, op6_simhash, op7_chat_format, op9_quality_rules, op10_mixing]
     return {f.__name__: f for f in found}
 
 
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v as q, v as c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select * from r where rank <= 5
+"""
+
 OP9_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
@@ -109,4 +132,4 @@ from d join e on d.source is not distinct from e.source left join k on d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_topk": OP4_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
