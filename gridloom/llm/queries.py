@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, line_dedup, mixing, ngram_lm, quality, simhash, topk, toxicity
+from gridloom.llm import bpe, chat, line_dedup, mixing, ngram_lm, quality, simhash, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(probe))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(rows, quality.POLICIES["standard", 1])
@@ -63,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_bpe, op3_lm_score, op4_topk, op5_toxicity, op6_simhash, op7_chat_format, op9_quality_rules, op10_mixing]
+    found = [op1_line_dedup, op2_bpe, op3_lm_score, op4_topk, op5_toxicity, op6_simhash, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_mixing]
     return {f.__name__: f for f in found}
 
 
