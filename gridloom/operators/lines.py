@@ -46,13 +46,15 @@ def cells_on_lines(rays: DataFrame, dims: tuple, size: int = CELL) -> DataFrame:
     """Every cell that a line crosses, in order: ``step, c0, c1, cx, cy, cz``. Lines carry their interval t0, t1 in voxel
     units. The crossings of each axis' planes are listed, sorted together, and each stretch between two different ones
     belongs to the cell of its middle; lines that cross an edge take one step."""
-    crossings = []
-    for a, n in zip(AXES, dims, strict=True):
-        o, d = F.col(f"o{a}"), F.col(f"d{a}")
+
+
+    def crossings(axis: str, n: int) -> Column:
+        o, d = F.col(f"o{axis}"), F.nullif(F.col(f"d{axis}"), F.lit(0.0))
         planes = F.sequence(F.lit(0), F.lit(-(-n // size) * size), F.lit(size))
-        hits = F.transform(planes, lambda p, o=o, d=d: (p - o) / F.nullif(d, F.lit(0.0)))
-        crossings.append(F.filter(hits, lambda t: (t > F.col("t0")) & (t < F.col("t1"))))
-    times = F.array_sort(F.array_distinct(F.concat(F.array("t0", "t1"), *crossings)))
+        return F.filter(F.transform(planes, lambda p: (p - o) / d), lambda t: (t > F.col("t0")) & (t < F.col("t1")))
+
+    found = [crossings(a, n) for a, n in zip(AXES, dims, strict=True)]
+    times = F.array_sort(F.array_distinct(F.concat(F.array("t0", "t1"), *found)))
     rows = rays.withColumn("times", times)
     pairs = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.struct((i - 1).alias("step"), F.element_at("times", i).alias("c0"), F.element_at("times", i + 1).alias("c1")))
     rows = rows.withColumn("p", F.explode(pairs)).select(*rays.columns, "p.*")
