@@ -60,12 +60,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``uid, id, source, size`` of each document; uid numbers rows, as ids may repeat."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"))
+    """``uid, row_key, id, source, size`` of each document; uid numbers rows, as ids may repeat, and row_key is a hash of
+    the row."""
+    row_key = F.xxhash64(id_column, source_column, text_column).alias("row_key")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), row_key, F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"))
 
 
 def plays(sizes: DataFrame, aims: DataFrame, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """Every play of every document, with its finish time: uid, id, source, size, pass, pick, vft.
+    """Every play of every document, with its finish time: uid, row_key, id, source, size, pass, pick, vft.
 
     ``passes`` is the most times that a document can be taken; the targets' limit must not exceed it.
     """
@@ -88,7 +90,7 @@ def plays(sizes: DataFrame, aims: DataFrame, passes: int = 2, seed: str = "mix")
     return (
         rows.withColumn("run", F.sum("size").over(within))
         .join(slices, where)
-        .select("uid", "id", "source", "size", "pass", "pick", ((F.col("before") + F.col("run")) / F.col("target")).alias("vft"))
+        .select("uid", "row_key", "id", "source", "size", "pass", "pick", ((F.col("before") + F.col("run")) / F.col("target")).alias("vft"))
     )
 
 
@@ -132,12 +134,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     Texts are shuffled once, by a hash of the row. Rows that are alike share the plays of that hash evenly.
     """
     columns = docs.columns
+    sizes, _, taken = mix(docs, weights, share, most, seed, id_column, text_column, source_column)
+    times = taken.groupBy("row_key").agg(F.count("*").alias("__plays"))
+    copies = sizes.groupBy("row_key").agg(F.count("*").alias("__copies"))
     keyed = docs.withColumn("__key", F.xxhash64(id_column, source_column, text_column))
-    # the key stands for the id: sizes then carry what the texts are joined on
-    sizes, _, taken = mix(keyed.select(F.struct("__key", id_column).alias("__row"), text_column, source_column), weights, share, most, seed, "__row", text_column, source_column)
-    times = taken.groupBy(F.col("id")["__key"].alias("__key")).agg(F.count("*").alias("__plays"))
-    copies = sizes.groupBy(F.col("id")["__key"].alias("__key")).agg(F.count("*").alias("__copies"))
-    rows = keyed.join(times.join(copies, "__key"), "__key")
+    rows = keyed.join(times.join(copies, "row_key").withColumnRenamed("row_key", "__key"), "__key")
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     share_of = F.floor(F.col("__plays") / F.col("__copies")).cast("int") + F.when(nth <= F.col("__plays") % F.col("__copies"), 1).otherwise(0)
     rows = rows.withColumn("__times", share_of).filter("__times > 0")

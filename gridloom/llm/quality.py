@@ -89,10 +89,8 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     head = [source.schema["id"], *carried]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head] + [f"{m} long" for m in MEASURES])
     bits = sum((F.expr(f"case when {rule} then {1 << bit} else 0 end").cast("long") for bit, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
-    out = map_batches(source, run, schema).withColumn("failures", bits).withColumnRenamed("id", id_column)
-    for i, c in enumerate(keep):
-        out = out.withColumnRenamed(f"kept_{i}", c)
-    return out
+    out = map_batches(source, run, schema)
+    return out.select(F.col("id").alias(id_column), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, bits.alias("failures"))
 
 
 def fails(policy: Policy) -> Column:
@@ -115,6 +113,9 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with all their columns."""
-    rows = ledger(docs, id_column, text_column, tuple(c for c in docs.columns if c != id_column))
-    return apply_policy(rows, policy).filter("kept").select(*docs.columns)
+    """The documents that the policy keeps, with all their columns, whatever these are called."""
+    names = docs.columns
+    carried = docs.toDF(*[f"column_{i}" for i in range(len(names))])
+    key, text = f"column_{names.index(id_column)}", f"column_{names.index(text_column)}"
+    rows = ledger(carried, key, text, tuple(c for c in carried.columns if c != key))
+    return apply_policy(rows, policy).filter("kept").select(*carried.columns).toDF(*names)
