@@ -54,3 +54,10 @@ def tasks_of(spark: SparkSession) -> int:
 
 def null_as_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def small_or_shuffled(df: DataFrame, most_rows: int, weight: str | None = None) -> DataFrame:
+    """The rows with a broadcast hint if there are at most ``most_rows`` of them (or of the sum of the column ``weight``);
+    otherwise as they are, for a shuffled join. ``df`` should be cheap to count, as it is counted."""
+    size = df.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_rows else df
