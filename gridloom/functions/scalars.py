@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import DoubleType
 
 #: Storage types of raw volumes: name -> (numpy type, largest value of integer types or None).
@@ -154,8 +153,9 @@ def length(a: tuple) -> Column:
 
 
 def unit(a: tuple) -> tuple:
-    n = length(a)
-    return tuple(x / n for x in a)
+    """A vector of length 1, or zero for a zero vector."""
+    n = F.nullif(length(a), F.lit(0.0))
+    return tuple(F.coalesce(x / n, F.lit(0.0)) for x in a)
 
 
 def triangle_normal(a: tuple, b: tuple, c: tuple) -> tuple:

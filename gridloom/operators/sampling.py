@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.functions.scalars import clamp, coordinates
 
@@ -71,15 +73,10 @@ def resample(spark: SparkSession, voxels: DataFrame, dims: tuple, new_dims: tupl
 
 def sample_field(points: DataFrame, field: Callable) -> DataFrame:
     """Values of a user's field: ``field(px, py, pz)`` gets and gives numpy arrays, batch by batch."""
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             table = pa.table(batch)
             values = field(*(table[f"p{a}"].to_numpy() for a in AXES))
             yield from table.append_column("v", pa.array(values, pa.float64())).to_batches()
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType(points.schema.fields).add("v", "double")
-    return points.mapInArrow(run, schema)
+    return points.mapInArrow(run, StructType([*points.schema.fields, StructField("v", DoubleType())]))

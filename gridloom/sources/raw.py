@@ -2,8 +2,8 @@
 
 ``spark.read.format("raw_volume")`` reads flat grids (x fastest) as ``t, x, y, z, v``: options ``path`` (several, one per
 time step, separated by commas), ``dims`` ("nx,ny,nz"), ``dtype``, ``offset``, ``big_endian``, ``slab`` (z-slices of a
-partition), and for a sample of blocks ``fraction`` and ``seed``. Filters on z and t choose the partitions. The files
-must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit floats, one file
+partition), ``z_from`` and ``z_to`` (only these slices are read), and for a sample of blocks ``fraction`` and ``seed``.
+The files must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit floats, one file
 per task, each named by its first voxel, and a manifest.
 """
 
@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from gridloom.functions.scalars import DTYPES
+from gridloom.operators.cells import clip
 
 SCHEMA = "t int, x int, y int, z int, v double"
 BLOCK_BYTES = 32768
@@ -48,26 +49,14 @@ class RawReader(DataSourceReader):
         self.type = value_type(options.get("dtype", "FLOAT").upper(), str(options.get("big_endian", "false")).lower() == "true")
         self.offset, self.slab = int(options.get("offset", 0)), int(options.get("slab", 16))
         self.fraction, self.seed = float(options.get("fraction", 1.0)), int(options.get("seed", 1337))
-        self.low, self.high, self.t_low, self.t_high = 0, self.dims[2] - 1, 0, len(self.paths) - 1
-
-    def pushFilters(self, filters):
-        """z and t bounds choose slabs and files; Spark still applies every filter to the rows."""
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("z",), ("t",)):
-                lo, hi = ("low", "high") if f.attribute == ("z",) else ("t_low", "t_high")
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    setattr(self, lo, max(getattr(self, lo), int(f.value) + isinstance(f, GreaterThan)))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    setattr(self, hi, min(getattr(self, hi), int(f.value) - isinstance(f, LessThan)))
-            yield f
+        self.low, self.high = max(0, int(options.get("z_from", 0))), min(self.dims[2], int(options.get("z_to", self.dims[2]))) - 1
 
     def partitions(self):
         plane = self.dims[0] * self.dims[1] * self.type.itemsize
         return [
             Slab(path, t, z, min(z + self.slab, self.high + 1), self.offset + z * plane)
             for t, path in enumerate(self.paths)
-            if self.t_low <= t <= self.t_high
-            for z in range(self.low - self.low % self.slab if self.fraction == 1.0 else self.low, self.high + 1, self.slab)
+            for z in range(self.low, self.high + 1, self.slab)
         ]
 
     def rows_of(self, z: int, t: int) -> np.ndarray:
@@ -152,7 +141,6 @@ class RawVolume(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawVolume)
 
 
@@ -166,6 +154,11 @@ def read_raw_volume(spark: SparkSession, paths: list[str] | str, dims: tuple, dt
     return reader.load()
 
 
+def read_region(spark: SparkSession, paths: list[str] | str, dims: tuple, lower: tuple, upper: tuple, **options) -> DataFrame:
+    """The voxels of a box, upper bounds excluded; slices outside it are not read."""
+    return clip(read_raw_volume(spark, paths, dims, z_from=lower[2], z_to=upper[2], **options), lower, upper)
+
+
 def write_raw_volume(voxels: DataFrame, path: str) -> tuple[float, float]:
     """Writes x-fastest slabs and returns the smallest and largest value written."""
     register(voxels.sparkSession)
