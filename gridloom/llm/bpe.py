@@ -30,7 +30,7 @@ from gridloom.llm.text import map_batches
 
 #: Fixed values of the vocabulary's file format: its word pattern with Unicode's White_Space characters as
 #: white space, and the printable stand-ins of the 256 byte values in byte-level BPE.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
 SPACE_RUN = regex.compile(f"[{SPACES}]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
