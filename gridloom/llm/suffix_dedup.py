@@ -23,10 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.text import Batches, map_batches, null_as_empty, saved, tasks_of, texts_of
+from gridloom.llm.text import Batches, map_batches, null_as_empty, saved, small_or_shuffled, tasks_of, texts_of
 
 LENGTH, GRAM = 200, 64
 BATCH = 4_000_000
@@ -159,7 +160,7 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
     words, grams = words_of(padded, n + depth), gram_hashes(padded)
     rising = smaller_than_next(data)
     direct = sort_directly(np.flatnonzero(rising), words, grams, depth)
-    by_first = data[direct]
+    cuts = np.searchsorted(data[direct].astype(np.int16), np.arange(257, dtype=np.int16))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
     pending[data[-1]].append(np.array([n - 1]))  # the last suffix has only the empty one after it
     out = []
@@ -170,8 +171,7 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
             induced.append(layer)
             before = layer[layer > 0] - 1
             layer = before[data[before] == c]
-        lo, hi = np.searchsorted(by_first, [c, c + 1])
-        bucket = np.concatenate([*induced, direct[lo:hi]])
+        bucket = np.concatenate([*induced, direct[cuts[c] : cuts[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
@@ -266,23 +266,23 @@ def repeats(texts: DataFrame) -> DataFrame:
 
 
 def stretch_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes of the stretches to compare, once per task: ``anchor, content, key, first, n, copies, bytes``."""
+    """The bytes of the stretches to compare, those with copies once per task: ``anchor, content, key, first, n, copies,
+    bytes``."""
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode() if isinstance(text, str) else text
+            for key, raw, found in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for p in found:
-                    if p["compare"] and not (p["copies"] and p["content"] in seen):
+                    if not (p["copies"] and p["content"] in seen):
                         seen.add(p["content"])
                         rows.append((p["anchor"], p["content"], key, p["first"], p["n"], p["copies"], raw[p["first"] : p["first"] + p["n"] + LENGTH - 1]))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "content", "key", "first", "n", "copies", "bytes"])
 
-    wanted = places.filter(F.exists("places", lambda p: p["compare"]))
+    wanted = places.filter(F.size("compare") > 0).select("key", "compare")
     return texts.select("key", "text").join(wanted, "key").mapInArrow(run, "anchor long, content long, key long, first int, n int, copies boolean, bytes binary")
 
 
@@ -327,28 +327,57 @@ def compare(stretch_rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, first int, n int")
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """``key, runs``: for every text with repeated windows, runs (first, n) of their starts."""
-    hits = place_rows(texts).join(repeats(texts), "content")
-    places = saved(hits.groupBy("key").agg(F.collect_list(F.struct("first", "n", "content", "anchor", "copies", "compare")).alias("places")))
-    own = F.transform(F.filter("places", lambda p: p["copies"]), lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n")))
-    compared = compare(stretch_texts(texts, places)).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("more"))
-    none = F.array().cast("array<struct<first:int,n:int>>")
-    return places.select("key", own.alias("own")).join(compared, "key", "left").select("key", F.concat("own", F.coalesce("more", none)).alias("runs"))
+#: A run of windows as one number: start, then how many.
+RUN_BITS = 32
+#: So many runs of all texts together are broadcast to the scan of the texts; beyond, texts are shuffled to them.
+SMALL = 2_000_000
+
 
+def packed_run() -> Column:
+    return F.shiftleft(F.col("first").cast("long"), RUN_BITS) + F.col("n")
 
-def kept_bytes(raw: bytes, runs: list[dict]) -> tuple[bytes, int]:
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """``key, runs``: for every text with repeated windows, the runs of their starts."""
+    hits = place_rows(texts).join(repeats(texts), "content")
+    to_compare = F.when(F.col("compare"), F.struct("first", "n", "content", "anchor", "copies"))
+    places = saved(hits.groupBy("key").agg(F.collect_list(F.when(F.col("copies"), packed_run())).alias("own"), F.collect_list(to_compare).alias("compare")))
+    compared = compare(stretch_texts(texts, places)).groupBy("key").agg(F.collect_list(packed_run()).alias("more"))
+    none = F.array().cast("array<bigint>")
+    rows = places.select("key", "own").join(compared, "key", "left").select("key", F.concat("own", F.coalesce("more", none)).alias("runs"))
+    return saved(map_batches(rows.filter(F.size("runs") > 0), joined_runs, "key long, runs array<bigint>").withColumn("n_runs", F.size("runs")))
+
+
+def joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Runs that touch or overlap become one."""
+    lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((flat, row))
+    row, runs = row[order], flat[order]
+    begin = runs >> RUN_BITS
+    # ends are made to rise from row to row, so that one running maximum serves all rows
+    shift = row * (1 << 40)
+    reach = np.maximum.accumulate(begin + (runs & ((1 << RUN_BITS) - 1)) + shift)
+    new = np.r_[True, (row[1:] != row[:-1]) | (begin[1:] + shift[1:] > reach[:-1])]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:] - 1, len(runs) - 1]
+    out = begin[first] << RUN_BITS | (reach[last] - shift[last] - begin[first])
+    offsets = np.searchsorted(row[first], np.arange(len(lengths) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))], ["key", "runs"])
+
+
+def kept_bytes(raw: bytes, runs: np.ndarray) -> tuple[bytes, int]:
     """The bytes that no repeated window covers, and the number of removed runs of bytes."""
-    spans = sorted((r["first"], r["first"] + r["n"] + LENGTH - 1) for r in runs)
-    parts, at, removed = [], 0, 0
-    for a, b in spans:
-        if a > at or not removed:
-            removed += 1
-        if a > at:
-            parts.append(raw[at:a])
-        at = max(at, b)
-    parts.append(raw[at:])
-    return b"".join(parts), removed
+    runs = np.sort(runs)
+    if not len(runs):
+        return raw, 0
+    begin = runs >> RUN_BITS
+    end = begin + (runs & ((1 << RUN_BITS) - 1)) + LENGTH - 1
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]])
+    spans = list(zip(begin[first].tolist(), reach[np.r_[first[1:] - 1, len(runs) - 1]].tolist(), strict=True))
+    return b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(raw)], strict=True)), len(spans)
 
 
 def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -358,13 +387,16 @@ def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for raw, runs in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            kept, n = kept_bytes(raw, runs) if runs else (raw, 0)
+        lengths = np.asarray(pa.compute.fill_null(batch.column(2).value_lengths(), 0))
+        ends = np.cumsum(lengths)
+        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        for raw, a, b in zip(texts_of(batch.column(1)), (ends - lengths).tolist(), ends.tolist(), strict=True):
+            kept, n = kept_bytes(raw, flat[a:b])
             out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = texts.join(repeated_runs(texts), "key", "left").select("doc_id", "text", "runs")
+    rows = texts.join(small_or_shuffled(repeated_runs(texts), SMALL, "n_runs"), "key", "left").select("doc_id", "text", "runs")
     out = map_batches(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")

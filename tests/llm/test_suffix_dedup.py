@@ -34,9 +34,10 @@ def test_suffix_array_is_in_order():
         assert all(a <= b for a, b in zip(got, got[1:], strict=False))
 
 
-@pytest.mark.parametrize("batch", [3000, 4_000_000])
-def test_equals_brute_force(spark, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "small"), [(3000, 0), (4_000_000, 2_000_000)])
+def test_equals_brute_force(spark, monkeypatch, batch, small):
     monkeypatch.setattr(sd, "BATCH", batch)
+    monkeypatch.setattr(sd, "SMALL", small)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
     fresh = lambda n: " ".join(word() for _ in range(n))
