@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
-from gridloom.operators import cells, isosurface, lines, pyramid, quality, sampling
-from gridloom.sources.tables import Grid, embedding_grid, event_series, sales_grid
+from gridloom.functions import transfer
+from gridloom.operators import blocks, cells, isosurface, lines, pyramid, quality, sampling
+from gridloom.sources.tables import Grid, embedding_grid, event_series, sales_grid, table
 
 TF_KNOTS = [0.0 if i % 5 == 0 else i / 64 for i in range(33)]
 #: Grid of sample points; none lies on a voxel centre.
@@ -533,9 +534,26 @@ def j5_triangles(spark, sf_dir):
     return rounded(isosurface.vertices(surface_cells(spark, sf_dir), ISO), "vx", "vy", "vz")
 
 
-@query()
+PLACES = [p + axis for p in "abc" for axis in "xyz"]
+QUOTED = ", ".join(f'"{p}"' for p in PLACES)
+EDGE_VECTORS = ", ".join(f"{e}{a} / nullif(sqrt({e}x * {e}x + {e}y * {e}y + {e}z * {e}z), 0) as {e}{a}" for e in "uw" for a in "xyz")
+
+
+@query(
+    VERTEX
+    + ", tg as (select cell_id, cast(n // 3 as int) as tri, "
+    + ", ".join(f"max(v{p[1]}) filter (n % 3 = {'abc'.index(p[0])}) as \"{p}\"" for p in PLACES)
+    + " from vx group by 1, 2), te as (select *, "
+    + ", ".join(f'"b{a}" - "a{a}" as u{a}, "c{a}" - "a{a}" as w{a}' for a in "xyz")
+    + f" from tg), tu as (select cell_id, tri, {QUOTED}, {EDGE_VECTORS} from te) select cell_id, tri, "
+    + ", ".join(f'round("{p}", 6) + 0e0 as "{p}"' for p in PLACES)
+    + ", "
+    + ", ".join(f"round(coalesce(u{b} * w{c} - u{c} * w{b}, 0e0), 6) + 0e0 as n{a}" for a, b, c in ("xyz", "yzx", "zxy"))
+    + " from tu"
+)
 def p16_normals(spark, sf_dir):
-    return isosurface.triangles(isosurface.vertices(surface_cells(spark, sf_dir), ISO))
+    rows = isosurface.triangles(isosurface.vertices(surface_cells(spark, sf_dir), ISO))
+    return rounded(rows, *PLACES, "nx", "ny", "nz")
 
 
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
@@ -564,6 +582,152 @@ def a20_ratio(spark, sf_dir):
     return rounded(pyramid.size_report(pyramid.fit(g.voxels, dims, CONFIG), dims), "ratio")
 
 
+# --- positions, colours, blocks ------------------------------------------------------------------------------------
+
+
+@query("select x, y, z, (x + 0.5e0) / nx as px, (y + 0.5e0) / ny as py, (z + 0.5e0) / nz as pz from ve, rg")
+def p5_centres(spark, sf_dir):
+    g = embedding_grid(spark, sf_dir)
+    return g.voxels.select("x", "y", "z", *[S.centre(F.col(a), n).alias(f"p{a}") for a, n in zip("xyz", (g.nx, g.ny, g.nz), strict=True)])
+
+
+@query("select x, y, z, greatest(least((x + 0.5e0) / nx * 9 + 4, 12.5e0), 4.5e0) - 0.5e0 as node from ve, rg")
+def p6_node_position(spark, sf_dir):
+    """Position along x within a box of eight cells from the fourth."""
+    g = embedding_grid(spark, sf_dir)
+    return g.voxels.select("x", "y", "z", S.node_centred(S.centre(F.col("x"), g.nx), 8, 4).alias("node"))
+
+
+PLACED = [2.0, 0.0, 0.5, -64.0, 0.0, 1.0, 0.25, -10.0, 0.0, 0.0, 4.0, -3.0]
+
+
+@query("select x, y, z, 2e0 * x + 0.5e0 * z - 64e0 as wx, y + 0.25e0 * z - 10e0 as wy, 4e0 * z - 3e0 as wz, cast(x as double) as ox, cast(y as double) as oy, cast(z as double) as oz from ve")
+def p7_object_space(spark, sf_dir):
+    """Voxels in world space, and from there back in object space."""
+    v = embedding_grid(spark, sf_dir).voxels.select("x", "y", "z")
+    v = v.withColumns(dict(zip(("wx", "wy", "wz"), S.affine((F.col("x"), F.col("y"), F.col("z")), PLACED), strict=True)))
+    back = S.affine((F.col("wx"), F.col("wy"), F.col("wz")), S.inverse_affine(PLACED))
+    return rounded(v.withColumns(dict(zip(("ox", "oy", "oz"), back, strict=True))), "ox", "oy", "oz")
+
+
+OPACITY_POINTS = [(0.0, 0.005), (0.3, 0.6), (1.0, 0.25)]
+BUMPS = [(0.5, 0.1, 0.8), (0.8, 0.05, 0.4)]
+PER_KNOT = ", kn as (select cast(floor(v * 32 + 0.5e0) as int) as i, count(*) as voxels from vn group by 1)\n"
+
+
+def per_knot(spark: SparkSession, sf_dir: str, table: DataFrame) -> DataFrame:
+    """Number of voxels nearest to each knot of a transfer function."""
+    near = grid(spark, sf_dir).voxels.groupBy(F.floor(F.col("v") * 32 + 0.5).cast("int").alias("i")).agg(F.count("*").alias("voxels"))
+    return rounded(near.join(F.broadcast(table.select("i", "a")), "i"), "a")  # the table has 33 rows
+
+
+@query(PER_KNOT + "select i, voxels, round(case when i = 0 then 0e0 when i / 32e0 <= 0.3e0 then 0.005e0 + i / 32e0 / 0.3e0 * 0.595e0 else 0.6e0 - (i / 32e0 - 0.3e0) / 0.7e0 * 0.35e0 end, 6) as a from kn")
+def p10_tfn_table(spark, sf_dir):
+    return per_knot(spark, sf_dir, transfer.evenly(spark, OPACITY_POINTS, len(TF_KNOTS)))
+
+
+@query(PER_KNOT + "select i, voxels, round(least(0.8e0 * exp(-pow(i / 32e0 - 0.5e0, 2) / 0.02e0) + 0.4e0 * exp(-pow(i / 32e0 - 0.8e0, 2) / 0.005e0), 1e0), 6) as a from kn")
+def p11_tfn_bumps(spark, sf_dir):
+    return per_knot(spark, sf_dir, transfer.gaussians(spark, BUMPS, len(TF_KNOTS)))
+
+
+@query(sql_round("select x, y, z, abs(v - round(v, 1)) as l1, (v - round(v, 1)) * (v - round(v, 1)) as l2 from vn", "l1", "l2"))
+def p15_errors(spark, sf_dir):
+    v = grid(spark, sf_dir).voxels
+    rows = quality.align(v, distorted(v))
+    return rounded(rows.select("x", "y", "z", S.l1(F.col("ref"), F.col("pred")).alias("l1"), S.l2(F.col("ref"), F.col("pred")).alias("l2")), "l1", "l2")
+
+
+@query(sql_round("select z, avg(pow(abs(v - round(v, 1)), 3)) as loss from vn group by z", "loss"))
+def x3_user_metric(spark, sf_dir):
+    """A loss that the caller gives, over aligned volumes, slice by slice."""
+    v = grid(spark, sf_dir).voxels
+    return rounded(quality.mean_loss(quality.align(v, distorted(v)), F.pow(F.abs(F.col("ref") - F.col("pred")), 3), "z"), "loss")
+
+
+@query(sql_round("select x, y, z, case when z % 2 = 0 then 255e0 * v else v end as raw from vn", "raw"))
+def p3_raw_value(spark, sf_dir):
+    """Fractions of a type's range: bytes in even slices, floating-point values in odd ones."""
+    dtype = F.when(F.col("z") % 2 == 0, "UNSIGNED_BYTE").otherwise("FLOAT")
+    return rounded(grid(spark, sf_dir).voxels.select("x", "y", "z", S.raw_value(dtype, F.col("v")).alias("raw")), "raw")
+
+
+@query("select z, count(*) as close from vn where abs(v - round(v, 2)) <= 0.0001e0 * greatest(abs(v), abs(round(v, 2))) group by z")
+def p20_is_close(spark, sf_dir):
+    v = F.col("v")
+    return grid(spark, sf_dir).voxels.filter(S.is_close(v, F.round(v, 2), 0.0001)).groupBy("z").agg(F.count("*").alias("close"))
+
+
+@query(
+    """, rgb as (select x, y, z, cast(floor(255.99e0 * v) as bigint) as r, cast(floor(255.99e0 * (1 - v)) as bigint) as g, cast(floor(255.99e0 * (v * v)) as bigint) as b, cast(floor(255.99e0 * 0.5e0) as bigint) as a from vn)
+select x, y, z, r + 256 * g + 65536 * b + 16777216 * a as rgba, cast(g as int) as green from rgb"""
+)
+def p19_rgba(spark, sf_dir):
+    v = F.col("v")
+    packed = S.pack_rgba(*[S.to_byte(c) for c in (v, 1 - v, v * v, F.lit(0.5))])
+    rows = grid(spark, sf_dir).voxels.select("x", "y", "z", packed.alias("rgba"))
+    return rows.withColumn("green", S.unpack_rgba(F.col("rgba"))[1])
+
+
+@query(sql_round("select x, y, z, 0.212671e0 * v + 0.715160e0 * (1 - v) + 0.072169e0 * (v * v) as grey from vn", "grey"))
+def p21_luminance(spark, sf_dir):
+    v = F.col("v")
+    return rounded(grid(spark, sf_dir).voxels.select("x", "y", "z", S.luminance(v, 1 - v, v * v).alias("grey")), "grey")
+
+
+@query(
+    f"""select cast(floor(32 * ((x + 0.5e0 - 32e0) * {80 / 6656!r}e0 + (z + 0.5e0) * {16 / 6656!r}e0 + 0.5e0)) as int) as i,
+  cast(floor(32 * ((y + 0.5e0 - 10e0) * {24 / 640!r}e0 + (z + 0.5e0) * {8 / 640!r}e0 + 0.5e0)) as int) as j, count(*) as points from ve group by 1, 2"""
+)
+def p22_screen_density(spark, sf_dir):
+    """Voxels per pixel of a slanted screen."""
+    centre = tuple(F.col(a) + 0.5 for a in "xyz")
+    sx, sy = S.screen(centre, (32.0, 10.0, 0.0), (80.0, 0.0, 16.0), (0.0, 24.0, 8.0))
+    rows = embedding_grid(spark, sf_dir).voxels.select(F.floor(sx * 32).cast("int").alias("i"), F.floor(sy * 32).cast("int").alias("j"))
+    return rows.groupBy("i", "j").agg(F.count("*").alias("points"))
+
+
+@query(
+    """, b1 as (select x, y, z, sum(v) over (partition by y, z order by x rows between 3 preceding and 3 following) as v from vl),
+b2 as (select x, y, z, sum(v) over (partition by x, z order by y rows between 3 preceding and 3 following) as v from b1)
+select x, y, z, cast(sum(v) over (partition by x, y order by z rows between 3 preceding and 3 following) as bigint) as v from b2"""
+)
+def w2_box_sums(spark, sf_dir):
+    return quality.box_sums(sales_grid(spark, sf_dir).voxels, ["v"])
+
+
+@query(sql_round('select x, y, z, exp(coalesce(sum(ln(1 - a)) over (partition by y, z order by x desc rows between unbounded preceding and 1 preceding), 0e0)) as "T" from al', '"T"'))
+def w4_axis_transmittance(spark, sf_dir):
+    rows = opaque(grid(spark, sf_dir).voxels).withColumn("along", -F.col("x"))
+    return rounded(lines.transmittance(rows, ["y", "z"], "along").select("x", "y", "z", "T"), "T")
+
+
+BRICK = """select cast(p.b as int) as bx, cast(q.b as int) as by, cast(r.b as int) as bz, count(*) as voxels, cast(sum(v) as bigint) as total
+from vl join {b} as p on x >= p.b * 32 - {h} and x < p.b * 32 + 32 + {h} join {b} as q on y >= q.b * 32 - {h} and y < q.b * 32 + 32 + {h}
+join {b} as r on z >= r.b * 32 - {h} and z < r.b * 32 + 32 + {h} group by 1, 2, 3"""
+
+
+def brick_totals(spark: SparkSession, sf_dir: str, halo: int) -> DataFrame:
+    g = sales_grid(spark, sf_dir)
+    return blocks.bricks(g.voxels, (g.nx, g.ny, g.nz), 32, halo).groupBy("bx", "by", "bz").agg(F.count("*").alias("voxels"), F.sum("v").alias("total"))
+
+
+@query(BRICK.format(b="(select unnest([0, 1]) as b)", h=1))
+def j11_halo_bricks(spark, sf_dir):
+    return brick_totals(spark, sf_dir, 1)
+
+
+@query(BRICK.format(b="(select unnest([0, 1]) as b)", h=0))
+def l6_bricks(spark, sf_dir):
+    return brick_totals(spark, sf_dir, 0)
+
+
+@query(sql_round("select event_type, count(*) as frames, sum(value) as total, avg(value) as mean, count(*) / nullif(sum(value), 0) as fps from events group by event_type", "total", "mean", "fps"))
+def a17_timing_summary(spark, sf_dir):
+    frames = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("seconds"))
+    return rounded(blocks.timing_summary(frames, "event_type"), "total", "mean", "fps")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
