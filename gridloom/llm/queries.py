@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), hashes_of=line_dedup.char_shingles)
     return rows.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
