@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import linear_id, triangle_normal
+from gridloom.operators.sampling import steps
 
 #: Corner order of a cell and the corners of its edges, as in the usual numbering.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -20,7 +21,8 @@ EDGE_OF = {frozenset(e): i for i, e in enumerate(EDGES)}
 def case_edges(case: int) -> list[int]:
     """Edges of a case's triangles, three for each, from a rule: on each face the surface leaves where a corner at or
     below the isovalue follows one above it, and each such corner run of a face is cut off from the others; the pieces
-    join to loops, and loops are cut into fans."""
+    join to loops, and loops are cut into fans. Loops are walked against the order of the faces, so normals point to the
+    side of lower values."""
     below = [bool(case >> k & 1) for k in range(8)]
     follow: dict[int, int] = {}
     for face in FACES:
@@ -38,7 +40,7 @@ def case_edges(case: int) -> list[int]:
             left.discard(edge)
             edge = follow[edge]
         for a, b in pairwise(loop[1:]):
-            out += [first, a, b]
+            out += [first, b, a]
     return out
 
 
@@ -48,13 +50,15 @@ def cases_array() -> Column:
 
 
 def corners(voxels: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
-    """Dual cells ``x, y, z, cell_id`` with their corner values ``f0`` to ``f7``."""
+    """Dual cells ``x, y, z, cell_id`` (with ``t`` in a series) with their corner values ``f0`` to ``f7``. Cells of a sparse
+    grid that lack a corner are left out."""
+    keys = [*steps(voxels), "x", "y", "z"]
     shifts = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(d).alias(f"d{a}") for a, d in zip("xyz", c, strict=True)]) for k, c in enumerate(CORNERS)])
-    rows = voxels.select("x", "y", "z", "v", F.explode(shifts).alias("s"))
-    rows = rows.select(*[(F.col(a) - F.col(f"s.d{a}")).alias(a) for a in "xyz"], F.col("s.k").alias("k"), "v")
+    rows = voxels.select(*keys, "v", F.explode(shifts).alias("s"))
+    rows = rows.select(*steps(voxels), *[(F.col(a) - F.col(f"s.d{a}")).alias(a) for a in "xyz"], F.col("s.k").alias("k"), "v")
     rows = rows.filter(F.col("x").between(0, nx - 2) & F.col("y").between(0, ny - 2) & F.col("z").between(0, nz - 2))
-    cells = rows.groupBy("x", "y", "z").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"f{k}") for k in range(8)])
-    return cells.withColumn("cell_id", linear_id(F.col("x"), F.col("y"), F.col("z"), nx - 1, ny - 1))
+    cells = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"f{k}") for k in range(8)])
+    return cells.dropna(subset=[f"f{k}" for k in range(8)]).withColumn("cell_id", linear_id(F.col("x"), F.col("y"), F.col("z"), nx - 1, ny - 1))
 
 
 def with_case(cells: DataFrame, iso: float) -> DataFrame:
@@ -69,25 +73,31 @@ def active(cells: DataFrame, iso: float) -> DataFrame:
     return rows.withColumn("edges", F.element_at(cases_array(), F.col("case") + 1)).withColumn("n_verts", F.size("edges"))
 
 
-def vertices(active_cells: DataFrame, iso: float) -> DataFrame:
-    """``cell_id, n, vx, vy, vz``: the n-th vertex of each cell, in voxel units with voxel centres at .5."""
-    rows = active_cells.select("cell_id", "x", "y", "z", F.array(*[f"f{k}" for k in range(8)]).alias("f"), F.posexplode("edges").alias("n", "e"))
+def vertex(e: Column, iso: float) -> list[Column]:
+    """Where the surface cuts edge ``e`` of a row's cell, in voxel units with voxel centres at .5."""
     pick = lambda table, at: F.element_at(F.array(*[F.lit(x) for x in table]), at)
-    a, b = (pick([e[i] for e in EDGES], F.col("e") + 1) for i in (0, 1))
-    rows = rows.withColumn("a", a).withColumn("b", b).withColumn("fa", F.element_at("f", F.col("a") + 1)).withColumn("fb", F.element_at("f", F.col("b") + 1))
-    step = F.col("fb") - F.col("fa")
-    t = F.when(F.abs(step) < 0.001, 0.0).otherwise((F.lit(iso) - F.col("fa")) / F.nullif(step, F.lit(0.0)))
-    place = []
-    for k, axis in enumerate("xyz"):
-        c0, c1 = (pick([c[k] for c in CORNERS], F.col(end) + 1) for end in ("a", "b"))
-        place.append((F.col(axis) + c0 + t * (c1 - c0) + 0.5).alias(f"v{axis}"))
-    return rows.select("cell_id", "n", *place)
-
-
-def triangles(points: DataFrame) -> DataFrame:
-    """One row per triangle: ``cell_id, tri, ax … cz`` and its normal ``nx, ny, nz``."""
-    tri = points.withColumn("tri", F.floor(F.col("n") / 3).cast("int")).withColumn("c", F.col("n") % 3)
-    rows = tri.groupBy("cell_id", "tri").agg(*[F.max(F.when(F.col("c") == i, F.col(f"v{axis}"))).alias(f"{p}{axis}") for i, p in enumerate("abc") for axis in "xyz"])
+    values = F.array(*[f"f{k}" for k in range(8)])
+    a, b = (pick([x[i] for x in EDGES], e + 1) + 1 for i in (0, 1))
+    fa, step = F.element_at(values, a), F.element_at(values, b) - F.element_at(values, a)
+    t = F.when(F.abs(step) < 0.001, 0.0).otherwise((F.lit(iso) - fa) / F.nullif(step, F.lit(0.0)))
+    ends = [[pick([c[k] for c in CORNERS], end) for end in (a, b)] for k in range(3)]
+    return [F.col(axis) + c0 + t * (c1 - c0) + 0.5 for axis, (c0, c1) in zip("xyz", ends, strict=True)]
+
+
+def vertices(active_cells: DataFrame, iso: float) -> DataFrame:
+    """``cell_id, n, vx, vy, vz``: the n-th vertex of each cell, with ``t`` in a series."""
+    rows = active_cells.withColumns({"n": F.explode(F.sequence(F.lit(0), F.col("n_verts") - 1))})
+    place = vertex(F.element_at("edges", F.col("n") + 1), iso)
+    return rows.select(*steps(rows), "cell_id", "n", *[v.alias(f"v{axis}") for v, axis in zip(place, "xyz", strict=True)])
+
+
+def triangles(active_cells: DataFrame, iso: float) -> DataFrame:
+    """One row per triangle: ``cell_id, tri, ax … cz`` and its normal ``nx, ny, nz``. All corners are in the cell's row, so
+    nothing is shuffled."""
+    rows = active_cells.withColumn("tri", F.explode(F.sequence(F.lit(0), (F.col("n_verts") / 3).cast("int") - 1)))
+    keys = [*steps(rows), "cell_id", "tri"]
+    places = [(f"{p}{axis}", v) for i, p in enumerate("abc") for axis, v in zip("xyz", vertex(F.element_at("edges", F.col("tri") * 3 + i + 1), iso), strict=True)]
+    rows = rows.select(*keys, *[v.alias(name) for name, v in places])
     normal = triangle_normal(*[tuple(F.col(f"{p}{axis}") for axis in "xyz") for p in "abc"])
     return rows.select("*", *[v.alias(f"n{axis}") for v, axis in zip(normal, "xyz", strict=True)])
 

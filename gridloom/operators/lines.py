@@ -70,7 +70,7 @@ def samples_on_lines(crossed: DataFrame, step: float = 1.0, adaptive: bool = Fal
     n, ds = even_steps(F.col("c0"), F.col("c1"), length)
     rows = crossed.withColumn("dist", ds).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
     t = F.col("c0") + (F.col("i") + jitter) * F.col("dist")
-    return rows.select("ray_id", (F.col("step") * 100000 + F.col("i")).cast("long").alias("k"), *[(F.col(f"o{a}") + t * F.col(f"d{a}")).alias(f"p{a}") for a in AXES], "dist")
+    return rows.select("ray_id", (F.col("step").cast("long") * 100000 + F.col("i")).alias("k"), *[(F.col(f"o{a}") + t * F.col(f"d{a}")).alias(f"p{a}") for a in AXES], "dist")
 
 
 def transmittance(samples: DataFrame, line: list[str], order: str, alpha: str = "a") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import l1
-from gridloom.operators.sampling import AXES, trilinear
+from gridloom.operators.sampling import AXES, steps, trilinear
 
 #: Half width of the SSIM window, its number of voxels, and the two stabilising constants for values on [0, 1].
 HALF, WINDOW, C1, C2 = 3, 343, 0.01**2, 0.03**2
@@ -41,28 +41,31 @@ def sampled_loss(points: DataFrame, reference: DataFrame, other: DataFrame, dims
     """Mean loss at points, both volumes looked up there."""
     a = trilinear(points, reference, *dims).withColumnRenamed("v", "ref")
     b = trilinear(points, other, *dims).withColumnRenamed("v", "pred")
-    return mean_loss(a.join(b, "point_id"), loss)
+    return mean_loss(a.join(b, [*steps(reference), "point_id"]), loss, *steps(reference))
 
 
 def box_sums(rows: DataFrame, columns: list[str], half: int = HALF) -> DataFrame:
-    """Sums over the cube of 2 * half + 1 voxels around each voxel: one pass along each axis."""
+    """Sums over the cube of 2 * half + 1 voxels around each voxel, in its time step: one pass along each axis. Frames are
+    ranges of the index, so gaps of a sparse grid add nothing."""
     for a in AXES:
-        line = Window.partitionBy(*[b for b in AXES if b != a]).orderBy(a).rowsBetween(-half, half)
-        rows = rows.select(*AXES, *[F.sum(c).over(line).alias(c) for c in columns])
+        line = Window.partitionBy(*steps(rows), *[b for b in AXES if b != a]).orderBy(a).rangeBetween(-half, half)
+        rows = rows.select(*steps(rows), *AXES, *[F.sum(c).over(line).alias(c) for c in columns])
     return rows
 
 
 def ssim(reference: DataFrame, other: DataFrame, dims: tuple, value_span: float = 1.0) -> DataFrame:
-    """Mean structural similarity over all windows that lie inside the grid (``mssim``)."""
-    rows = align(reference, other).select(*AXES, F.col("ref").alias("a"), F.col("pred").alias("b"), (F.col("ref") * F.col("ref")).alias("aa"), (F.col("pred") * F.col("pred")).alias("bb"), (F.col("ref") * F.col("pred")).alias("ab"))
-    sums = box_sums(rows, ["a", "b", "aa", "bb", "ab"])
+    """Mean structural similarity over all windows that lie inside the grid and have all their voxels (``mssim``), for each
+    time step of a series."""
+    keys = steps(reference)
+    rows = align(reference, other, *keys).select(*keys, *AXES, F.col("ref").alias("a"), F.col("pred").alias("b"), (F.col("ref") * F.col("ref")).alias("aa"), (F.col("pred") * F.col("pred")).alias("bb"), (F.col("ref") * F.col("pred")).alias("ab"), F.lit(1).alias("n"))
+    sums = box_sums(rows, ["a", "b", "aa", "bb", "ab", "n"])
     inside = reduce(Column.__and__, [F.col(a).between(HALF, n - 1 - HALF) for a, n in zip(AXES, dims, strict=True)])
     mean = {c: F.col(c) / WINDOW for c in ("a", "b", "aa", "bb", "ab")}
     sample = WINDOW / (WINDOW - 1)
     va, vb, vab = (sample * (mean[p + q] - mean[p] * mean[q]) for p, q in (("a", "a"), ("b", "b"), ("a", "b")))
     c1, c2 = C1 * value_span**2, C2 * value_span**2
     value = (2 * mean["a"] * mean["b"] + c1) * (2 * vab + c2) / ((mean["a"] * mean["a"] + mean["b"] * mean["b"] + c1) * (va + vb + c2))
-    return sums.filter(inside).agg(F.avg(value).alias("mssim"))
+    return sums.filter(inside & (F.col("n") == WINDOW)).groupBy(*keys).agg(F.avg(value).alias("mssim"))
 
 
 def cell_psnr(reference_cells: DataFrame, other_cells: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ from gridloom.functions.scalars import clamp, coordinates
 AXES = ("x", "y", "z")
 
 
+def steps(df: DataFrame) -> list[str]:
+    """The key of a series' time steps, if the table has one."""
+    return ["t"] if "t" in df.columns else []
+
+
 def random_points(spark: SparkSession, n: int, seed: int = 1337, lower=(0.0, 0.0, 0.0), upper=(1.0, 1.0, 1.0)) -> DataFrame:
     """``point_id, px, py, pz``: uniform in a box; a point depends on its number and the seed alone."""
     unit = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), 11) / float(1 << 53)
@@ -38,28 +43,34 @@ def corner_weights(p: Column, n: int) -> Column:
 
 
 def trilinear(points: DataFrame, voxels: DataFrame, nx: int, ny: int, nz: int, id_column: str = "point_id") -> DataFrame:
-    """``id, v``: eight corners per point, one join on the voxel, one sum. Corners of weight zero are not looked up."""
+    """``id, v``: eight corners per point, one join on the voxel, one sum. Corners of weight zero are not looked up. In a
+    series (``t``), points with a time step are looked up in it and others in every step, and ``t`` is part of the result.
+    On a sparse grid a missing voxel adds nothing."""
+    own = [k for k in steps(voxels) if k in points.columns]
     rows = points
     for a, n in zip(AXES, (nx, ny, nz), strict=True):
         rows = rows.withColumn(f"c{a}", F.explode(corner_weights(F.col(f"p{a}"), n))).filter(f"c{a}.w > 0")
-    corners = rows.select(id_column, F.col("cx.i").alias("x"), F.col("cy.i").alias("y"), F.col("cz.i").alias("z"), (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
-    return corners.join(voxels, list(AXES)).groupBy(id_column).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    corners = rows.select(id_column, *own, F.col("cx.i").alias("x"), F.col("cy.i").alias("y"), F.col("cz.i").alias("z"), (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
+    return corners.join(voxels, [*own, *AXES]).groupBy(*steps(voxels), id_column).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
 def nearest(points: DataFrame, voxels: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
-    """The points with the value of the voxel that they lie in."""
+    """The points with the value of the voxel that they lie in, in each time step of a series (or in the points' own)."""
+    own = [k for k in steps(voxels) if k in points.columns]
     rows = points.drop(*AXES)
     for a, n in zip(AXES, (nx, ny, nz), strict=True):
         rows = rows.withColumn(a, F.floor(clamp(F.col(f"p{a}") * n, 0.5, n - 0.5)).cast("int"))
-    return rows.join(voxels, list(AXES))
+    return rows.join(voxels, [*own, *AXES])
 
 
 def gradient(voxels: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
-    """Adds gx, gy, gz: forward differences over one grid step (1/n), backward at the upper border."""
+    """Adds gx, gy, gz: forward differences over one grid step (1/n), backward where there is no voxel ahead, zero where
+    there is none on either side."""
     out = voxels
     for a, n in zip(AXES, (nx, ny, nz), strict=True):
-        line = Window.partitionBy(*[b for b in AXES if b != a]).orderBy(a)
-        ahead, behind = F.lead("v").over(line) - F.col("v"), F.col("v") - F.lag("v").over(line)
+        line = Window.partitionBy(*steps(voxels), *[b for b in AXES if b != a]).orderBy(a)
+        ahead = F.when(F.lead(a).over(line) == F.col(a) + 1, F.lead("v").over(line) - F.col("v"))
+        behind = F.when(F.lag(a).over(line) == F.col(a) - 1, F.col("v") - F.lag("v").over(line))
         out = out.withColumn(f"g{a}", F.coalesce(ahead, behind, F.lit(0.0)) * n)
     return out
 
@@ -68,7 +79,7 @@ def resample(spark: SparkSession, voxels: DataFrame, dims: tuple, new_dims: tupl
     """The volume on a grid of new_dims nodes, by trilinear lookup."""
     nodes = grid_points(spark, *new_dims, nodes=True)
     values = trilinear(nodes, voxels, *dims)
-    return nodes.select("point_id", *AXES).join(values, "point_id").select(*AXES, "v")
+    return nodes.select("point_id", *AXES).join(values, "point_id").select(*steps(voxels), *AXES, "v")
 
 
 def sample_field(points: DataFrame, field: Callable) -> DataFrame:

@@ -552,10 +552,91 @@ EDGE_VECTORS = ", ".join(f"{e}{a} / nullif(sqrt({e}x * {e}x + {e}y * {e}y + {e}z
     + " from tu"
 )
 def p16_normals(spark, sf_dir):
-    rows = isosurface.triangles(isosurface.vertices(surface_cells(spark, sf_dir), ISO))
+    rows = isosurface.triangles(surface_cells(spark, sf_dir), ISO)
     return rounded(rows, *PLACES, "nx", "ny", "nz")
 
 
+# --- sparse series: every operator keeps time steps apart and takes a missing voxel for missing --------------------
+
+SERIES = (32, 24, 5)
+SERIES_ISO = 20000.0
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_series(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
+
+
+@query(
+    """, q as (select t, x, y, z, least(x + 0.3e0, 31.5e0) as qx, least(y + 0.3e0, 23.5e0) as qy, least(z + 0.3e0, 4.5e0) as qz from vt
+), e as (
+  select t, x, y, z, least(floor(qx) + a, 31) as i, least(floor(qy) + b, 23) as j, least(floor(qz) + c, 4) as k,
+    (case a when 0 then 1 - (qx - floor(qx)) else qx - floor(qx) end) * (case b when 0 then 1 - (qy - floor(qy)) else qy - floor(qy) end) * (case c when 0 then 1 - (qz - floor(qz)) else qz - floor(qz) end) as w
+  from q, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)
+)
+select e.t, cast(e.x + 32 * e.y + 768 * e.z as bigint) as point_id, round(sum(w * vt.v), 6) + 0e0 as v
+from e join vt on vt.t = e.t and vt.x = e.i and vt.y = e.j and vt.z = e.k where w > 0 group by 1, 2"""
+)
+def j1_series_trilinear(spark, sf_dir):
+    """A point beside every voxel, looked up in its own time step."""
+    voxels = series(spark, sf_dir)
+    at = [((F.col(a) + 0.8) / n).alias(f"p{a}") for a, n in zip("xyz", SERIES, strict=True)]
+    points = voxels.select("t", (F.col("x") + 32 * F.col("y") + 768 * F.col("z")).cast("long").alias("point_id"), *at)
+    return rounded(sampling.trilinear(points, voxels, *SERIES), "v")
+
+
+@query(
+    "select a.t, a.x, a.y, a.z, "
+    + ", ".join(f"coalesce(u{c}.v - a.v, a.v - d{c}.v, 0) * {n}e0 + 0e0 as g{c}" for c, n in zip("xyz", SERIES, strict=True))
+    + " from vt as a "
+    + " ".join(f"left join vt as {n}{c} on {n}{c}.t = a.t and " + " and ".join(f"{n}{c}.{e} = a.{e}" + (f" {sign} 1" if e == c else "") for e in "xyz") for c in "xyz" for n, sign in (("u", "+"), ("d", "-")))
+)
+def j3_series_gradient(spark, sf_dir):
+    return rounded(sampling.gradient(series(spark, sf_dir), *SERIES).drop("v"), "gx", "gy", "gz")
+
+
+@query(
+    """select a.t, a.x, a.y, a.z, sum(b.v) + 0e0 as v, cast(count(*) as bigint) as n from vt as a
+join vt as b on b.t = a.t and b.x between a.x - 2 and a.x + 2 and b.y between a.y - 2 and a.y + 2 and b.z = a.z group by 1, 2, 3, 4"""
+)
+def w2_series_sums(spark, sf_dir):
+    """Sums over the present voxels around each present voxel: along y of each column, then along x."""
+    voxels = series(spark, sf_dir)
+    near = F.explode(F.sequence(F.greatest(F.col("x") - 2, F.lit(0)), F.least(F.col("x") + 2, F.lit(SERIES[0] - 1)))).alias("x")
+    spread = voxels.select("t", near, "y", "z", "v").groupBy("t", "x", "y", "z").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    near = F.explode(F.sequence(F.greatest(F.col("y") - 2, F.lit(0)), F.least(F.col("y") + 2, F.lit(SERIES[1] - 1)))).alias("y")
+    sums = spread.select("t", "x", near, "z", "v", "n").groupBy("t", "x", "y", "z").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return sums.join(voxels.select("t", "x", "y", "z"), ["t", "x", "y", "z"], "left_semi")
+
+
+SERIES_CORNERS = [(dx, dy, dz) for dx, dy, dz in isosurface.CORNERS]
+
+
+@query(
+    "select c0.t, c0.x, c0.y, c0.z, cast("
+    + " + ".join(f"{1 << k} * (c{k}.v <= {SERIES_ISO}e0)::int" for k in range(8))
+    + ' as int) as "case" from vt as c0 '
+    + " ".join(f"join vt as c{k} on c{k}.t = c0.t and c{k}.x = c0.x + {c[0]} and c{k}.y = c0.y + {c[1]} and c{k}.z = c0.z + {c[2]}" for k, c in enumerate(SERIES_CORNERS) if k)
+    + f" where not ({' and '.join(f'c{k}.v <= {SERIES_ISO}e0' for k in range(8))}) and ({' or '.join(f'c{k}.v <= {SERIES_ISO}e0' for k in range(8))})"
+)
+def f4_series_active(spark, sf_dir):
+    """Active cells of a sparse series: only cells of which all corners are there."""
+    cells = isosurface.active(isosurface.corners(series(spark, sf_dir), *SERIES), SERIES_ISO)
+    return cells.select("t", "x", "y", "z", "case")
+
+
+@query("select x, y, z, round(avg(v), 6) + 0e0 as mean, count(*) as frames from vt group by 1, 2, 3")
+def st3_mean_of_steps(spark, sf_dir):
+    return rounded(lines.progressive_mean(series(spark, sf_dir), ["x", "y", "z"], "v"), "mean")
+
+
+@query("select x, y, z, (7 * x * x + 13 * y * y + 29 * z * z + x * y * z) % 256 as v from (select cast(x as bigint) as x, cast(y as bigint) as y, cast(z as bigint) as z from ve)")
+def s8_procedural(spark, sf_dir):
+    """A formula's values on the grid of the vectors."""
+    g = embedding_grid(spark, sf_dir)
+    rows = blocks.procedural_volume(spark, (g.nx, g.ny, g.nz), lambda x, y, z: (7 * x * x + 13 * y * y + 29 * z * z + x * y * z) % 256)
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "v")])
+
+
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -71,7 +72,7 @@ def test_isosurface_is_closed_and_on_the_surface(volume, dense):
     assert [r.first for r in rows] == list(np.cumsum([0] + [r.n_verts for r in rows[:-1]])) and sum(r.n_verts for r in rows) == points.count()
     # an edge inside the grid belongs to two triangles, once in each direction
     near = {}
-    for r in isosurface.triangles(points).collect():
+    for r in isosurface.triangles(active, 0.5).collect():
         corners = [tuple(round(r[p + a], 9) for a in "xyz") for p in "abc"]
         for a, b in zip(corners, corners[1:] + corners[:1], strict=True):
             near[a, b] = near.get((a, b), 0) + 1
@@ -212,3 +213,28 @@ def test_obj(spark, volume, tmp_path):
     text = [x for f in sorted((tmp_path / "s.obj").glob("part-*")) for x in f.read_text().splitlines()]
     n = points.count()
     assert [x[0] for x in text] == ["v"] * n + ["f"] * (n // 3) and text[n] == "f 1 2 3"
+
+
+def test_normals_point_to_lower_values(spark):
+    rng = random.Random(5)
+    for weights in ((1.0, 2.0, 3.0), (-1.0, 0.5, 0.25), (0.3, -2.0, -1.0)):
+        voxels = spark.range(216).selectExpr("cast(id % 6 as int) x", "cast(id div 6 % 6 as int) y", "cast(id div 36 as int) z")
+        voxels = voxels.withColumn("v", sum((F.col(a) * w for a, w in zip("xyz", weights)), F.lit(0.0)))
+        iso = 2.5 * sum(weights) + 0.01 * rng.random()
+        rows = isosurface.triangles(isosurface.active(isosurface.corners(voxels, 6, 6, 6), iso), iso).collect()
+        dots = [r.nx * weights[0] + r.ny * weights[1] + r.nz * weights[2] for r in rows]
+        assert len(dots) > 20 and max(dots) < 1e-9 and min(dots) < 0
+
+
+def test_steps_and_gaps(spark):
+    ones = spark.range(2 * 27).selectExpr("cast(id div 27 as int) t", "cast(id % 3 as int) x", "cast(id div 3 % 3 as int) y", "cast(id div 9 % 3 as int) z", "cast(1 + id div 27 as double) v")
+    points = sampling.grid_points(spark, 2, 2, 2).drop("x", "y", "z")
+    assert {(r.t, round(r.v, 9)) for r in sampling.trilinear(points, ones, 3, 3, 3).collect()} == {(0, 1.0), (1, 2.0)}
+    holed = ones.filter("not (x = 1 and y = 1 and z = 1)")
+    assert isosurface.active(isosurface.corners(holed, 3, 3, 3), 0.5).count() == 0
+    assert isosurface.corners(ones, 3, 3, 3).count() == 16 and isosurface.corners(holed, 3, 3, 3).count() == 0
+    line = spark.createDataFrame([(0, 0, 0, 1.0), (2, 0, 0, 5.0), (3, 0, 0, 6.0)], "x int, y int, z int, v double")
+    got = {r.x: r.gx for r in sampling.gradient(line, 4, 1, 1).collect()}
+    assert got == {0: 0.0, 2: 4.0, 3: 4.0}
+    sums = {r.x: r.v for r in quality.box_sums(line.select("x", "y", "z", "v"), ["v"], 1).collect()}
+    assert sums == {0: 1.0, 2: 11.0, 3: 11.0}
