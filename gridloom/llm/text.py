@@ -34,10 +34,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names in ``spark.checkpoint.dir``; sets one only where there is none."""
+    """Uses the shared folder that the cluster names in ``spark.checkpoint.dir``; sets one only where there is none, on
+    a single machine; on a cluster without one it fails, as a machine's own folder is lost with it."""
     if spark.sparkContext.getCheckpointDir() is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "gridloom-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
 
