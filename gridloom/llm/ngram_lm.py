@@ -3,17 +3,21 @@
 The model is an interpolated bigram model. The counts of words and of pairs of words of all training texts are
 quantised to ``q = 1 + floor(log_BASE count)`` and put into a Bloom filter as the q events (n-gram, 1) … (n-gram, q). A
 count is read back by probing (n-gram, 1), (n-gram, 2), … up to the first that is absent; q stands for the middle of
-its range. The filter is broadcast to the scoring tasks. The probability of w after v is
+its range. The probability of w after v is
 
     (c(v w) + t(v) * p(w)) / (c(v) + t(v)),    p(w) = (c(w) + 1) / (N + V + 1),    t(v) = c(v) ** beta
 
 (Witten-Bell's form; beta is such that t, the number of different words after v, adds up to the number of different
 pairs in the corpus). Counts come from the filter, N and V are exact.
 
-Counting is distributed: tasks count the n-grams of their texts, deal hashes and counts out by segments of the
-filter, and the task of a segment adds the counts and sets the segment's bits. The filter grows with the corpus up to
-``max_bits``: a segment that needs more than its share leaves out the lowest quantised counts until the rest fits, by
-one rule at every size. Only the finished segments come to the driver.
+Counting is distributed: tasks count the n-grams of their texts, deal 64-bit hashes and counts out by segments of the
+filter, and the task of a segment adds the counts and sets the segment's bits. The number of segments grows with the
+corpus, so that none holds the n-grams of more than about SEGMENT_TOKENS tokens, and nothing is left out.
+
+A filter of at most ``max_bits`` comes to the driver and is broadcast to the scoring tasks. A larger one stays where it
+is: texts are cut into slices of SLICE_ROWS rows, each slice's n-grams are sent to their segments, probed there, and
+sent back. The levels of the most frequent n-grams, which most slices ask for, are broadcast instead (at most HOT). Both
+ways read the same bits, so ``max_bits`` changes no score.
 
 The base score needs exact counts of words: those of the ``TOP`` most frequent words are broadcast, all others are
 joined.
@@ -39,17 +43,18 @@ from gridloom.llm.text import Batches, saved, tasks_of, texts_of
 #: A word never holds white space, so these stand for a text's start and its end.
 START, END = b"\t", b"\n"
 BASE = 1.5
-SEGMENTS = 1024
+#: Segments at least, a power of two, and tokens for each beyond that.
+SEGMENTS, SEGMENT_TOKENS = 1024, 1 << 20
 HASHES = 5
 BITS_PER_EVENT = 7.3
 TOP = 1 << 16
 SLICE = 4_000_000
 #: Distinct pairs that a task gathers before it deals them out.
 GATHERED = 1_500_000
+#: Rows of a slice of texts, n-grams whose levels are broadcast, and the least quantised count of these.
+SLICE_ROWS, HOT, HOT_LEVEL = 512, 1 << 22, 8
 
 U = np.uint64
-#: An n-gram is told by the ten bits of its segment and the 40 lowest bits of its hash.
-HELD = U(0xFFC000FFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,15 +65,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U(0xD6E8FEB86659FD93) + mix(b)) & HELD
+    return mix(a * U(0xD6E8FEB86659FD93) + mix(b))
 
 
 def word_key(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes) & HELD
+    return mix(hashes)
+
+
+def segments_of(tokens: int) -> int:
+    """Number of segments for a corpus of so many tokens."""
+    return max(SEGMENTS, 1 << (max(tokens, 1) // SEGMENT_TOKENS).bit_length())
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> U(54)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys >> U(65 - segments.bit_length())).astype(np.int64)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -87,20 +97,38 @@ def places(keys: np.ndarray, level: int, sizes: np.ndarray):
         yield ((low + U(i) * high) & U(0xFFFFFFFF)) * sizes >> U(32)
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[int, bytes, int]:
-    """(bits, bitmap, lowest quantised count held) for the distinct keys of one segment."""
+def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """(bits, bitmap) for the distinct keys of one segment."""
     q = quantise(counts)
-    floor = 1
-    while BITS_PER_EVENT * (events := int(q[q >= floor].sum())) > max_bits:
-        floor += 1
-    keys, q = keys[q >= floor], q[q >= floor]
-    bits = max(64, math.ceil(BITS_PER_EVENT * events))
+    bits = max(64, math.ceil(BITS_PER_EVENT * int(q.sum())))
     table = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         keys, q = keys[q >= level], q[q >= level]
         for at in places(keys, level, U(bits)):
             table[at.astype(np.int64)] = True
-    return bits, np.packbits(table).tobytes(), floor
+    return bits, np.packbits(table).tobytes()
+
+
+def probe(keys: np.ndarray, sizes: np.ndarray, begins: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Quantised count of each key, whose segment has a size in bits and begins at a byte of the bitmap: probes one level
+    after another until one is absent."""
+    out = np.zeros(len(keys), np.int64)
+    live, level = np.arange(len(keys)), 1
+    while len(live) and level < len(MIDDLE):
+        k, size, begin = keys[live], sizes[live], begins[live]
+        here = np.arange(len(k))
+        for at in places(k, level, size):
+            at = at[here].astype(np.int64)
+            here = here[(bitmap[begin[here] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        live = live[here]
+        out[live] = level
+        level += 1
+    return out
+
+
+def probe_one(keys: np.ndarray, bits: int, raw: bytes) -> np.ndarray:
+    """Quantised counts of keys of one segment."""
+    return probe(keys, np.full(len(keys), bits, np.uint64), np.zeros(len(keys), np.int64), np.frombuffer(raw, np.uint8))
 
 
 @dataclass
@@ -112,8 +140,8 @@ class Filter:
     bitmap: np.ndarray
 
     @classmethod
-    def join(cls, rows: list[tuple[int, int, bytes]]) -> Filter:
-        sizes, begins, parts, at = np.full(SEGMENTS, 64, np.uint64), np.zeros(SEGMENTS, np.int64), [bytes(8)], 8
+    def join(cls, rows: list[tuple[int, int, bytes]], segments: int) -> Filter:
+        sizes, begins, parts, at = np.full(segments, 64, np.uint64), np.zeros(segments, np.int64), [bytes(8)], 8
         for segment, bits, raw in sorted(rows):
             sizes[segment], begins[segment] = bits, at
             parts.append(raw)
@@ -121,20 +149,35 @@ class Filter:
         return cls(sizes, begins, np.frombuffer(b"".join(parts), np.uint8))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each key: probes one level after another until one is absent."""
+        segment = segment_of(keys, len(self.sizes))
+        return probe(keys, self.sizes[segment], self.begins[segment], self.bitmap)
+
+
+@dataclass
+class Known:
+    """Levels of some keys, which are in order; other keys have the levels of ``beyond``, or none."""
+
+    keys: np.ndarray
+    held: np.ndarray
+    beyond: Known | None = None
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, bytes]], beyond: Known | None = None) -> Known:
+        keys = np.frombuffer(b"".join(k for k, _ in rows), "<u8")
+        keys, first = np.unique(keys, return_index=True)
+        return cls(keys, np.frombuffer(b"".join(v for _, v in rows), np.uint8)[first], beyond)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        found = self.has(keys)
         out = np.zeros(len(keys), np.int64)
-        live, level = np.arange(len(keys)), 1
-        while len(live) and level < len(MIDDLE):
-            k = keys[live]
-            segment = segment_of(k)
-            sizes, begins = self.sizes[segment], self.begins[segment]
-            here = np.arange(len(k))
-            for at in places(k, level, sizes):
-                at = at[here].astype(np.int64)
-                here = here[(self.bitmap[begins[here] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            live = live[here]
-            out[live] = level
-            level += 1
+        out[found] = self.held[np.searchsorted(self.keys, keys[found])]
+        if self.beyond is not None:
+            out[~found] = self.beyond.levels(keys[~found])
         return out
 
 
@@ -189,20 +232,25 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def dealt(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row per segment: its keys in order, as the fifth byte and the four below it, and their counts."""
+def cut(keys: np.ndarray, segments: int):
+    """The segments of sorted keys, each with the slice of its keys."""
+    segment = segment_of(keys, segments)
+    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    bounds = np.r_[starts, len(keys)]
+    return segment[starts], [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def dealt(keys: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
+    """One row per segment: its keys in order, eight bytes each, and their counts, two bytes each or, where one is too large, eight."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    segment = segment_of(keys)
-    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    low, high = (keys & U(0xFFFFFFFF)).astype("<u4"), (keys >> U(32)).astype("u1")
-    counts = counts.astype("<u4")
-    columns = [pa.array(segment[starts], pa.int32())] + [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (high, low, counts)]
-    return pa.RecordBatch.from_arrays(columns, ["segment", "high", "low", "counts"])
+    keys, counts = keys[order].astype("<u8"), counts[order]
+    segment, parts = cut(keys, segments)
+    small, large = counts.astype("<u2"), counts.astype("<u8")
+    columns = [pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([(small if counts[p].max() < 1 << 16 else large)[p].tobytes() for p in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), *columns], ["segment", "keys", "counts"])
 
 
-DEALT = "segment int, high binary, low binary, counts binary"
+DEALT = "segment int, keys binary, counts binary"
 
 
 def in_training(id_column: str = "doc_id"):
@@ -224,7 +272,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def deal_pairs(texts: DataFrame) -> DataFrame:
+def deal_pairs(texts: DataFrame, segments: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         words, parts, size = Words(), [], 0
         for batch in batches:
@@ -234,44 +282,80 @@ def deal_pairs(texts: DataFrame) -> DataFrame:
                 parts.append(np.unique(keys, return_counts=True))
                 size += len(parts[-1][0])
                 if size >= GATHERED:
-                    yield dealt(*added(parts))
+                    yield dealt(*added(parts), segments)
                     parts, size = [], 0
         if parts:
-            yield dealt(*added(parts))
+            yield dealt(*added(parts), segments)
 
     return texts.mapInArrow(run, DEALT)
 
 
-def deal_words(counts: DataFrame) -> DataFrame:
+def deal_words(counts: DataFrame, segments: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             tokens = batch.column(0).to_pylist()
             if tokens:
                 keys = word_key(np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens)))
-                yield dealt(keys, np.minimum(batch.column(1).to_numpy(), 2**32 - 1))
+                yield dealt(keys, batch.column(1).to_numpy(), segments)
 
     return counts.select("token", "c").mapInArrow(run, DEALT)
 
 
-def build_filter(rows: DataFrame, max_bits: int) -> tuple[Filter, int]:
-    """The filter of dealt n-grams, and how many different ones there are."""
+def build_filter(rows: DataFrame, tokens: int) -> DataFrame:
+    """``segment, bits, raw, n, hot_keys, hot_levels``: the filter's segments from dealt n-grams, how many different ones
+    each holds, and those of quantised counts of HOT_LEVEL and more with their levels."""
+
+    def built(segment: int, parts: list) -> pa.RecordBatch:
+        keys, counts = added(parts)
+        bits, raw = build_segment(keys, counts)
+        hot = keys[quantise(counts) >= HOT_LEVEL]
+        levels = probe_one(hot, bits, raw).astype(np.uint8)
+        values = [segment, bits, raw, len(keys), hot.astype("<u8").tobytes(), levels.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, BUILT.types, strict=True)], schema=BUILT)
 
     def run(batches: Batches) -> Batches:
-        parts: dict[int, list] = {}
+        current, parts = None, []
         for batch in batches:
-            for segment, high, low, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(segment, []).append((high, low, counts))
-        for segment in list(parts):
-            high, low, counts = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts.pop(segment), strict=True), ("u1", "<u4", "<u4"), strict=True))
-            keys = U(segment) << U(54) | high.astype(np.uint64) << U(32) | low
-            keys, counts = added([(keys, counts)])
-            bits, raw, _ = build_segment(keys, counts, max_bits // SEGMENTS)
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits], pa.int64()), pa.array([raw], pa.binary()), pa.array([len(keys)], pa.int64())], ["segment", "bits", "raw", "n"])
+            for segment, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != current and parts:
+                    yield built(current, parts)
+                    parts = []
+                current = segment
+                parts.append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u2" if len(counts) * 4 == len(keys) else "<u8")))
+        if parts:
+            yield built(current, parts)
+
+    tasks = min(segments_of(tokens), max(tasks_of(rows.sparkSession), tokens >> 26))
+    return saved(rows.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(run, "segment int, bits long, raw binary, n long, hot_keys binary, hot_levels binary"))
+
+
+BUILT = pa.schema([("segment", pa.int32()), ("bits", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("hot_keys", pa.binary()), ("hot_levels", pa.binary())])
+
+
+def hottest(built: DataFrame) -> Known:
+    """The keys of highest levels, all of a level or none, at most HOT."""
+
+    def histogram(batches: Batches) -> Batches:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                levels, n = np.unique(np.frombuffer(raw, np.uint8), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(n, pa.int64())], ["level", "n"])
+
+    counted = built.select("hot_levels").mapInArrow(histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    within = [r.level for r, n in zip(counted, np.cumsum([r.n for r in counted]), strict=True) if n <= HOT]
+    if not within:
+        return Known.of([])
+    least = within[-1]
 
-    tasks = min(SEGMENTS, tasks_of(rows.sparkSession))
-    built = rows.repartition(tasks, "segment").mapInArrow(run, "segment int, bits long, raw binary, n long")
-    found = built.collect()  # at most max_bits / 8 bytes
-    return Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in found]), sum(r.n for r in found)
+    def chosen(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = []
+            for keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                levels = np.frombuffer(raw, np.uint8)
+                rows.append((np.frombuffer(keys, "<u8")[levels >= least].tobytes(), levels[levels >= least].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["keys", "levels"])
+
+    return Known.of([(bytes(r["keys"]), bytes(r["levels"])) for r in built.select("hot_keys", "hot_levels").mapInArrow(chosen, "keys binary, levels binary").collect()])
 
 
 def solve_beta(histogram: list[tuple[float, int]], pairs: int) -> float:
@@ -285,7 +369,8 @@ def solve_beta(histogram: list[tuple[float, int]], pairs: int) -> float:
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | Known
+    segments: int
     total: int
     distinct: int
     beta: float
@@ -296,13 +381,19 @@ class Model:
         return (counts + 1) / (self.total + self.distinct + 1)
 
 
-def fit(docs: DataFrame, text_column: str = "text", max_bits: int = 1 << 29) -> tuple[Model, DataFrame]:
-    """The model of all rows, and the exact counts of words (``token, c``)."""
+def fit(docs: DataFrame, text_column: str = "text", max_bits: int = 1 << 29) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of all rows, the exact counts of words (``token, c``), and the filter's segments if they are larger than
+    ``max_bits``; the model then holds the levels of the most frequent n-grams only."""
     texts = docs.select(text_column)
     counts = saved(count_words(texts))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_texts = counts.filter(F.col("token") == F.lit(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    found, n_keys = build_filter(deal_pairs(texts).unionByName(deal_words(counts)), max_bits)
+    segments = segments_of(sums.n)
+    built = build_filter(deal_pairs(texts, segments).unionByName(deal_words(counts, segments)), sums.n)
+    size = built.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("bits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    whole = size.bits <= max_bits
+    # at most max_bits / 8 bytes
+    found = Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in built.select("segment", "bits", "raw").collect()], segments) if whole else hottest(built)
     # counts of counts by level, at most a few hundred rows
     level = F.floor(F.log("c") / math.log(1.1))
     levels = counts.groupBy(level.alias("level")).agg(F.avg("c").alias("c"), F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
@@ -311,14 +402,14 @@ def fit(docs: DataFrame, text_column: str = "text", max_bits: int = 1 << 29) ->
     within = [r.least for r, n in zip(levels, np.cumsum([r.n for r in levels]), strict=True) if n <= TOP]
     frequent = counts.filter(F.col("c") >= within[-1]).collect() if within else []
     top = {bytes(r.token): r.c for r in frequent}
-    return Model(found, sums.n, sums.v, solve_beta(histogram, n_keys - sums.v), top, n_texts), counts
+    return Model(found, segments, sums.n, sums.v, solve_beta(histogram, size.n - sums.v), top, n_texts), counts, None if whole else built
 
 
 class Scorer:
-    """Scores the texts of one task."""
+    """Scores the texts of one task. ``filter`` gives the levels of n-grams."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, Words()
+        self.model, self.filter, self.words = model, model.filter, Words()
         self.counts, self.exact = np.zeros(0), np.zeros(0, np.int64)
 
     def score(self, tokens: list[bytes], lengths: np.ndarray):
@@ -329,10 +420,10 @@ class Scorer:
             self.counts, self.exact = np.zeros(0), np.zeros(0, np.int64)
         hashes = self.words.hashes
         if new:
-            self.counts = np.r_[self.counts, MIDDLE[m.filter.levels(word_key(hashes[len(hashes) - len(new) :]))]]
+            self.counts = np.r_[self.counts, MIDDLE[self.filter.levels(word_key(hashes[len(hashes) - len(new) :]))]]
             self.exact = np.r_[self.exact, np.fromiter((m.top.get(t, -1) for t in new), np.int64, len(new))]
         keys, back = np.unique(pair_key(contexts(ids, lengths, hashes), hashes[ids]), return_inverse=True)
-        together = MIDDLE[m.filter.levels(keys)][back]
+        together = MIDDLE[self.filter.levels(keys)][back]
         before = np.r_[0.0, self.counts[ids[:-1]]]
         starts = np.cumsum(lengths) - lengths
         before[starts] = m.texts
@@ -343,38 +434,88 @@ class Scorer:
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))])
+SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: int>>"
+
+
+def scored(scorer: Scorer, doc_ids: pa.Array, learn: pa.Array, column: pa.Array) -> Batches:
+    """Rows of SCORED for texts; words without an exact count here are listed in ``rare``."""
+    at, floor = 0, math.log10(scorer.model.total + scorer.model.distinct + 1)
+    for tokens, lengths in tokens_of(texts_of(column)):
+        scores, ids, exact = scorer.score(tokens, lengths)
+        starts = np.cumsum(lengths) - lengths
+        in_top = exact >= 0
+        base = np.add.reduceat(np.where(in_top, np.log10(np.maximum(exact, 0) + 1.0) - floor, 0.0), starts)
+        known = np.add.reduceat(in_top.astype(np.int64), starts)
+        rare_at = np.flatnonzero(~in_top)
+        cuts = np.searchsorted(rare_at, np.r_[starts, len(ids)])
+        rare = [[{"token": t, "tf": n} for t, n in Counter([tokens[i] for i in rare_at[a:b].tolist()]).items()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = slice(at, at + len(lengths))
+        held = [not x for x in learn.to_pylist()[rows]]
+        columns = [doc_ids[rows], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, SCORED.field("rare").type)]
+        yield pa.RecordBatch.from_arrays(columns, schema=SCORED)
+        at += len(lengths)
+
+
+def score_by_slices(source: DataFrame, shared, built: DataFrame) -> DataFrame:
+    """Rows of SCORED where the filter stays in its segments ``built``. ``shared`` is the broadcast model.
+
+    A segment's task gets the n-grams of all slices that belong to it, but for the most frequent ones."""
+    # Slices are numbers of rows that are fixed in the checkpoint folder, so a lost task finds the same ones again.
+    fixed = saved(source.withColumn("slice", F.floor(F.monotonically_increasing_id() / SLICE_ROWS)))
+    state: dict = {}
+
+    def ask(batches: Batches) -> Batches:
+        model, words = shared.value, Words()
+        for batch in batches:
+            slices = batch.column(0).to_numpy()
+            for number in np.unique(slices):
+                own = batch.filter(pa.array(slices == number))
+                for tokens, lengths in tokens_of(texts_of(own.column(1))):
+                    ids, _ = words.numbers(tokens)
+                    own_words = words.hashes[np.unique(ids)]
+                    keys = np.unique(np.r_[word_key(own_words), pair_key(contexts(ids, lengths, words.hashes), words.hashes[ids])])
+                    keys = keys[~model.filter.has(keys)].astype("<u8")
+                    segment, parts = cut(keys, model.segments)
+                    columns = [pa.array(segment, pa.int32()), pa.array(np.full(len(parts), number), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["segment", "slice", "keys"])
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        keys = asked.column("keys").to_pylist()
+        every = np.frombuffer(b"".join(keys), "<u8")
+        levels = np.zeros(len(every), np.uint8)
+        for bits, raw in zip(segment.column("bits").to_pylist(), segment.column("raw").to_pylist(), strict=True):  # one at most
+            different, back = np.unique(every, return_inverse=True)
+            levels = probe_one(different, bits, raw).astype(np.uint8)[back]
+        ends = np.cumsum([len(k) // 8 for k in keys], dtype=np.int64)
+        parts = [levels[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)] if keys else []
+        return pa.table({"slice": asked.column("slice"), "keys": pa.array(keys, pa.binary()), "levels": pa.array(parts, pa.binary())})
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
+        scorer.filter = Known.of(list(zip(answers.column("keys").to_pylist(), answers.column("levels").to_pylist(), strict=True)), shared.value.filter)
+        columns = [rows.column(c).combine_chunks() for c in ("doc_id", "learn", "text")]
+        return pa.Table.from_batches(list(scored(scorer, *columns)), SCORED)
+
+    asked = fixed.select("slice", "text").mapInArrow(ask, "segment int, slice long, keys binary")
+    answers = asked.groupBy("segment").cogroup(built.select("segment", "bits", "raw").groupBy("segment")).applyInArrow(answer, "slice long, keys binary, levels binary")
+    return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
 
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_bits: int = 1 << 29) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; the model learns from the
-    rows of ``in_training``."""
+    rows of ``in_training``. A filter of more than ``max_bits`` is not broadcast; the scores are the same."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), in_training(id_column).alias("learn"), F.col(text_column).alias("text"))
-    model, counts = fit(source.filter("learn"), "text", max_bits)
+    model, counts, built = fit(source.filter("learn"), "text", max_bits)
     shared, state = spark.sparkContext.broadcast(model), {}
 
     def run(batches: Batches) -> Batches:
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
-        floor = math.log10(scorer.model.total + scorer.model.distinct + 1)
         for batch in batches:
-            texts, at = texts_of(batch.column(2)), 0
-            for tokens, lengths in tokens_of(texts):
-                scores, ids, exact = scorer.score(tokens, lengths)
-                starts = np.cumsum(lengths) - lengths
-                in_top = exact >= 0
-                base = np.add.reduceat(np.where(in_top, np.log10(np.maximum(exact, 0) + 1.0) - floor, 0.0), starts)
-                known = np.add.reduceat(in_top.astype(np.int64), starts)
-                rare_at = np.flatnonzero(~in_top)
-                cuts = np.searchsorted(rare_at, np.r_[starts, len(ids)])
-                rare = [[{"token": t, "tf": n} for t, n in Counter([tokens[i] for i in rare_at[a:b].tolist()]).items()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                rows = slice(at, at + len(lengths))
-                held = [not x for x in batch.column(1).to_pylist()[rows]]
-                columns = [batch.column(0)[rows], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, SCORED.field("rare").type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=SCORED)
-                at += len(lengths)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: int>>"
-    rows = saved(source.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+            yield from scored(scorer, *batch.columns)
+
+    rows = source.mapInArrow(run, SCORED_SQL) if built is None else score_by_slices(source, shared, built)
+    rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()))
     whole = float(model.total + model.distinct + 1)
     each = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.token", "r.tf").join(counts, "token", "left")
     count = F.coalesce("c", F.lit(0))

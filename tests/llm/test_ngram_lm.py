@@ -36,21 +36,74 @@ def test_filter_reads_back_quantised_counts():
     counts = np.maximum(1, rng.pareto(1, len(keys)).astype(np.int64))
     rows = []
     for s in range(lm.SEGMENTS):
-        own = lm.segment_of(keys) == s
+        own = lm.segment_of(keys, lm.SEGMENTS) == s
         if own.any():
-            rows.append((s, *lm.build_segment(keys[own], counts[own], 1 << 20)[:2]))
-    found = lm.Filter.join(rows)
+            rows.append((s, *lm.build_segment(keys[own], counts[own])))
+    found = lm.Filter.join(rows, lm.SEGMENTS)
     levels, q = found.levels(keys), lm.quantise(counts)
     assert (levels >= q).all() and (levels > q).mean() < 0.06  # it only ever errs upwards
     other = rng.integers(0, 2**63, 60_000, dtype=np.uint64)
     assert (found.levels(other) > 0).mean() < 0.06
 
 
-def test_a_full_segment_leaves_out_the_lowest_counts():
-    keys = np.arange(1000, dtype=np.uint64)
-    counts = np.r_[np.ones(900, np.int64), np.full(100, 50)]
-    bits, _, floor = lm.build_segment(keys, counts, 10_000)
-    assert bits <= 10_000 and floor == 2
+def test_segments_grow_with_the_corpus():
+    keys = np.array([0, 1 << 63, 2**64 - 1], np.uint64)
+    for tokens in (0, 10**6, 10**9, 10**11, 10**13):
+        n = lm.segments_of(tokens)
+        assert n >= lm.SEGMENTS and n * lm.SEGMENT_TOKENS >= tokens
+        assert lm.segment_of(keys, n).tolist() == [0, n // 2, n - 1]
+
+
+def test_large_counts_are_dealt_whole():
+    keys, counts = np.array([5, 3, 2**64 - 1], np.uint64), np.array([70_000, 10**12, 2])
+    rows = lm.dealt(keys, counts, lm.SEGMENTS).to_pylist()
+    assert [(r["segment"], np.frombuffer(r["keys"], "<u8").tolist()) for r in rows] == [(0, [3, 5]), (lm.SEGMENTS - 1, [2**64 - 1])]
+    assert np.frombuffer(rows[0]["counts"], "<u8").tolist() == [10**12, 70_000] and np.frombuffer(rows[1]["counts"], "<u2").tolist() == [2]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 22])
+def test_scores_do_not_depend_on_max_bits(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "SLICE_ROWS", 7)
+    monkeypatch.setattr(lm, "HOT_LEVEL", 2)
+    rng = np.random.default_rng(3)
+    texts = TEXTS + [" ".join(f"w{i}" for i in rng.zipf(1.5, 200) % 300) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "null id"), (1, "the cat")], "doc_id long, text string").repartition(3)
+    whole, split = (sorted(map(tuple, lm.score_documents(docs, max_bits=m).collect()), key=repr) for m in (1 << 29, 0))
+    assert len(whole) == len(texts) + 2
+    for a, b in zip(whole, split, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
+
+
+def exact_scores(rows):
+    """Scores of the model with exact counts, put in the middle of their quantised range."""
+    parts = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in rows}
+    learn = [p for i, p in parts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for p in learn for w in p), Counter(x for p in learn for x in zip([b"\t", *p[:-1]], p, strict=True))
+    n, v = sum(one.values()), len(one)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        low, high = (m, high) if sum(c ** (m := (low + high) / 2) for c in one.values()) < len(two) else (low, m)
+
+    def read(c):
+        alike = [k for k in range(1, 3 * c + 3) if lm.quantise(np.array([k]))[0] == lm.quantise(np.array([c]))[0]]
+        return (alike[0] + alike[-1]) / 2 if c else 0.0
+
+    def p(w, before):
+        whole = (read(one[w]) + 1) / (n + v + 1)
+        c = float(len(learn)) if before == b"\t" else read(one[before])
+        return (min(read(two[before, w]), c) + c**low * whole) / (c + c**low) if c else whole
+
+    return {i: sum(math.log10(p(w, b)) for b, w in zip([b"\t", *p_[:-1]], p_, strict=True)) for i, p_ in parts.items()}
+
+
+@pytest.mark.parametrize("max_bits", [0, 1 << 29])
+def test_score_equals_brute_force(spark, monkeypatch, max_bits):
+    monkeypatch.setattr(lm, "BITS_PER_EVENT", 400.0)  # hardly any false positives
+    rows = list(enumerate(TEXTS))
+    want = exact_scores(rows)
+    for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), max_bits=max_bits).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=2e-3)
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
@@ -70,7 +123,7 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 def test_probabilities_add_up(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    model, counts = lm.fit(docs.filter(lm.in_training()))
+    model, counts, _ = lm.fit(docs.filter(lm.in_training()))
     vocabulary = [bytes(r.token) for r in counts.collect()]
     scorer = lm.Scorer(model)
     total = 0.0
@@ -82,4 +135,5 @@ def test_probabilities_add_up(spark):
 
 
 def test_empty_table(spark):
-    assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    for max_bits in (0, 1 << 29):
+        assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), max_bits=max_bits).count() == 0
