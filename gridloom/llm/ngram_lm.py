@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.text import Batches, saved, tasks_of, texts_of
+from gridloom.llm.text import Batches, saved, stored, tasks_of, texts_of
 
 #: A word never holds white space, so these stand for a text's start and its end.
 START, END = b"\t", b"\n"
@@ -52,7 +52,7 @@ SLICE = 4_000_000
 #: Distinct pairs that a task gathers before it deals them out.
 GATHERED = 1_500_000
 #: Rows of a slice of texts, n-grams whose levels are broadcast, and the least quantised count of these.
-SLICE_ROWS, HOT, HOT_LEVEL = 512, 1 << 22, 8
+SLICE_ROWS, HOT, HOT_LEVEL = 512, 1 << 22, 3
 
 U = np.uint64
 
@@ -162,10 +162,9 @@ class Known:
     beyond: Known | None = None
 
     @classmethod
-    def of(cls, rows: list[tuple[bytes, bytes]], beyond: Known | None = None) -> Known:
-        keys = np.frombuffer(b"".join(k for k, _ in rows), "<u8")
-        keys, first = np.unique(keys, return_index=True)
-        return cls(keys, np.frombuffer(b"".join(v for _, v in rows), np.uint8)[first], beyond)
+    def of(cls, rows: list[tuple[bytes, bytes]]) -> Known:
+        keys, first = np.unique(np.frombuffer(b"".join(k for k, _ in rows), "<u8"), return_index=True)
+        return cls(keys, np.frombuffer(b"".join(v for _, v in rows), np.uint8)[first])
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -240,13 +239,24 @@ def cut(keys: np.ndarray, segments: int):
     return segment[starts], [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on: the high bytes of sorted keys and of counts compress well."""
+    return np.ascontiguousarray(numbers.view("u1").reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(width, len(raw) // width).T).reshape(-1).view(kind)
+
+
 def dealt(keys: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
-    """One row per segment: its keys in order, eight bytes each, and their counts, two bytes each or, where one is too large, eight."""
+    """One row per segment: its keys in order, eight bytes each, and their counts, two bytes each or, where one is too
+    large, eight."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order].astype("<u8"), counts[order]
     segment, parts = cut(keys, segments)
     small, large = counts.astype("<u2"), counts.astype("<u8")
-    columns = [pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([(small if counts[p].max() < 1 << 16 else large)[p].tobytes() for p in parts], pa.binary())]
+    columns = [pa.array([planes(keys[p]) for p in parts], pa.binary()), pa.array([planes((small if counts[p].max() < 1 << 16 else large)[p]) for p in parts], pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), *columns], ["segment", "keys", "counts"])
 
 
@@ -321,7 +331,7 @@ def build_filter(rows: DataFrame, tokens: int) -> DataFrame:
                     yield built(current, parts)
                     parts = []
                 current = segment
-                parts.append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u2" if len(counts) * 4 == len(keys) else "<u8")))
+                parts.append((from_planes(keys, "<u8"), from_planes(counts, "<u2" if len(counts) * 4 == len(keys) else "<u8")))
         if parts:
             yield built(current, parts)
 
@@ -409,7 +419,7 @@ class Scorer:
     """Scores the texts of one task. ``filter`` gives the levels of n-grams."""
 
     def __init__(self, model: Model):
-        self.model, self.filter, self.words = model, model.filter, Words()
+        self.model, self.filter, self.words, self.words_of_keys = model, model.filter, Words(), Words()
         self.counts, self.exact = np.zeros(0), np.zeros(0, np.int64)
 
     def score(self, tokens: list[bytes], lengths: np.ndarray):
@@ -456,48 +466,52 @@ def scored(scorer: Scorer, doc_ids: pa.Array, learn: pa.Array, column: pa.Array)
         at += len(lengths)
 
 
+def slice_keys(texts: list[bytes], words: Words, model: Model) -> np.ndarray:
+    """The n-grams of a slice, in order, whose levels the model does not hold. The order of the texts does not matter."""
+    found = [np.zeros(0, np.uint64)]
+    for tokens, lengths in tokens_of(texts):
+        ids, _ = words.numbers(tokens)
+        keys = np.r_[word_key(words.hashes[np.unique(ids)]), pair_key(contexts(ids, lengths, words.hashes), words.hashes[ids])]
+        found.append(np.unique(keys))
+    keys = np.unique(np.concatenate(found))
+    return keys[~model.filter.has(keys)].astype("<u8")
+
+
 def score_by_slices(source: DataFrame, shared, built: DataFrame) -> DataFrame:
     """Rows of SCORED where the filter stays in its segments ``built``. ``shared`` is the broadcast model.
 
-    A segment's task gets the n-grams of all slices that belong to it, but for the most frequent ones."""
-    # Slices are numbers of rows that are fixed in the checkpoint folder, so a lost task finds the same ones again.
-    fixed = saved(source.withColumn("slice", F.floor(F.monotonically_increasing_id() / SLICE_ROWS)))
+    A segment's task gets the n-grams of all slices that belong to it, but for the most frequent ones, and answers with
+    their levels alone, as each slice finds its n-grams again."""
+    # Slices are runs of rows that are fixed in the checkpoint folder, so a lost task finds the same ones again.
+    fixed = stored(source.withColumn("slice", F.floor(F.monotonically_increasing_id() / SLICE_ROWS)))
     state: dict = {}
 
-    def ask(batches: Batches) -> Batches:
-        model, words = shared.value, Words()
-        for batch in batches:
-            slices = batch.column(0).to_numpy()
-            for number in np.unique(slices):
-                own = batch.filter(pa.array(slices == number))
-                for tokens, lengths in tokens_of(texts_of(own.column(1))):
-                    ids, _ = words.numbers(tokens)
-                    own_words = words.hashes[np.unique(ids)]
-                    keys = np.unique(np.r_[word_key(own_words), pair_key(contexts(ids, lengths, words.hashes), words.hashes[ids])])
-                    keys = keys[~model.filter.has(keys)].astype("<u8")
-                    segment, parts = cut(keys, model.segments)
-                    columns = [pa.array(segment, pa.int32()), pa.array(np.full(len(parts), number), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["segment", "slice", "keys"])
+    def ask(rows: pa.Table) -> pa.Table:
+        model = shared.value
+        words = state.get("words") or state.setdefault("words", Words())
+        keys = slice_keys(texts_of(rows.column("text").combine_chunks()), words, model)
+        segment, parts = cut(keys, model.segments)
+        number = np.full(len(parts), rows.column("slice")[0].as_py())
+        return pa.table({"segment": pa.array(segment, pa.int32()), "slice": pa.array(number, pa.int64()), "keys": pa.array([planes(keys[p]) for p in parts], pa.binary())})
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = asked.column("keys").to_pylist()
-        every = np.frombuffer(b"".join(keys), "<u8")
-        levels = np.zeros(len(every), np.uint8)
+        keys = [from_planes(k, "<u8") for k in asked.column("keys").to_pylist()]
+        levels = [np.zeros(len(k), np.uint8) for k in keys]
         for bits, raw in zip(segment.column("bits").to_pylist(), segment.column("raw").to_pylist(), strict=True):  # one at most
-            different, back = np.unique(every, return_inverse=True)
-            levels = probe_one(different, bits, raw).astype(np.uint8)[back]
-        ends = np.cumsum([len(k) // 8 for k in keys], dtype=np.int64)
-        parts = [levels[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)] if keys else []
-        return pa.table({"slice": asked.column("slice"), "keys": pa.array(keys, pa.binary()), "levels": pa.array(parts, pa.binary())})
+            levels = [probe_one(k, bits, raw).astype(np.uint8) for k in keys]
+        return pa.table({"slice": asked.column("slice"), "segment": asked.column("segment"), "levels": pa.array([x.tobytes() for x in levels], pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
-        scorer.filter = Known.of(list(zip(answers.column("keys").to_pylist(), answers.column("levels").to_pylist(), strict=True)), shared.value.filter)
         columns = [rows.column(c).combine_chunks() for c in ("doc_id", "learn", "text")]
+        keys = slice_keys(texts_of(columns[2]), scorer.words_of_keys, scorer.model)
+        levels = [raw for _, raw in sorted(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist(), strict=True))]
+        scorer.filter = Known(keys, np.frombuffer(b"".join(levels), np.uint8), scorer.model.filter)
         return pa.Table.from_batches(list(scored(scorer, *columns)), SCORED)
 
-    asked = fixed.select("slice", "text").mapInArrow(ask, "segment int, slice long, keys binary")
-    answers = asked.groupBy("segment").cogroup(built.select("segment", "bits", "raw").groupBy("segment")).applyInArrow(answer, "slice long, keys binary, levels binary")
+    # Texts are shuffled by slice once; Spark uses that exchange for both.
+    asked = fixed.groupBy("slice").applyInArrow(ask, "segment int, slice long, keys binary")
+    answers = asked.groupBy("segment").cogroup(built.select("segment", "bits", "raw").groupBy("segment")).applyInArrow(answer, "slice long, segment int, levels binary")
     return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
 
 

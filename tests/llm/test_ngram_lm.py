@@ -57,8 +57,8 @@ def test_segments_grow_with_the_corpus():
 def test_large_counts_are_dealt_whole():
     keys, counts = np.array([5, 3, 2**64 - 1], np.uint64), np.array([70_000, 10**12, 2])
     rows = lm.dealt(keys, counts, lm.SEGMENTS).to_pylist()
-    assert [(r["segment"], np.frombuffer(r["keys"], "<u8").tolist()) for r in rows] == [(0, [3, 5]), (lm.SEGMENTS - 1, [2**64 - 1])]
-    assert np.frombuffer(rows[0]["counts"], "<u8").tolist() == [10**12, 70_000] and np.frombuffer(rows[1]["counts"], "<u2").tolist() == [2]
+    assert [(r["segment"], lm.from_planes(r["keys"], "<u8").tolist()) for r in rows] == [(0, [3, 5]), (lm.SEGMENTS - 1, [2**64 - 1])]
+    assert lm.from_planes(rows[0]["counts"], "<u8").tolist() == [10**12, 70_000] and lm.from_planes(rows[1]["counts"], "<u2").tolist() == [2]
 
 
 @pytest.mark.parametrize("hot", [0, 3, 1 << 22])
