@@ -496,10 +496,13 @@ def score_by_slices(source: DataFrame, shared, built: DataFrame) -> DataFrame:
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
         keys = [from_planes(k, "<u8") for k in asked.column("keys").to_pylist()]
-        levels = [np.zeros(len(k), np.uint8) for k in keys]
+        every = np.concatenate([np.zeros(0, np.uint64), *keys])
+        levels = np.zeros(len(every), np.uint8)
         for bits, raw in zip(segment.column("bits").to_pylist(), segment.column("raw").to_pylist(), strict=True):  # one at most
-            levels = [probe_one(k, bits, raw).astype(np.uint8) for k in keys]
-        return pa.table({"slice": asked.column("slice"), "segment": asked.column("segment"), "levels": pa.array([x.tobytes() for x in levels], pa.binary())})
+            levels = probe_one(every, bits, raw).astype(np.uint8)
+        ends = np.cumsum([0, *map(len, keys)])
+        parts = [levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"slice": asked.column("slice"), "segment": asked.column("segment"), "levels": pa.array(parts, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
