@@ -16,8 +16,8 @@ from gridloom.operators import blocks, cells, isosurface, lines, pyramid, qualit
 from gridloom.sources.tables import Grid, embedding_grid, event_series, sales_grid, table
 
 TF_KNOTS = [0.0 if i % 5 == 0 else i / 64 for i in range(33)]
-#: Grid of sample points; none lies on a voxel centre.
-POINTS = (37, 11, 13)
+#: Sample points along x and y; there are more of them along z in a deeper grid. None lies on a voxel centre.
+POINTS = (37, 11)
 ISO = 0.5
 CONFIG = pyramid.Config(levels=3, base=16, scale=2.0, log2_slots=12)
 DIGITS = 6
@@ -55,8 +55,8 @@ def distorted(voxels: DataFrame) -> DataFrame:
     return voxels.withColumn("v", F.round(F.col("v"), 1))
 
 
-def sample_points(spark: SparkSession) -> DataFrame:
-    return sampling.grid_points(spark, *POINTS).drop("x", "y", "z")
+def sample_points(spark: SparkSession, g: Grid) -> DataFrame:
+    return sampling.grid_points(spark, *POINTS, g.nz // 2 + 1).drop("x", "y", "z")
 
 
 def opaque(voxels: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ with ve as (
 ), op as (
   select *, coalesce(list_max({KNOTS_SQL}[greatest(cast(floor(vmin * 32 + 0.5e0) as int) - 1, 0) + 1 : least(cast(floor(vmax * 32 + 0.5e0) as int) + 1, 32) + 1]), 0e0) as max_opacity from mc
 ), pt as (
-  select i as point_id, (i % 37 + 0.5e0) / 37 as px, (i // 37 % 11 + 0.5e0) / 11 as py, (i // 407 + 0.5e0) / 13 as pz from (select unnest(range(5291)) as i)
+  select i as point_id, (i % 37 + 0.5e0) / 37 as px, (i // 37 % 11 + 0.5e0) / 11 as py, (i // 407 + 0.5e0) / (nz // 2 + 1) as pz from (select unnest(range(407 * (nz // 2 + 1))) as i, nz from rg)
 ), pq as (
   select point_id, greatest(least(px * nx, nx - 0.5e0), 0.5e0) - 0.5e0 as qx, greatest(least(py * ny, ny - 0.5e0), 0.5e0) - 0.5e0 as qy, greatest(least(pz * nz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz, nx, ny, nz from pt, rg
 ), pc as (
@@ -190,7 +190,7 @@ def a3_macrocell(spark, sf_dir):
 )
 def a4_macrocell_samples(spark, sf_dir):
     g = grid(spark, sf_dir)
-    points = sample_points(spark)
+    points = sample_points(spark, g)
     values = sampling.trilinear(points, g.voxels, g.nx, g.ny, g.nz)
     return rounded(cells.macrocells_of_points(points.join(values, "point_id").drop("point_id"), g.nx, g.ny, g.nz), "vmin", "vmax")
 
@@ -255,13 +255,13 @@ def p2_normalize_step(spark, sf_dir):
 @query(sql_round("select * from tri", "v"))
 def j1_trilinear(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return rounded(sampling.trilinear(sample_points(spark), g.voxels, g.nx, g.ny, g.nz), "v")
+    return rounded(sampling.trilinear(sample_points(spark, g), g.voxels, g.nx, g.ny, g.nz), "v")
 
 
 @query(sql_round("select point_id, v from (select point_id, cast(floor(least(px * nx, nx - 0.5e0)) as int) as x, cast(floor(least(py * ny, ny - 0.5e0)) as int) as y, cast(floor(least(pz * nz, nz - 0.5e0)) as int) as z from pt, rg) join vn using (x, y, z)", "v"))
 def j2_nearest(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return rounded(sampling.nearest(sample_points(spark), g.voxels, g.nx, g.ny, g.nz).select("point_id", "v"), "v")
+    return rounded(sampling.nearest(sample_points(spark, g), g.voxels, g.nx, g.ny, g.nz).select("point_id", "v"), "v")
 
 
 @query(
@@ -293,14 +293,14 @@ def l1_random_points(spark, sf_dir):
   select n.x, n.y, n.z, least(floor(qx) + a, nx - 1) as cx, least(floor(qy) + b, ny - 1) as cy, least(floor(qz) + c, nz - 1) as cz,
     (case a when 0 then 1 - (qx - floor(qx)) else qx - floor(qx) end) * (case b when 0 then 1 - (qy - floor(qy)) else qy - floor(qy) end) * (case c when 0 then 1 - (qz - floor(qz)) else qz - floor(qz) end) as w
   from (select i % 8 as x, i // 8 % 5 as y, i // 40 as z, greatest(least((i % 8) / 7e0 * nx, nx - 0.5e0), 0.5e0) - 0.5e0 as qx, greatest(least((i // 8 % 5) / 4e0 * ny, ny - 0.5e0), 0.5e0) - 0.5e0 as qy,
-    greatest(least((i // 40) / 4e0 * nz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz, nx, ny, nz from (select unnest(range(200)) as i), rg) as n, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)
+    greatest(least((i // 40) / (nz // 8 + 1e0) * nz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz, nx, ny, nz from (select unnest(range(40 * (nz // 8 + 2))) as i, * from rg)) as n, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)
 ) join vn on vn.x = cx and vn.y = cy and vn.z = cz group by 1, 2, 3""",
         "v",
     ).replace("join vn on", "as k join vn on").replace("select cast(x as int) as x, cast(y as int) as y, cast(z as int) as z, sum(w * v)", "select cast(k.x as int) as x, cast(k.y as int) as y, cast(k.z as int) as z, sum(w * vn.v)")
 )
 def l4_resample(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return rounded(sampling.resample(spark, g.voxels, (g.nx, g.ny, g.nz), (8, 5, 5)), "v")
+    return rounded(sampling.resample(spark, g.voxels, (g.nx, g.ny, g.nz), (8, 5, g.nz // 8 + 2)), "v")
 
 
 # --- comparison ----------------------------------------------------------------------------------------------------
@@ -321,7 +321,7 @@ def a6_psnr(spark, sf_dir):
 @query(sql_round("select avg(abs(tri.v - d.v)) as loss from tri join (select point_id, sum(w * round(v, 1)) as v from pc join vn using (x, y, z) group by point_id) as d using (point_id)", "loss"))
 def a7_l1(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return rounded(quality.sampled_loss(sample_points(spark), g.voxels, distorted(g.voxels), (g.nx, g.ny, g.nz)), "loss")
+    return rounded(quality.sampled_loss(sample_points(spark, g), g.voxels, distorted(g.voxels), (g.nx, g.ny, g.nz)), "loss")
 
 
 BOX = ", ".join(f"sum({{c}}{c}) over w as {c}" for c in ("a", "b", "aa", "bb", "ab")).replace("{c}", "")
@@ -428,12 +428,12 @@ def p14_relief(spark, sf_dir):
 
 
 def voxel_rays(voxels: DataFrame) -> DataFrame:
-    """A line from every voxel of the lowest slice, slanted by its own value."""
+    """A line for every voxel, from below the grid, slanted by the voxel's own value."""
     place = [(F.col("x") + 0.5).alias("ox"), (F.col("y") + 0.5).alias("oy"), F.lit(-1.0).alias("oz")]
-    return voxels.filter("z = 0").select((F.col("x") + 64 * F.col("y")).cast("long").alias("ray_id"), *place, (F.col("v") - 0.5).alias("dx"), (0.25 - F.col("v") / 2).alias("dy"), F.lit(1.0).alias("dz"))
+    return voxels.select(S.linear_id(F.col("x"), F.col("y"), F.col("z"), 64, 20).cast("long").alias("ray_id"), *place, (F.col("v") - 0.5).alias("dx"), (0.25 - F.col("v") / 2).alias("dy"), F.lit(1.0).alias("dz"))
 
 
-RAYS = """, ry as (select cast(x + 64 * y as bigint) as ray_id, x + 0.5e0 as ox, y + 0.5e0 as oy, -1e0 as oz, v - 0.5e0 as dx, 0.25e0 - v / 2 as dy, 1e0 as dz from vn where z = 0),
+RAYS = """, ry as (select cast(x + 64 * (y + 20 * z) as bigint) as ray_id, x + 0.5e0 as ox, y + 0.5e0 as oy, -1e0 as oz, v - 0.5e0 as dx, 0.25e0 - v / 2 as dy, 1e0 as dz from vn),
 bx as (select * from (select ry.*, nx, ny, nz, greatest(0e0, least(-ox / dx, (nx - ox) / dx), least(-oy / dy, (ny - oy) / dy), least(-oz / dz, (nz - oz) / dz)) as t0,
   least(1e20, greatest(-ox / dx, (nx - ox) / dx), greatest(-oy / dy, (ny - oy) / dy), greatest(-oz / dz, (nz - oz) / dz)) as t1 from ry, rg) where t1 > t0)
 """
