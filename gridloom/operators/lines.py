@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import CELL, adaptive_step, coordinates, even_steps
+from gridloom.functions.scalars import CELL, adaptive_step, coordinates, even_steps, opacity
+from gridloom.operators.sampling import trilinear
 
-OPAQUE = 0.9999
+OPAQUE, TRANSPARENT = 0.9999, 1e-6
 AXES = ("x", "y", "z")
 
 
@@ -115,6 +117,40 @@ def axis_shadow(voxels: DataFrame, lights: DataFrame, alpha: str = "a") -> DataF
     return found.groupBy(*AXES).agg(F.sum("light").alias("light"))
 
 
+def sampled(samples: DataFrame, voxels: DataFrame, dims: tuple, transfer: Callable[[Column], Column], rate: float = 1.0) -> DataFrame:
+    """Samples of lines with the volume's value ``v`` there and their opacity ``a``: that of the transfer function, for the
+    sample's length."""
+    place = [(F.col(f"p{a}") / n).alias(f"p{a}") for a, n in zip(AXES, dims, strict=True)]
+    ids = samples.select(F.struct("ray_id", "k", "dist").alias("point_id"), *place)
+    values = trilinear(ids, voxels, *dims).select("point_id.*", "v")
+    return values.withColumn("a", opacity(transfer(F.col("v")), F.col("dist"), rate))
+
+
+def march(rays: DataFrame, voxels: DataFrame, cells: DataFrame, dims: tuple, transfer: Callable[[Column], Column], step: float = 1.0, rate: float = 1.0, adaptive: bool = True) -> DataFrame:
+    """``ray_id, k, dist, v, a``: the samples of all rays in the cells that are not transparent. ``cells`` has their
+    ``max_opacity``; transparent ones are left out before a ray is cut into samples."""
+    crossed = cells_on_lines(box_interval(rays, (0, 0, 0), dims), dims)
+    live = crossed.join(cells.filter(F.col("max_opacity") > TRANSPARENT).select("cx", "cy", "cz", "max_opacity"), ["cx", "cy", "cz"])
+    return sampled(samples_on_lines(live, step, adaptive), voxels, dims, transfer, rate)
+
+
+def shadow(voxels: DataFrame, cells: DataFrame, lights: DataFrame, dims: tuple, transfer: Callable[[Column], Column], step: float = 1.0, rate: float = 1.0) -> DataFrame:
+    """``x, y, z, light``: the light that reaches the centre of each voxel from distant lights in any direction. ``lights`` has
+    ``light_id``, the direction ``x, y, z`` towards the light in voxel units, and ``intensity``. Each voxel sends a line to
+    each light; a line without a sample that is not transparent is lit in full."""
+    given = lights.collect()  # a handful of lights, given by the user
+    whole = F.lit(float(sum(light.intensity for light in given)))
+    if not given:
+        return voxels.select(*AXES, whole.alias("light"))
+    number = lambda v: F.lit(float(v))
+    towards = F.array(*[F.struct(F.lit(n).alias("n"), number(light.intensity).alias("intensity"), *[number(light[a]).alias(f"d{a}") for a in AXES]) for n, light in enumerate(given)])
+    rays = voxels.select(*AXES, F.explode(towards).alias("to"))
+    rays = rays.select(F.struct(*AXES, "to.n", "to.intensity").alias("ray_id"), *[(F.col(a) + 0.5).alias(f"o{a}") for a in AXES], *[f"to.d{a}" for a in AXES])
+    left = line_transmittance(march(rays, voxels, cells, dims, transfer, step, rate, adaptive=False), ["ray_id"])
+    lost = left.groupBy(*[F.col(f"ray_id.{a}").alias(a) for a in AXES]).agg(F.sum((1 - F.col("T")) * F.col("ray_id.intensity")).alias("lost"))
+    return voxels.select(*AXES).join(lost, [*AXES], "left").select(*AXES, (whole - F.coalesce("lost", F.lit(0.0))).alias("light"))
+
+
 def progressive_mean(frames: DataFrame, key: list[str], value: str) -> DataFrame:
     """Mean over frames for each key, as frames come in."""
     return frames.groupBy(*key).agg(F.avg(value).alias("mean"), F.count(value).alias("frames"))
@@ -124,3 +160,11 @@ def ring_directions(spark: SparkSession, n: int, theta: float, phi0: float = 0.0
     """n directions on a ring, each of intensity 1/n."""
     phi = F.lit(phi0) + F.col("id") * (2 * math.pi / n)
     return spark.range(n).select(F.col("id").alias("light_id"), (math.sin(theta) * F.cos(phi)).alias("x"), (math.sin(theta) * F.sin(phi)).alias("y"), F.lit(math.cos(theta)).alias("z"), F.lit(1.0 / n).alias("intensity"))
+
+
+def random_directions(spark: SparkSession, n: int, seed: int = 1337) -> DataFrame:
+    """n random directions, each of intensity 1/n: two angles, one over the whole and one over half a turn. A direction
+    depends on its number and the seed alone."""
+    unit = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), 11) / float(1 << 53)
+    theta, phi = 2 * math.pi * unit(0), math.pi * unit(1)
+    return spark.range(n).select(F.col("id").alias("light_id"), (F.sin(theta) * F.cos(phi)).alias("x"), (F.sin(theta) * F.sin(phi)).alias("y"), F.cos(theta).alias("z"), F.lit(1.0 / n).alias("intensity"))

@@ -433,10 +433,12 @@ def voxel_rays(voxels: DataFrame) -> DataFrame:
     return voxels.select(S.linear_id(F.col("x"), F.col("y"), F.col("z"), 64, 20).cast("long").alias("ray_id"), *place, (F.col("v") - 0.5).alias("dx"), (0.25 - F.col("v") / 2).alias("dy"), F.lit(1.0).alias("dz"))
 
 
-RAYS = """, ry as (select cast(x + 64 * (y + 20 * z) as bigint) as ray_id, x + 0.5e0 as ox, y + 0.5e0 as oy, -1e0 as oz, v - 0.5e0 as dx, 0.25e0 - v / 2 as dy, 1e0 as dz from vn),
+VOXEL_RAYS = "select cast(x + 64 * (y + 20 * z) as bigint) as ray_id, x + 0.5e0 as ox, y + 0.5e0 as oy, -1e0 as oz, v - 0.5e0 as dx, 0.25e0 - v / 2 as dy, 1e0 as dz from vn"
+BOX_HITS = """,
 bx as (select * from (select ry.*, nx, ny, nz, greatest(0e0, least(-ox / dx, (nx - ox) / dx), least(-oy / dy, (ny - oy) / dy), least(-oz / dz, (nz - oz) / dz)) as t0,
   least(1e20, greatest(-ox / dx, (nx - ox) / dx), greatest(-oy / dy, (ny - oy) / dy), greatest(-oz / dz, (nz - oz) / dz)) as t1 from ry, rg) where t1 > t0)
 """
+RAYS = f", ry as ({VOXEL_RAYS})" + BOX_HITS
 
 
 def boxed(g: Grid) -> DataFrame:
@@ -448,7 +450,7 @@ def f6_ray_box(spark, sf_dir):
     return rounded(boxed(grid(spark, sf_dir)).select("ray_id", "t0", "t1"), "t0", "t1")
 
 
-CROSSED = RAYS + """, cr as (select ray_id, t0 as t from bx union select ray_id, t1 from bx
+CROSSINGS = """, cr as (select ray_id, t0 as t from bx union select ray_id, t1 from bx
   union select ray_id, t from (select ray_id, t0, t1, unnest([(p * 16 - ox) / dx for p in range(0, (nx + 15) // 16 + 1)]) as t from bx) where t > t0 and t < t1
   union select ray_id, t from (select ray_id, t0, t1, unnest([(p * 16 - oy) / dy for p in range(0, (ny + 15) // 16 + 1)]) as t from bx) where t > t0 and t < t1
   union select ray_id, t from (select ray_id, t0, t1, unnest([(p * 16 - oz) / dz for p in range(0, (nz + 15) // 16 + 1)]) as t from bx) where t > t0 and t < t1),
@@ -456,6 +458,7 @@ cs as (select * from (select ray_id, cast(row_number() over w - 1 as int) as ste
 cl as (select cs.*, cast(floor((ox + (c0 + c1) / 2 * dx) / 16) as int) as cx, cast(floor((oy + (c0 + c1) / 2 * dy) / 16) as int) as cy, cast(floor((oz + (c0 + c1) / 2 * dz) / 16) as int) as cz,
   ox, oy, oz, dx, dy, dz, nx, ny, nz from cs join bx using (ray_id))
 """
+CROSSED = RAYS + CROSSINGS
 
 
 @query(CROSSED + "select ray_id, step, cx, cy, cz, round(c0, 6) as c0, round(c1, 6) as c1 from cl")
@@ -479,6 +482,82 @@ def j8_line_samples(spark, sf_dir):
     return rounded(sampling.nearest(unit, g.voxels, g.nx, g.ny, g.nz).select("ray_id", "k", "v"), "v")
 
 
+def camera(g: Grid) -> tuple:
+    """Pixels of a picture of the grid, the eye, what it looks at, and what is up."""
+    return g.nx, g.nz, (80.0, 33.0, -0.5 * g.nz), (30.0, 9.0, 0.5 * g.nz), (0.1, 1.0, 0.2)
+
+
+#: The camera's plane from its eye, as ``make_rays`` has it: unit vector ahead (e), picture's width (h) and height (v).
+PIXELS = """, c0 as (select nx as w, nz as t, 80e0 as ox, 33e0 as oy, -0.5e0 * nz as oz, 30e0 - 80e0 as ax, 9e0 - 33e0 as ay, 0.5e0 * nz + 0.5e0 * nz as az from rg),
+c1 as (select w, t, ox, oy, oz, ax / n as ex, ay / n as ey, az / n as ez from (select *, sqrt(ax * ax + ay * ay + az * az) as n from c0)),
+c2 as (select *, ey * 0.2e0 - ez * 1e0 as kx, ez * 0.1e0 - ex * 0.2e0 as ky, ex * 1e0 - ey * 0.1e0 as kz, 2 * tan(radians(60e0) / 2) as tall from c1),
+c3 as (select *, kx / n * tall * w / t as hx, ky / n * tall * w / t as hy, kz / n * tall * w / t as hz from (select *, sqrt(kx * kx + ky * ky + kz * kz) as n from c2)),
+c4 as (select *, hy * ez - hz * ey as gx, hz * ex - hx * ez as gy, hx * ey - hy * ex as gz from c3),
+c5 as (select *, tall * gx / m as vx, tall * gy / m as vy, tall * gz / m as vz from (select *, sqrt(gx * gx + gy * gy + gz * gz) as m from c4)),
+c6 as (select id as ray_id, ox, oy, oz, ex + sx * hx + sy * vx as wx, ey + sx * hy + sy * vy as wy, ez + sx * hz + sy * vz as wz
+  from (select *, (id % w + 0.5e0) / w - 0.5e0 as sx, (id // w + 0.5e0) / t - 0.5e0 as sy from (select *, unnest(range(cast(w * t as bigint))) as id from c5))),
+ry as (select ray_id, ox, oy, oz, wx / n as dx, wy / n as dy, wz / n as dz from (select *, sqrt(wx * wx + wy * wy + wz * wz) as n from c6))
+"""
+
+
+@query(PIXELS + "select ray_id, " + ", ".join(f"round({c}, 6) + 0e0 as {c}" for c in ("ox", "oy", "oz", "dx", "dy", "dz")) + " from ry")
+def p17_rays(spark, sf_dir):
+    g = embedding_grid(spark, sf_dir)
+    return rounded(lines.make_rays(spark, *camera(g)), "ox", "oy", "oz", "dx", "dy", "dz")
+
+
+def marched_sql(step: str) -> str:
+    """Samples of the lines ``ry`` in cells that are not transparent, with their value, opacity and the light left before."""
+    return (
+        BOX_HITS
+        + CROSSINGS
+        + f""", li as (select cl.*, cast(floor((c1 - c0) / {step}) as int) + 1 as m from cl join op using (cx, cy, cz) where max_opacity > 1e-6),
+sm as (select ray_id, cast(step * 100000 + i as bigint) as k, ds, ox + t * dx as sx, oy + t * dy as sy, oz + t * dz as sz, nx, ny, nz
+  from (select *, c0 + (i + 0.5e0) * ds as t from (select *, (c1 - c0) / m as ds, unnest(range(0, m)) as i from li))),
+sq as (select *, greatest(least(sx, nx - 0.5e0), 0.5e0) - 0.5e0 as qx, greatest(least(sy, ny - 0.5e0), 0.5e0) - 0.5e0 as qy, greatest(least(sz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz from sm),
+sc as (select ray_id, k, ds, least(floor(qx) + a, nx - 1) as x, least(floor(qy) + b, ny - 1) as y, least(floor(qz) + c, nz - 1) as z,
+  (case a when 0 then 1 - (qx - floor(qx)) else qx - floor(qx) end) * (case b when 0 then 1 - (qy - floor(qy)) else qy - floor(qy) end) * (case c when 0 then 1 - (qz - floor(qz)) else qz - floor(qz) end) as w
+  from sq, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)),
+sv as (select ray_id, k, ds, least(greatest(sum(w * v), 0e0), 1e0) * 32 as u, sum(w * v) as v from sc join vn using (x, y, z) group by ray_id, k, ds),
+sa as (select ray_id, k, v, 1 - pow(1 - (kn[i + 1] * (1 - (u - i)) + kn[least(i + 2, 33)] * (u - i)), ds * 0.5e0) as a from (select *, cast(floor(u) as int) as i, {KNOTS_SQL} as kn from sv)),
+st as (select *, exp(coalesce(sum(ln(1 - a)) over (partition by ray_id order by k rows between unbounded preceding and 1 preceding), 0e0)) as left_before from sa)
+"""
+    )
+
+
+def classified(v):
+    return S.transfer(v, knots(), len(TF_KNOTS))
+
+
+@query(
+    PIXELS
+    + marched_sql("(1e0 * (1 + 15 * pow(1 - least(greatest(max_opacity, 0.1e0), 1e0), 2)))")
+    + "select ray_id, round(sum(left_before * a * v), 6) as v, round(sum(left_before * a), 6) as alpha from st where 1 - left_before < 0.9999e0 group by ray_id"
+)
+def a11_raymarch(spark, sf_dir):
+    """A picture of the volume: rays of a camera, the cells they cross, adaptive samples, and what they add up to."""
+    g = grid(spark, sf_dir)
+    samples = lines.march(lines.make_rays(spark, *camera(g)), g.voxels, opacity_cells(g), (g.nx, g.ny, g.nz), classified, 1.0, 0.5)
+    lit = lines.visible(lines.transmittance(samples, ["ray_id"], "k"))
+    return rounded(lines.composite(lit, ["ray_id"], ["v"]), "v", "alpha")
+
+
+LIGHT_SQL = "select cast(l as bigint) as l, sin(0.7e0) * cos(0.4e0 + l * (2 * pi() / 3)) as dx, sin(0.7e0) * sin(0.4e0 + l * (2 * pi() / 3)) as dy, cos(0.7e0) as dz from (select unnest([0, 1, 2]) as l)"
+
+
+@query(
+    f", lg as ({LIGHT_SQL}), ry as (select cast(x + 64 * (y + 20 * z) as bigint) * 3 + l as ray_id, x + 0.5e0 as ox, y + 0.5e0 as oy, z + 0.5e0 as oz, dx, dy, dz from ve, lg)"
+    + marched_sql("4e0")
+    + """, lf as (select ray_id // 3 as i, sum((1 - left_all) / 3e0) as lost from (select ray_id, exp(sum(ln(1 - a))) as left_all from sa group by ray_id) group by 1)
+select x, y, z, round(1e0 - coalesce(lost, 0e0), 6) + 0e0 as light from ve left join lf on i = x + 64 * (y + 20 * z)"""
+)
+def a15_shadow(spark, sf_dir):
+    """Light from a ring of three slanted lights at every voxel."""
+    g = grid(spark, sf_dir)
+    lights = lines.ring_directions(spark, 3, 0.7, 0.4)
+    return rounded(lines.shadow(g.voxels, opacity_cells(g), lights, (g.nx, g.ny, g.nz), classified, 4.0, 0.5), "light")
+
+
 # --- isosurface ----------------------------------------------------------------------------------------------------
 
 
