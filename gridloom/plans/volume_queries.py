@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
 from gridloom.operators import blocks, cells, isosurface, lines, pyramid, quality, sampling
-from gridloom.sources.tables import Grid, embedding_grid, event_series, sales_grid, table
+from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
+from gridloom.streaming import summaries
 
 TF_KNOTS = [0.0 if i % 5 == 0 else i / 64 for i in range(33)]
 #: Sample points along x and y; there are more of them along z in a deeper grid. None lies on a voxel centre.
@@ -716,6 +717,45 @@ def s8_procedural(spark, sf_dir):
     return rows.select(*[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "v")])
 
 
+# --- streams over the events' files ---------------------------------------------------------------------------------
+
+EVENT_CELLS = """, ep as (select cast(date_diff('day', timestamp '2024-01-01', ts) as int) as t, cast(user_id % 32 as int) as x, cast(hour(ts) as int) as y,
+  cast(list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) - 1 as int) as z, cast(round(value * 100) as bigint) as v from events),
+et as (select t, (x >> 4) + a.s as cx, (y >> 4) + b.s as cy, 0 as cz, v from ep, sh as a, sh as b
+  where (a.s = 0 or (a.s = -1 and x % 16 = 0) or (a.s = 1 and x % 16 = 15)) and (b.s = 0 or (b.s = -1 and y % 16 = 0) or (b.s = 1 and y % 16 = 15)))
+"""
+
+
+@query(EVENT_CELLS + "select cx, cy, cz, min(v) as vmin, max(v) as vmax from et where cx between 0 and 1 and cy between 0 and 1 group by 1, 2, 3")
+def st1_stream_cells(spark, sf_dir):
+    """Ranges of cells kept current by a stream of sample points."""
+    at = [((F.col(a) + 0.5) / n).alias(f"p{a}") for a, n in zip("xyz", SERIES, strict=True)]
+    samples = event_voxels(event_stream(spark, sf_dir)).select(*at, "v")
+    path = scratch(spark, "cells")
+    summaries.start_cells(samples, SERIES, scratch(spark, "stream"), summaries.table_sink(path)).awaitTermination()
+    return summaries.latest(spark.read.parquet(path), "cx", "cy", "cz")
+
+
+LOSS_WINDOW, LOSS_ABOVE, LOSS_AFTER = 100, 20.0, 500
+
+
+@query(f'select event_type as run, event_id // {LOSS_WINDOW} as "window", round(avg(value), 6) as loss, max(event_id) as step from events group by 1, 2 having max(event_id) > {LOSS_AFTER} and avg(value) > {LOSS_ABOVE}')
+def st2_loss_alerts(spark, sf_dir):
+    """Runs whose mean loss in a window is still high, from a stream of losses."""
+    losses = event_stream(spark, sf_dir).select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    path = scratch(spark, "losses")
+    summaries.start_losses(losses, scratch(spark, "stream"), summaries.table_sink(path), LOSS_WINDOW).awaitTermination()
+    return rounded(summaries.alerts(summaries.latest(spark.read.parquet(path), "run", "window"), LOSS_ABOVE, LOSS_AFTER), "loss")
+
+
+@query(EVENT_CELLS + "select t, cx, cy, cz, min(v) as vmin, max(v) as vmax from et where cx between 0 and 1 and cy between 0 and 1 group by 1, 2, 3, 4")
+def st4_stream_steps(spark, sf_dir):
+    """Ranges of cells of every time step, written as the steps arrive."""
+    path = scratch(spark, "steps")
+    summaries.start_steps(event_voxels(event_stream(spark, sf_dir)), SERIES, path, scratch(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path)
+
+
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,17 @@ class Grid:
     nz: int
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``; on a single machine without one, in
+    its temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "gridloom-checkpoints")
+    return f"{base}/{name}-{uuid.uuid4()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,8 +53,18 @@ def sales_grid(spark: SparkSession, sf_dir: str, n: int = 64) -> Grid:
 EVENT_TYPES = ["view", "click", "signup", "purchase", "error"]
 
 
-def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse series ``t, x, y, z, v``: day, user modulo 32, hour and kind of event; values in whole cents."""
+def event_voxels(rows: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as voxels ``t, x, y, z, v``: day, user modulo 32, hour and kind of event; values in whole
+    cents. Several events can share a voxel."""
     kind = F.array_position(F.array(*[F.lit(e) for e in EVENT_TYPES]), F.col("event_type")).cast("int") - 1
-    rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t"), (F.col("user_id") % 32).cast("int").alias("x"), F.hour("ts").alias("y"), kind.alias("z"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return rows.groupBy("t", "x", "y", "z").agg(F.sum("cents").alias("v"))
+    return rows.select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t"), (F.col("user_id") % 32).cast("int").alias("x"), F.hour("ts").alias("y"), kind.alias("z"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse series of the events' voxels, their values added."""
+    return event_voxels(table(spark, sf_dir, "events")).groupBy("t", "x", "y", "z").agg(F.sum("v").alias("v"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' table, one file or a folder, as a stream of its files. A stream takes a single file only by a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")

@@ -38,6 +38,26 @@ def stream_loss(losses: DataFrame, window: int = 1000) -> DataFrame:
     return losses.groupBy("run", F.floor(F.col("step") / window).alias("window")).agg(F.avg("loss").alias("loss"), F.max("step").alias("step"))
 
 
+def start_losses(losses: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], window: int = 1000) -> StreamingQuery:
+    """Gives ``sink`` the mean losses that each batch changes. The state has a row per run and window."""
+    return stream_loss(losses, window).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+
+
+def table_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch into its own part of a table; a batch that comes again takes the place of its rows."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def latest(written: DataFrame, *keys: str) -> DataFrame:
+    """The last state of each key from a table that ``table_sink`` wrote."""
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
 def alerts(means: DataFrame, above: float = 0.9, after: int = 5000) -> DataFrame:
     """Runs that should start again: their loss is still high after some steps."""
     return means.filter((F.col("step") > after) & (F.col("loss") > above))
