@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
 from gridloom.operators import blocks, cells, isosurface, lines, pyramid, quality, sampling
+from gridloom.sources import raw
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
 from gridloom.streaming import summaries
 
@@ -756,6 +757,34 @@ def st4_stream_steps(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+# --- raw volumes ---------------------------------------------------------------------------------------------------
+
+STORED = "cast(cast(v as real) as double)"
+
+
+def written(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
+    """The grid as a raw volume in the shared folder, which executors must be able to open as files."""
+    g = grid(spark, sf_dir)
+    path = scratch(spark, "volume").removeprefix("file://")
+    raw.write_raw_volume(g.voxels, path)
+    return path, g
+
+
+@query(sql_round(f"select 0 as t, x, y, z, {STORED} as v from vn", "v"))
+def k1_raw_round_trip(spark, sf_dir):
+    """The grid written as raw slabs of 32-bit floats and read back as one volume."""
+    path, g = written(spark, sf_dir)
+    return rounded(raw.read_written(spark, path, g.nx, g.ny), "v")
+
+
+@query(sql_round(f"select 0 as t, x, y, z, {STORED} as v from vn where x >= 5 and x < 40 and y >= 2 and y < 19 and z >= 3 and z < 11", "v"))
+def s7_region(spark, sf_dir):
+    """A box of the written volume; slices outside it are not read."""
+    path, g = written(spark, sf_dir)
+    rows = raw.read_written(spark, path, g.nx, g.ny, z_from=3, z_to=11)
+    return rounded(cells.clip(rows, (5, 2, 3), (40, 19, 11)), "v")
+
+
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
 
 

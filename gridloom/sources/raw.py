@@ -3,8 +3,9 @@
 ``spark.read.format("raw_volume")`` reads flat grids (x fastest) as ``t, x, y, z, v``: options ``path`` (several, one per
 time step, separated by commas), ``dims`` ("nx,ny,nz"), ``dtype``, ``offset``, ``big_endian``, ``slab`` (z-slices of a
 partition), ``z_from`` and ``z_to`` (only these slices are read), and for a sample of blocks ``fraction`` and ``seed``.
-The files must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit floats, one file
-per task, each named by its first voxel, and a manifest.
+The files must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit floats batch by
+batch, one file per task, each named by its first slice, and a manifest; mode ``overwrite`` removes the files of an older
+volume. With the option ``slabs`` (``read_written``) the files of a manifest are read as one volume.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from gridloom.functions.scalars import DTYPES
 from gridloom.operators.cells import clip
@@ -51,12 +53,16 @@ class RawReader(DataSourceReader):
         self.fraction, self.seed = float(options.get("fraction", 1.0)), int(options.get("seed", 1337))
         self.low, self.high = max(0, int(options.get("z_from", 0))), min(self.dims[2], int(options.get("z_to", self.dims[2]))) - 1
 
+        # Files with their time step and slices: whole volumes, or the slabs of one.
+        given = json.loads(options["slabs"]) if "slabs" in options else None
+        self.files = [(path, t, 0, self.dims[2]) for t, path in enumerate(self.paths)] if given is None else [(os.path.join(self.paths[0], name), 0, a, b) for name, a, b in given]
+
     def partitions(self):
         plane = self.dims[0] * self.dims[1] * self.type.itemsize
         return [
-            Slab(path, t, z, min(z + self.slab, self.high + 1), self.offset + z * plane)
-            for t, path in enumerate(self.paths)
-            for z in range(self.low, self.high + 1, self.slab)
+            Slab(path, t, z, min(z + self.slab, last, self.high + 1), self.offset + (z - first) * plane)
+            for path, t, first, last in self.files
+            for z in range(max(first, self.low), min(last, self.high + 1), self.slab)
         ]
 
     def rows_of(self, z: int, t: int) -> np.ndarray:
@@ -95,29 +101,44 @@ class Written(WriterCommitMessage):
     hi: float
 
 
-class RawWriter(DataSourceWriter):
+class RawWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
+        self.path, self.overwrite = options["path"], overwrite
 
-    def write(self, rows) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        out, zs = [], []
-        for r in rows:
-            out.append(r.v)
-            zs.append(r.z)
-        if not out:
-            return Written("", 0, 0, float("inf"), float("-inf"))
-        os.makedirs(self.path, exist_ok=True)
-        name = f"slab-{zs[0]:09d}-{TaskContext.get().taskAttemptId()}.bin"
-        np.array(out, "<f4").tofile(os.path.join(self.path, name))
-        return Written(name, zs[0], zs[-1] + 1, float(min(out)), float(max(out)))
+        name, out, z0, z1, lo, hi = "", None, 0, 0, float("inf"), float("-inf")
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                z, v = batch.column("z"), batch.column("v")
+                if out is None:
+                    z0 = z[0].as_py()
+                    name = f"slab-{z0:09d}-{TaskContext.get().taskAttemptId()}.bin"
+                    os.makedirs(self.path, exist_ok=True)
+                    out = open(os.path.join(self.path, name), "wb")
+                z1 = z[-1].as_py() + 1
+                span = pc.min_max(v).as_py()
+                lo, hi = min(lo, span["min"]), max(hi, span["max"])
+                out.write(v.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+        finally:
+            if out is not None:
+                out.close()
+        return Written(name, z0, z1, lo, hi)
 
     def commit(self, messages) -> None:
+        os.makedirs(self.path, exist_ok=True)
         slabs = sorted((m for m in messages if m is not None and m.file), key=lambda m: m.z0)
         lo, hi = min((m.lo for m in slabs), default=None), max((m.hi for m in slabs), default=None)
         with open(os.path.join(self.path, "manifest.json"), "w", encoding="utf-8") as f:
             json.dump({"slabs": [[m.file, m.z0, m.z1] for m in slabs], "range": [lo, hi]}, f)
+        if self.overwrite:
+            own = {m.file for m in slabs}
+            for old in os.listdir(self.path):
+                if old.startswith("slab-") and old.endswith(".bin") and old not in own:
+                    os.remove(os.path.join(self.path, old))
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -163,17 +184,13 @@ def write_raw_volume(voxels: DataFrame, path: str) -> tuple[float, float]:
     """Writes x-fastest slabs and returns the smallest and largest value written."""
     register(voxels.sparkSession)
     rows = voxels.select(F.lit(0).alias("t"), "x", "y", "z", F.col("v").cast("double").alias("v")).repartitionByRange("z").sortWithinPartitions("z", "y", "x")
-    rows.write.format("raw_volume").mode("append").option("path", path).save()
+    rows.write.format("raw_volume").mode("overwrite").option("path", path).save()
     with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:
         return tuple(json.load(f)["range"])
 
 
-def read_written(spark: SparkSession, path: str, nx: int, ny: int) -> DataFrame:
-    """A volume that write_raw_volume wrote."""
+def read_written(spark: SparkSession, path: str, nx: int, ny: int, **options) -> DataFrame:
+    """A volume that write_raw_volume wrote. The manifest has a line per task that wrote."""
     with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:
         slabs = json.load(f)["slabs"]
-    parts = [read_raw_volume(spark, os.path.join(path, name), (nx, ny, z1 - z0)).withColumn("z", F.col("z") + z0) for name, z0, z1 in slabs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return read_raw_volume(spark, path, (nx, ny, max((z1 for _, _, z1 in slabs), default=0)), slabs=json.dumps(slabs), **options)
