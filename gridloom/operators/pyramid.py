@@ -1,11 +1,14 @@
 """Multi-resolution hash-grid summaries: fit, reconstruct, measure, save and describe.
 
 Level after level, positions are hashed to slots and each slot keeps the mean of what the levels before left over. A
-level has at most ``slots`` rows, whatever the volume's size.
+level has at most ``slots`` rows, whatever the volume's size. With ``blend`` a voxel adds to the slots of the eight grid
+points around it, by trilinear weights, and is read back from them by the same weights.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,48 +28,73 @@ class Config:
     base: int = 16
     scale: float = 2.0
     log2_slots: int = 19
+    blend: bool = False
 
     @property
     def slots(self) -> int:
         return 1 << self.log2_slots
 
-    def resolution(self, level: int) -> int:
-        import math
+    def cells(self, level: int) -> float:
+        return self.base * self.scale**level - 1
 
-        return math.ceil(self.base * self.scale**level - 1) + 1
+    def resolution(self, level: int) -> int:
+        return math.ceil(self.cells(level)) + 1
 
 
-def slot(config: Config, level: int, dims: tuple) -> Column:
-    """Slot of a voxel on a level: a dense number if the level's grid fits, else the xor of multiplied coordinates."""
+def numbered(config: Config, level: int, at: list[Column]) -> Column:
+    """Slot of a grid point of a level: a dense number if the level's grid fits, else the xor of multiplied coordinates."""
     r = config.resolution(level)
-    at = [F.least(F.floor(centre(F.col(a), n) * r), F.lit(r - 1)).cast("long") for a, n in zip(AXES, dims, strict=True)]
     if r**3 <= config.slots:
         return at[0] + at[1] * r + at[2] * r * r
     mixed = [(c * p).bitwiseAND(F.lit(MASK)) for c, p in zip(at, PRIMES, strict=True)]
     return mixed[0].bitwiseXOR(mixed[1]).bitwiseXOR(mixed[2]) % config.slots
 
 
+def slots_of(config: Config, level: int, dims: tuple) -> Column:
+    """``array<struct<slot, w>>``: the slots of a voxel on a level with their weights."""
+    r = config.resolution(level)
+    centres = [centre(F.col(a), n) for a, n in zip(AXES, dims, strict=True)]
+    if not config.blend:
+        at = [F.least(F.floor(c * r), F.lit(r - 1)).cast("long") for c in centres]
+        return F.array(F.struct(numbered(config, level, at).alias("slot"), F.lit(1.0).alias("w")))
+    places = [c * config.cells(level) + 0.5 for c in centres]
+    low = [F.floor(p).cast("long") for p in places]
+    corners = []
+    for corner in itertools.product((0, 1), repeat=3):
+        at = [F.least(i + d, F.lit(r - 1)) for i, d in zip(low, corner, strict=True)]
+        w = [p - i if d else 1 - (p - i) for p, i, d in zip(places, low, corner, strict=True)]
+        corners.append(F.struct(numbered(config, level, at).alias("slot"), (w[0] * w[1] * w[2]).alias("w")))
+    return F.filter(F.array(*corners), lambda c: c["w"] > 0)
+
+
 def fit(voxels: DataFrame, dims: tuple, config: Config) -> DataFrame:
-    """``level, slot, mean, n``. A level needs one aggregation and one join with its at most ``slots`` rows; levels are
-    written to the checkpoint folder, so that plans don't grow."""
+    """``level, slot, mean, n``. A level needs one aggregation and one join with its at most ``slots`` rows (and one more
+    aggregation if blended); levels are written to the checkpoint folder, so that plans don't grow. ``n`` counts the voxels
+    that add to a slot."""
     model, left = None, voxels.select(*AXES, F.col("v").alias("r"))
     for level in range(config.levels):
-        rows = left.withColumn("slot", slot(config, level, dims))
-        means = rows.groupBy("slot").agg(F.avg("r").alias("mean"), F.count("*").alias("n"))
+        rows = left.withColumn("s", F.explode(slots_of(config, level, dims))).select(*AXES, "r", "s.slot", "s.w")
+        means = rows.groupBy("slot").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("mean"), F.count("*").alias("n"))
         if voxels.sparkSession.sparkContext.getCheckpointDir():
             means = means.checkpoint()
         found = means.select(F.lit(level).alias("level"), "slot", "mean", "n")
         model = found if model is None else model.unionByName(found)
         if level + 1 < config.levels:
-            left = rows.join(means.select("slot", "mean"), "slot").select(*AXES, (F.col("r") - F.col("mean")).alias("r"))
+            read = rows.join(means.select("slot", "mean"), "slot").select(*AXES, "r", (F.col("w") * F.col("mean")).alias("part"))
+            if config.blend:
+                read = read.groupBy(*AXES).agg(F.first("r").alias("r"), F.sum("part").alias("part"))
+            left = read.select(*AXES, (F.col("r") - F.col("part")).alias("r"))
     return model
 
 
 def reconstruct(points: DataFrame, model: DataFrame, dims: tuple, config: Config) -> DataFrame:
     """``x, y, z, v``: the sum of the levels' means at each voxel, with one explode, one join and one sum."""
-    each = F.array(*[F.struct(F.lit(level).alias("level"), slot(config, level, dims).alias("slot")) for level in range(config.levels)])
-    rows = points.select(*AXES, F.explode(each).alias("s")).select(*AXES, "s.level", "s.slot")
-    return rows.join(model.select("level", "slot", "mean"), ["level", "slot"]).groupBy(*AXES).agg(F.sum("mean").alias("v"))
+    def of_level(level: int) -> Column:
+        return F.transform(slots_of(config, level, dims), lambda c: F.struct(F.lit(level).alias("level"), c["slot"].alias("slot"), c["w"].alias("w")))
+
+    each = F.concat(*map(of_level, range(config.levels)))
+    rows = points.select(*AXES, F.explode(each).alias("s")).select(*AXES, "s.level", "s.slot", "s.w")
+    return rows.join(model.select("level", "slot", "mean"), ["level", "slot"]).groupBy(*AXES).agg(F.sum(F.col("w") * F.col("mean")).alias("v"))
 
 
 def size_report(model: DataFrame, dims: tuple, voxel_bytes: int = 4, value_bytes: int = 4) -> DataFrame:
@@ -83,8 +111,8 @@ def save(model: DataFrame, path: str, dims: tuple, config: Config, cells: DataFr
     model.write.mode("overwrite").partitionBy("level").parquet(f"{path}/levels")
     if cells is not None:
         cells.write.mode("overwrite").parquet(f"{path}/cells")
-    row = [(*dims, config.levels, config.base, config.scale, config.log2_slots, cells is not None)]
-    spark.createDataFrame(row, "nx int, ny int, nz int, levels int, base int, scale double, log2_slots int, has_cells boolean").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    row = [(*dims, config.levels, config.base, config.scale, config.log2_slots, config.blend, cells is not None)]
+    spark.createDataFrame(row, "nx int, ny int, nz int, levels int, base int, scale double, log2_slots int, blend boolean, has_cells boolean").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, dims: tuple | None = None) -> tuple[DataFrame, tuple, Config, DataFrame | None]:
@@ -94,7 +122,7 @@ def load(spark: SparkSession, path: str, dims: tuple | None = None) -> tuple[Dat
     if dims is not None and tuple(dims) != found:
         raise ValueError(f"the model is for {found}, not {tuple(dims)}")
     cells = spark.read.parquet(f"{path}/cells") if meta.has_cells else None
-    return spark.read.parquet(f"{path}/levels"), found, Config(meta.levels, meta.base, meta.scale, meta.log2_slots), cells
+    return spark.read.parquet(f"{path}/levels"), found, Config(meta.levels, meta.base, meta.scale, meta.log2_slots, meta.blend), cells
 
 
 def describe(spark: SparkSession, paths: list[str]) -> DataFrame:

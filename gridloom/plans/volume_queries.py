@@ -811,6 +811,41 @@ def a20_ratio(spark, sf_dir):
     return rounded(pyramid.size_report(pyramid.fit(g.voxels, dims, CONFIG), dims), "ratio")
 
 
+BLENDED = pyramid.Config(levels=2, base=8, scale=2.0, log2_slots=10, blend=True)
+
+
+def blended_sql() -> str:
+    """Tables e, m and d of each level: weights of the slots, their means, and what is left over."""
+    out, before = "", "hp"
+    for level in range(BLENDED.levels):
+        cells, r, value = BLENDED.cells(level), BLENDED.resolution(level), "v" if level == 0 else "r"
+        dense, mixed = f"i + j * {r} + k * {r * r}", f"xor(xor(i, (j * 2654435761) & 4294967295), (k * 805459861) & 4294967295) % {BLENDED.slots}"
+        out += f""", q{level} as (select x, y, z, ux, uy, uz, {value} as r, ux * {cells}e0 + 0.5e0 as px, uy * {cells}e0 + 0.5e0 as py, uz * {cells}e0 + 0.5e0 as pz from {before}),
+w{level} as (select x, y, z, ux, uy, uz, r, cast(least(floor(px) + a, {r - 1}) as bigint) as i, cast(least(floor(py) + b, {r - 1}) as bigint) as j, cast(least(floor(pz) + c, {r - 1}) as bigint) as k,
+  (case a when 0 then 1 - (px - floor(px)) else px - floor(px) end) * (case b when 0 then 1 - (py - floor(py)) else py - floor(py) end) * (case c when 0 then 1 - (pz - floor(pz)) else pz - floor(pz) end) as w
+  from q{level}, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)),
+e{level} as (select *, {dense if r**3 <= BLENDED.slots else mixed} as slot from w{level} where w > 0),
+m{level} as (select slot, sum(w * r) / sum(w) as mean, count(*) as n from e{level} group by slot),
+d{level} as (select x, y, z, ux, uy, uz, r - sum(w * mean) as r from e{level} join m{level} using (slot) group by x, y, z, ux, uy, uz, r)
+"""
+        before = f"d{level}"
+    return out.replace(".0e0", "e0")
+
+
+@query(blended_sql() + " union all ".join(f"select {level} as level, slot, round(mean, 6) + 0e0 as mean, n from m{level}" for level in range(BLENDED.levels)))
+def a18_blended_fit(spark, sf_dir):
+    """A hash grid whose slots are blended from eight corners."""
+    g = grid(spark, sf_dir)
+    return rounded(pyramid.fit(g.voxels, (g.nx, g.ny, g.nz), BLENDED), "mean")
+
+
+@query(blended_sql() + "select x, y, z, round(v - r, 6) + 0e0 as v from vn join d1 using (x, y, z)")
+def a19_blended_values(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    dims = (g.nx, g.ny, g.nz)
+    return rounded(pyramid.reconstruct(g.voxels, pyramid.fit(g.voxels, dims, BLENDED), dims, BLENDED), "v")
+
+
 # --- positions, colours, blocks ------------------------------------------------------------------------------------
 
 
