@@ -85,6 +85,27 @@ with v as (
 select * from r where rank <= 5
 """
 
+#: An escape is one more character: for each backslash, each # with two more behind it, and each </turn>. Names other than
+#: the template's three are written with a prefix and escapes of their own.
+OP7_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), r as (
+  select *, row_number() over w - 1 as k, count(*) over (partition by conv_id) as n, cast(first_value(role) over w = 'system' as int) as start,
+    length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) as body,
+    case role when 'system' then 6 when 'user' then 4 when 'assistant' then 9 else 5 + length(role) + len(regexp_extract_all(role, '[\\#<:]')) end as name
+  from c window w as (partition by conv_id order by turn nulls first, role, text)
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + name + 2 + body + 9) as bigint) as formatted_chars,
+  min(n - start) > 0 and min((n - start) % 2) = 0 and bool_and(k < start or role = case (k - start) % 2 when 0 then 'user' else 'assistant' end) as valid
+from r group by conv_id
+"""
+
 OP9_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
@@ -141,4 +162,4 @@ from d join e on d.source is not distinct from e.source left join k on d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_topk": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}

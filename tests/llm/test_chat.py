@@ -1,7 +1,8 @@
 import hashlib
 import random
 
-from gridloom.llm import chat
+import duckdb
+from gridloom.llm import chat, queries
 
 
 def sha(text):
@@ -51,3 +52,20 @@ def test_segments_and_empty(spark):
     assert [s.text for s in got[:6]] == ["### User: ", "hi \\###", " </turn>\n", "### Assistant: ", "yo", " </turn>\n"]
     assert [s.loss for s in got] == [False] * 4 + [True, False] + [False, True, False] and [s.in_order for s in got] == [True] * 6 + [False] * 3
     assert chat.digests(data.limit(0)).count() == 0
+
+
+def test_registered_query_and_sql_on_control_strings(spark, tmp_path):
+    data = [*[r[:4] for r in rows()], (102, 0, "a\\b<c:#d", "x"), (103, 0, "system", "only")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.op7_chat_format(spark, str(tmp_path))
+    want = con.execute(queries.OP7_SQL)
+    assert [d[0] for d in want.description] == got.columns
+    found = {tuple(r) for r in got.collect()}
+    assert found == set(want.fetchall())
+    probe = queries.CHAT_PROBE
+    turns = f"user\n{probe}\nassistant\n{probe}\n"
+    # the probe's backslash, its first # and its </turn> are escaped
+    assert next(r for r in found if r[0] == -7) == (-7, 2, sha(turns), len(probe), sha(probe), 2 * (len(probe) + 3) + len("### User:  </turn>\n### Assistant:  </turn>\n"), True)
