@@ -133,13 +133,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
     Texts are shuffled once, by a hash of the row. Rows that are alike share the plays of that hash evenly.
     """
-    columns = docs.columns
     sizes, _, taken = mix(docs, weights, share, most, seed, id_column, text_column, source_column)
-    times = taken.groupBy("row_key").agg(F.count("*").alias("__plays"))
-    copies = sizes.groupBy("row_key").agg(F.count("*").alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_column, source_column, text_column))
-    rows = keyed.join(times.join(copies, "row_key").withColumnRenamed("row_key", "__key"), "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    share_of = F.floor(F.col("__plays") / F.col("__copies")).cast("int") + F.when(nth <= F.col("__plays") % F.col("__copies"), 1).otherwise(0)
-    rows = rows.withColumn("__times", share_of).filter("__times > 0")
-    return rows.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    times = taken.groupBy("row_key").agg(F.count("*").alias("plays"))
+    copies = sizes.groupBy("row_key").agg(F.count("*").alias("copies"))
+    # The documents' columns stay in one struct, apart from the helpers.
+    keyed = docs.select(F.xxhash64(id_column, source_column, text_column).alias("row_key"), F.struct("*").alias("row"))
+    rows = keyed.join(times.join(copies, "row_key"), "row_key")
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    share_of = F.floor(F.col("plays") / F.col("copies")).cast("int") + F.when(nth <= F.col("plays") % F.col("copies"), 1).otherwise(0)
+    rows = rows.withColumn("times", share_of).filter("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("row.*")

@@ -195,7 +195,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id, of rows alike any one."""
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("first")
-    chosen = groups(docs, id_column, text_column).groupBy("root").agg(first).select(F.xxhash64("first.doc_id", "first.text_key").alias("__key"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_column).cast("long"), F.xxhash64(text_column)))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return keyed.join(chosen, "__key", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    chosen = groups(docs, id_column, text_column).groupBy("root").agg(first).select(F.xxhash64("first.doc_id", "first.text_key").alias("key"))
+    # The documents' columns stay in one struct, apart from the helpers.
+    keyed = docs.select(F.xxhash64(F.col(id_column).cast("long"), F.xxhash64(text_column)).alias("key"), F.struct("*").alias("row"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return keyed.join(chosen, "key", "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline as cp
-from gridloom.llm import quality
+from gridloom.llm import mixing, quality, simhash
+from pyspark.sql import functions as F
 
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_quality_and_mixing import brute_measures
@@ -40,3 +41,33 @@ def test_stages_against_brute_force(spark, tmp_path):
     docs = cp.STAGES[3][1](spark, docs, "")
     assert docs.columns == cp.COLUMNS and kept <= docs.count() <= 2 * kept
     assert cp.STAGES[4][1](spark, docs, "").count() == docs.count()
+
+
+CLASHING = ["__key", "__nth", "__plays", "__copies", "key", "row", "nth", "row_key", "plays", "copies", "times", "size", "word"]
+
+
+def test_columns_named_like_the_helpers_keep_their_values(spark):
+    rows = [(i, f"text {i % 4} of a few words " * 3, "ab"[i % 2]) for i in range(8)] + [(None, None, None), (9, "", None), (3, "text 3 of a few words " * 3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["0", "1", "2", "3", "9"]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    for r in [*one.collect(), *mixed.collect()]:
+        assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+
+
+def test_edge_cases_of_the_whole_pipeline(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 9))) for _ in range(2000)]
+    good = ["\n".join(" ".join(rng.choices(words, k=15)) for _ in range(6)) for _ in range(4)]
+    rows = [(1, good[0], "a"), (2, good[1], None), (None, good[2], "b"), (4, None, "a"), (5, "", "a"), (6, good[3], "b"), (6, good[3], "b"), (7, " \n\n\t", "c")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, __key string").repartition(3)
+    docs.write.parquet(str(tmp_path / "some/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    got = cp.run(spark, str(tmp_path / "some"))
+    ids = [r.doc_id for r in got.collect()]
+    assert set(ids) <= {1, 2, None, 6} and ids and max(ids.count(i) for i in set(ids)) <= 2
+    none = cp.run(spark, str(tmp_path / "none"))
+    assert none.columns == got.columns and none.count() == 0
