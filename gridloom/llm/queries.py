@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, line_dedup, merkle, mixing, ngram_lm, quality, simhash, spelling, suffix_dedup, topk, toxicity
+from gridloom.llm import bpe, chat, line_dedup, merkle, minhash, mixing, ngram_lm, quality, simhash, spelling, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +72,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), drop_every=97)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_bpe, op3_lm_score, op4_topk, op5_toxicity, op6_simhash, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_merkle, op13_spelling]
+    found = [op1_line_dedup, op2_bpe, op3_lm_score, op4_topk, op5_toxicity, op6_simhash, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_merkle, op12_minhash, op13_spelling]
     return {f.__name__: f for f in found}
 
 
