@@ -163,7 +163,7 @@ def proof_digest(proof: Column) -> Column:
     return digest(F.array_join(F.flatten(F.transform(proof, lambda e: e["others"])), ""))
 
 
-def documents_manifest(docs: DataFrame) -> DataFrame:
+def documents_manifest(docs: DataFrame, fan: int = FAN, levels: int = BLOCK_LEVELS) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof, tampered`` of every document, grouped by language: tampered is its leaf with one
     more in ``n_chars``, for the ids that a check draws (7 divides the crc32 of the id), else null."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -171,4 +171,4 @@ def documents_manifest(docs: DataFrame) -> DataFrame:
     drawn = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     changed = F.when(drawn, leaf(*[more.get(c, F.col(c)) for c in fields]))
     rows = docs.select(F.col("lang").cast("string").alias("group"), F.col("doc_id").alias("id"), leaf(*[F.col(c) for c in fields]).alias("leaf"), F.struct("doc_id", changed.alias("tampered")).alias("body"))
-    return manifest(rows).select("body.doc_id", "leaf", "subroot", "root", "proof", "body.tampered")
+    return manifest(rows, fan, levels).select("body.doc_id", "leaf", "subroot", "root", "proof", "body.tampered")

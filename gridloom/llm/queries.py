@@ -175,5 +175,113 @@ from d join e on d.source is not distinct from e.source left join k on d.doc_id
 """
 
 
+def crc_steps() -> str:
+    """The 256 remainders of the usual reversed polynomial of crc32, as a list."""
+    found = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        found.append(byte)
+    return "[" + ", ".join(f"{b}::bigint" for b in found) + "]"
+
+
+def crc_sql(codes: str) -> str:
+    """crc32 of a list of byte values."""
+    return f"xor(list_reduce([4294967295::bigint] || {codes}, lambda c, b: xor(({crc_steps()})[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::bigint)"
+
+
+DIGITS_SQL = "list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Steps of a proof are strings: the side of the other node and its digest, or N where there is none.
+OP11_SQL = f"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, lang, {leaf_sql("n_chars")} as leaf,
+    case when {crc_sql(DIGITS_SQL)} % 7 = 0 then {leaf_sql("n_chars + 1")} end as tampered from documents
+), l as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d
+), a as (
+  select 0 as lev, lang, i, n, leaf as h from l
+  union all
+  select lev + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from a where n > 1 group by lev, lang, i // 2, n
+), t as (
+  select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from a where n = 1
+), b as (
+  select 0 as lev, i, n, subroot as h from t
+  union all
+  select lev + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from b where n > 1 group by lev, i // 2, n
+), p as (
+  select l.rid, v.lev, l.i >> v.lev as i, s.h from l join (select distinct lang, lev from a where n > 1) as v on v.lang is not distinct from l.lang
+    left join a as s on s.lang is not distinct from l.lang and s.lev = v.lev and s.i = xor(l.i >> v.lev, 1)
+  union all
+  select l.rid, 1000 + v.lev, t.i >> v.lev, s.h from l join t on t.lang is not distinct from l.lang join (select distinct lev from b where n > 1) as v on true
+    left join b as s on s.lev = v.lev and s.i = xor(t.i >> v.lev, 1)
+), q as (
+  select rid, list(case when h is null then 'N' when i % 2 = 1 then 'L' || h else 'R' || h end order by lev) as steps, string_agg(h, '' order by lev) as digests from p group by rid
+), f as (
+  select l.doc_id, l.leaf, t.subroot, (select h from b where n = 1) as root, sha256(coalesce(digests, '')) as proof_sha256,
+    list_reduce([coalesce(tampered, leaf)] || coalesce(steps, []), lambda c, s: sha256(case s[1] when 'L' then s[2:] || c when 'R' then c || s[2:] else c end)) as folded_root
+  from l join t on t.lang is not distinct from l.lang left join q on q.rid = l.rid
+)
+select *, folded_root = root as verified from f
+"""
+
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) end) as shingle from w
+), c as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from s as a join s as b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), e as (
+  select a, b from p join c as x on x.doc_id = a join c as y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)
+), g as (
+  select a, b from e union all select b, a from e
+), r as (
+  select doc_id, doc_id as other from documents
+  union
+  select g.b, r.other from r join g on g.a = r.doc_id
+)
+select w.doc_id, coalesce(c.n, 0) as n_shingles, m.component_id, w.doc_id = m.component_id as kept
+from w left join c using (doc_id) join (select doc_id, min(other) as component_id from r group by 1) as m on m.doc_id = w.doc_id
+"""
+
+RUN_CODES = f"{DIGITS_SQL} || [58::bigint] || flatten(list_transform(string_split(run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))"
+OP13_SQL = f"""
+with recursive r as (
+  select doc_id, run, count(*) as k from (select doc_id, unnest(regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) as run from documents) where length(run) >= 5 group by 1, 2
+), h as (
+  select run, k, {crc_sql(RUN_CODES)} as h from r
+), c as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from h
+), w as (
+  select word, cast(sum(k) as bigint) as n from c where length(word) >= 5 group by word having sum(k) >= 3
+), x as (
+  select word, n, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail from (select word, n, unnest(range(1, length(word) + 1)) as i from w)
+), v as (
+  select a.word, b.word as near, b.n as near_n from x as a join x as b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select x.word, w.word, w.n from x join w on w.word = head || tail
+  union select w.word, x.word, x.n from x join w on w.word = head || tail
+), m as (
+  select word, count(*) as n_near, min_by(near, (-near_n, near)) as best, max(near_n) as best_n from v group by word
+), f as (
+  select w.word, n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from w left join m using (word)
+), u as (
+  select word, word as root from f where form is null
+  union all
+  select f.word, u.root from u join f on f.form = u.word
+)
+select f.word, form, root, n, n_near, form_n from f join u using (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_topk": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL, "op11_merkle": OP11_SQL, "op12_minhash": OP12_SQL, "op13_spelling": OP13_SQL}
