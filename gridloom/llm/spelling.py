@@ -163,7 +163,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         states = edited(untouched(oriented, depths, level), edges, at, width)
         if frontier is not None:
             states = states.unionByName(followed(frontier, edges, width))
-        states = stored(states.distinct())
+        states = stored(states)
         found.append(states.filter("node is null"))
         frontier = states.filter("node is not null")
     turned = lambda c: F.when(F.col("way") == 1, F.reverse(c)).otherwise(F.col(c))
