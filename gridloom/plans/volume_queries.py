@@ -113,11 +113,14 @@ with ve as (
   select x, y, z, v, 0.3e0 * v * v as a from vn
 ), tr as (
   select *, exp(coalesce(sum(ln(1 - a)) over (partition by x, y order by z rows between unbounded preceding and 1 preceding), 0e0)) as t from al
+), c1 as (
+  select x, y, z, v as f0, lead(v) over (partition by y, z order by x) as f1 from vn
+), c2 as (
+  select *, lead(f1) over w as f2, lead(f0) over w as f3 from c1 window w as (partition by x, z order by y)
+), c3 as (
+  select *, lead(f0) over w as f4, lead(f1) over w as f5, lead(f2) over w as f6, lead(f3) over w as f7 from c2 window w as (partition by x, y order by z)
 ), co as (
-  select a.x, a.y, a.z, a.v as f0, b.v as f1, c.v as f2, d.v as f3, e.v as f4, f.v as f5, g.v as f6, h.v as f7
-  from vn a join vn b on b.x = a.x + 1 and b.y = a.y and b.z = a.z join vn c on c.x = a.x + 1 and c.y = a.y + 1 and c.z = a.z join vn d on d.x = a.x and d.y = a.y + 1 and d.z = a.z
-  join vn e on e.x = a.x and e.y = a.y and e.z = a.z + 1 join vn f on f.x = a.x + 1 and f.y = a.y and f.z = a.z + 1
-  join vn g on g.x = a.x + 1 and g.y = a.y + 1 and g.z = a.z + 1 join vn h on h.x = a.x and h.y = a.y + 1 and h.z = a.z + 1
+  select * from c3 where f6 is not null
 ), ca as (
   select *, (f0 <= 0.5e0)::int + 2 * (f1 <= 0.5e0)::int + 4 * (f2 <= 0.5e0)::int + 8 * (f3 <= 0.5e0)::int + 16 * (f4 <= 0.5e0)::int + 32 * (f5 <= 0.5e0)::int + 64 * (f6 <= 0.5e0)::int + 128 * (f7 <= 0.5e0)::int as c from co
 ), hp as (
