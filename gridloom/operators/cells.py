@@ -83,12 +83,13 @@ def with_cells(rows: DataFrame, cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def skip_empty(rows: DataFrame, cells: DataFrame, epsilon: float = 1e-6) -> DataFrame:
-    """Rows of cells that are not transparent."""
-    live = cells.filter(F.col("max_opacity") > epsilon).select("cx", "cy", "cz")
+    """Rows of cells that are not transparent, in their own time step if both have one."""
+    keys = [*(["t"] if "t" in rows.columns and "t" in cells.columns else []), "cx", "cy", "cz"]
+    live = cells.filter(F.col("max_opacity") > epsilon).select(*keys)
     keyed = rows
     for a in AXES:
         keyed = keyed.withColumn(f"c{a}", cell_of(F.col(a)))
-    return keyed.join(live, ["cx", "cy", "cz"], "left_semi").select(*rows.columns)
+    return keyed.join(live, keys, "left_semi").select(*rows.columns)
 
 
 def clip(rows: DataFrame, lower: tuple, upper: tuple) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import CELL, adaptive_step, coordinates, even_steps, opacity
-from gridloom.operators.sampling import trilinear
+from gridloom.operators.sampling import steps, trilinear
 
 OPAQUE, TRANSPARENT = 0.9999, 1e-6
 AXES = ("x", "y", "z")
@@ -65,90 +65,100 @@ def cells_on_lines(rays: DataFrame, dims: tuple, size: int = CELL) -> DataFrame:
 
 
 def samples_on_lines(crossed: DataFrame, step: float = 1.0, adaptive: bool = False, jitter: Column | float = 0.5) -> DataFrame:
-    """Samples of every crossed cell: ``k`` (order on the line), ``px, py, pz`` in voxel units, ``dist``. Adaptive steps
-    grow in cells of low ``max_opacity``."""
+    """Samples of every crossed cell: ``k`` (order on the line), ``px, py, pz`` in voxel units, ``dist``, and the cell's time
+    step if it has one. Adaptive steps grow in cells of low ``max_opacity``."""
     jitter = jitter if isinstance(jitter, Column) else F.lit(jitter)
     length = adaptive_step(step, F.col("max_opacity")) if adaptive else F.lit(step)
     n, ds = even_steps(F.col("c0"), F.col("c1"), length)
     rows = crossed.withColumn("dist", ds).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
     t = F.col("c0") + (F.col("i") + jitter) * F.col("dist")
-    return rows.select("ray_id", (F.col("step").cast("long") * 100000 + F.col("i")).alias("k"), *[(F.col(f"o{a}") + t * F.col(f"d{a}")).alias(f"p{a}") for a in AXES], "dist")
+    return rows.select(*steps(rows), "ray_id", (F.col("step").cast("long") * 100000 + F.col("i")).alias("k"), *[(F.col(f"o{a}") + t * F.col(f"d{a}")).alias(f"p{a}") for a in AXES], "dist")
 
 
 def transmittance(samples: DataFrame, line: list[str], order: str, alpha: str = "a") -> DataFrame:
-    """Adds ``T``, the light left before each sample: the product of 1 - alpha of the samples before it."""
+    """Adds ``clear``, the light left before each sample: the product of 1 - alpha of the samples before it. (``T`` would be the
+    time step's name to Spark.)"""
     before = Window.partitionBy(*line).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     dark = F.coalesce(F.max(F.when(F.col(alpha) >= 1, 1).otherwise(0)).over(before), F.lit(0))
     left = F.exp(F.coalesce(F.sum(F.when(F.col(alpha) < 1, F.ln(1 - F.col(alpha)))).over(before), F.lit(0.0)))
-    return samples.withColumn("T", F.when(dark == 1, 0.0).otherwise(left))
+    return samples.withColumn("clear", F.when(dark == 1, 0.0).otherwise(left))
 
 
 def visible(samples: DataFrame) -> DataFrame:
     """Samples before the line has become opaque."""
-    return samples.filter(1 - F.col("T") < OPAQUE)
+    return samples.filter(1 - F.col("clear") < OPAQUE)
 
 
 def composite(samples: DataFrame, line: list[str], colours: list[str], alpha: str = "a") -> DataFrame:
     """Front-to-back sums of the colours, and ``alpha``."""
-    return samples.groupBy(*line).agg(*[F.sum(F.col("T") * F.col(alpha) * F.col(c)).alias(c) for c in colours], F.sum(F.col("T") * F.col(alpha)).alias("alpha"))
+    return samples.groupBy(*line).agg(*[F.sum(F.col("clear") * F.col(alpha) * F.col(c)).alias(c) for c in colours], F.sum(F.col("clear") * F.col(alpha)).alias("alpha"))
 
 
 def line_transmittance(samples: DataFrame, line: list[str], alpha: str = "a") -> DataFrame:
-    """Product of 1 - alpha over each line (``T``)."""
+    """Product of 1 - alpha over each line (``clear``)."""
     dark = F.max(F.when(F.col(alpha) >= 1, 1).otherwise(0)) == 1
-    return samples.groupBy(*line).agg(F.when(dark, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(F.col(alpha) < 1, F.ln(1 - F.col(alpha)))), F.lit(0.0)))).alias("T"))
+    return samples.groupBy(*line).agg(F.when(dark, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(F.col(alpha) < 1, F.ln(1 - F.col(alpha)))), F.lit(0.0)))).alias("clear"))
 
 
 def peak(samples: DataFrame, line: list[str], order: str, carry: list[str], alpha: str = "a") -> DataFrame:
-    """The sample of highest contribution T * alpha on each line; of equals the first."""
-    rank = F.struct(F.round(F.col("T") * F.col(alpha), 12), -F.col(order))
+    """The sample of highest contribution clear * alpha on each line; of equals the first."""
+    rank = F.struct(F.round(F.col("clear") * F.col(alpha), 12), -F.col(order))
     return samples.groupBy(*line).agg(F.max_by(F.struct(order, *carry), rank).alias("p")).select(*line, "p.*")
 
 
 def axis_shadow(voxels: DataFrame, lights: DataFrame, alpha: str = "a") -> DataFrame:
     """Light that reaches each voxel from lights along the axes: ``lights`` has ``axis`` (x, y or z), ``sign`` and
-    ``intensity``, a few rows. One running product for each axis and direction in use."""
+    ``intensity``, a few rows. One running product for each axis and direction in use, and for each step of a series."""
+    keys = [*steps(voxels), *AXES]
     found = None
     for light in lights.collect():  # a handful of lights, given by the user
-        others = [a for a in AXES if a != light.axis]
+        others = [k for k in keys if k != light.axis]
         rows = voxels.withColumn("along", F.col(light.axis) * light.sign)
-        lit = transmittance(rows, others, "along", alpha).select(*AXES, (F.col("T") * F.lit(float(light.intensity))).alias("light"))
+        lit = transmittance(rows, others, "along", alpha).select(*keys, (F.col("clear") * F.lit(float(light.intensity))).alias("light"))
         found = lit if found is None else found.unionByName(lit)
-    return found.groupBy(*AXES).agg(F.sum("light").alias("light"))
+    return found.groupBy(*keys).agg(F.sum("light").alias("light"))
 
 
 def sampled(samples: DataFrame, voxels: DataFrame, dims: tuple, transfer: Callable[[Column], Column], rate: float = 1.0) -> DataFrame:
     """Samples of lines with the volume's value ``v`` there and their opacity ``a``: that of the transfer function, for the
-    sample's length."""
+    sample's length. Samples with a time step are looked up in it, others in every step of a series."""
     place = [(F.col(f"p{a}") / n).alias(f"p{a}") for a, n in zip(AXES, dims, strict=True)]
-    ids = samples.select(F.struct("ray_id", "k", "dist").alias("point_id"), *place)
-    values = trilinear(ids, voxels, *dims).select("point_id.*", "v")
+    carried = [c for c in samples.columns if c not in ("t", "px", "py", "pz")]
+    ids = samples.select(*steps(samples), F.struct(*carried).alias("point_id"), *place)
+    values = trilinear(ids, voxels, *dims).select(*steps(voxels), "point_id.*", "v")
     return values.withColumn("a", opacity(transfer(F.col("v")), F.col("dist"), rate))
 
 
+def live_stretches(rays: DataFrame, cells: DataFrame, dims: tuple) -> DataFrame:
+    """The lines' stretches in cells that are not transparent, with ``max_opacity`` and the cells' time step."""
+    crossed = cells_on_lines(box_interval(rays, (0, 0, 0), dims), dims)
+    keys = [*(k for k in steps(cells) if k in rays.columns), "cx", "cy", "cz"]
+    return crossed.join(cells.filter(F.col("max_opacity") > TRANSPARENT).select(*steps(cells), "cx", "cy", "cz", "max_opacity"), keys)
+
+
 def march(rays: DataFrame, voxels: DataFrame, cells: DataFrame, dims: tuple, transfer: Callable[[Column], Column], step: float = 1.0, rate: float = 1.0, adaptive: bool = True) -> DataFrame:
     """``ray_id, k, dist, v, a``: the samples of all rays in the cells that are not transparent. ``cells`` has their
-    ``max_opacity``; transparent ones are left out before a ray is cut into samples."""
-    crossed = cells_on_lines(box_interval(rays, (0, 0, 0), dims), dims)
-    live = crossed.join(cells.filter(F.col("max_opacity") > TRANSPARENT).select("cx", "cy", "cz", "max_opacity"), ["cx", "cy", "cz"])
-    return sampled(samples_on_lines(live, step, adaptive), voxels, dims, transfer, rate)
+    ``max_opacity``; transparent ones are left out before a ray is cut into samples. In a series voxels and cells have ``t``,
+    and so does the result: a ray is marched through every step, or through its own if it has ``t``."""
+    return sampled(samples_on_lines(live_stretches(rays, cells, dims), step, adaptive), voxels, dims, transfer, rate)
 
 
 def shadow(voxels: DataFrame, cells: DataFrame, lights: DataFrame, dims: tuple, transfer: Callable[[Column], Column], step: float = 1.0, rate: float = 1.0) -> DataFrame:
-    """``x, y, z, light``: the light that reaches the centre of each voxel from distant lights in any direction. ``lights`` has
-    ``light_id``, the direction ``x, y, z`` towards the light in voxel units, and ``intensity``. Each voxel sends a line to
-    each light; a line without a sample that is not transparent is lit in full."""
+    """``x, y, z, light``: the light that reaches the centre of each voxel from distant lights in any direction, for each step
+    of a series. ``lights`` has ``light_id``, the direction ``x, y, z`` towards the light in voxel units, and ``intensity``.
+    Each voxel sends a line to each light; a line without a sample that is not transparent is lit in full."""
     given = lights.collect()  # a handful of lights, given by the user
+    keys = [*steps(voxels), *AXES]
     whole = F.lit(float(sum(light.intensity for light in given)))
     if not given:
-        return voxels.select(*AXES, whole.alias("light"))
+        return voxels.select(*keys, whole.alias("light"))
     number = lambda v: F.lit(float(v))
     towards = F.array(*[F.struct(F.lit(n).alias("n"), number(light.intensity).alias("intensity"), *[number(light[a]).alias(f"d{a}") for a in AXES]) for n, light in enumerate(given)])
-    rays = voxels.select(*AXES, F.explode(towards).alias("to"))
-    rays = rays.select(F.struct(*AXES, "to.n", "to.intensity").alias("ray_id"), *[(F.col(a) + 0.5).alias(f"o{a}") for a in AXES], *[f"to.d{a}" for a in AXES])
-    left = line_transmittance(march(rays, voxels, cells, dims, transfer, step, rate, adaptive=False), ["ray_id"])
-    lost = left.groupBy(*[F.col(f"ray_id.{a}").alias(a) for a in AXES]).agg(F.sum((1 - F.col("T")) * F.col("ray_id.intensity")).alias("lost"))
-    return voxels.select(*AXES).join(lost, [*AXES], "left").select(*AXES, (whole - F.coalesce("lost", F.lit(0.0))).alias("light"))
+    rays = voxels.select(*keys, F.explode(towards).alias("to"))
+    rays = rays.select(*steps(voxels), F.struct(*AXES, "to.n", "to.intensity").alias("ray_id"), *[(F.col(a) + 0.5).alias(f"o{a}") for a in AXES], *[f"to.d{a}" for a in AXES])
+    left = line_transmittance(march(rays, voxels, cells, dims, transfer, step, rate, adaptive=False), [*steps(voxels), "ray_id"])
+    lost = left.groupBy(*steps(voxels), *[F.col(f"ray_id.{a}").alias(a) for a in AXES]).agg(F.sum((1 - F.col("clear")) * F.col("ray_id.intensity")).alias("lost"))
+    return voxels.select(*keys).join(lost, keys, "left").select(*keys, (whole - F.coalesce("lost", F.lit(0.0))).alias("light"))
 
 
 def progressive_mean(frames: DataFrame, key: list[str], value: str) -> DataFrame:

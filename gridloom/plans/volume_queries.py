@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
-from gridloom.operators import blocks, cells, isosurface, lines, pyramid, quality, sampling
+from gridloom.operators import blocks, cells, frontier, isosurface, lines, pyramid, quality, sampling, shear
 from gridloom.sources import raw
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
 from gridloom.streaming import summaries
@@ -68,6 +68,8 @@ def opaque(voxels: DataFrame) -> DataFrame:
 # --- SQL pieces shared by the oracles ------------------------------------------------------------------------------
 
 KNOTS_SQL = "[" + ", ".join(f"{k!r}e0" for k in TF_KNOTS) + "]"
+#: The highest opacity of a cell's range.
+OPACITY_SQL = f"coalesce(list_max({KNOTS_SQL}[greatest(cast(floor(vmin * 32 + 0.5e0) as int) - 1, 0) + 1 : least(cast(floor(vmax * 32 + 0.5e0) as int) + 1, 32) + 1]), 0e0)"
 WITH = f"""
 with ve as (
   select cast(d - 1 as int) as x, cast(vec_id % 20 as int) as y, cast(floor(vec_id / 20) as int) as z, cast(v as double) as v
@@ -98,7 +100,7 @@ with ve as (
 ), mc as (
   select cast(cx as int) as cx, cast(cy as int) as cy, cast(cz as int) as cz, min(v) as vmin, max(v) as vmax from tc group by 1, 2, 3
 ), op as (
-  select *, coalesce(list_max({KNOTS_SQL}[greatest(cast(floor(vmin * 32 + 0.5e0) as int) - 1, 0) + 1 : least(cast(floor(vmax * 32 + 0.5e0) as int) + 1, 32) + 1]), 0e0) as max_opacity from mc
+  select *, {OPACITY_SQL} as max_opacity from mc
 ), pt as (
   select i as point_id, (i % 37 + 0.5e0) / 37 as px, (i // 37 % 11 + 0.5e0) / 11 as py, (i // 407 + 0.5e0) / (nz // 2 + 1) as pz from (select unnest(range(407 * (nz // 2 + 1))) as i, nz from rg)
 ), pq as (
@@ -113,14 +115,14 @@ with ve as (
   select x, y, z, v, 0.3e0 * v * v as a from vn
 ), tr as (
   select *, exp(coalesce(sum(ln(1 - a)) over (partition by x, y order by z rows between unbounded preceding and 1 preceding), 0e0)) as t from al
-), c1 as (
+), k1 as (
   select x, y, z, v as f0, lead(v) over (partition by y, z order by x) as f1 from vn
-), c2 as (
-  select *, lead(f1) over w as f2, lead(f0) over w as f3 from c1 window w as (partition by x, z order by y)
-), c3 as (
-  select *, lead(f0) over w as f4, lead(f1) over w as f5, lead(f2) over w as f6, lead(f3) over w as f7 from c2 window w as (partition by x, y order by z)
+), k2 as (
+  select *, lead(f1) over w as f2, lead(f0) over w as f3 from k1 window w as (partition by x, z order by y)
+), k3 as (
+  select *, lead(f0) over w as f4, lead(f1) over w as f5, lead(f2) over w as f6, lead(f3) over w as f7 from k2 window w as (partition by x, y order by z)
 ), co as (
-  select * from c3 where f6 is not null
+  select * from k3 where f6 is not null
 ), ca as (
   select *, (f0 <= 0.5e0)::int + 2 * (f1 <= 0.5e0)::int + 4 * (f2 <= 0.5e0)::int + 8 * (f3 <= 0.5e0)::int + 16 * (f4 <= 0.5e0)::int + 32 * (f5 <= 0.5e0)::int + 64 * (f6 <= 0.5e0)::int + 128 * (f7 <= 0.5e0)::int as c from co
 ), hp as (
@@ -382,7 +384,7 @@ def marched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_round("select x, y, z, t from tr", "t"))
 def w3_transmittance(spark, sf_dir):
-    return rounded(marched(spark, sf_dir).select("x", "y", "z", F.col("T").alias("t")), "t")
+    return rounded(marched(spark, sf_dir).select("x", "y", "z", F.col("clear").alias("t")), "t")
 
 
 @query(sql_round("select x, y, sum(t * a * v) as v, sum(t * a) as alpha from tr where 1 - t < 0.9999e0 group by x, y", "v", "alpha"))
@@ -392,7 +394,7 @@ def a11_composite(spark, sf_dir):
 
 @query(sql_round("select x, y, exp(sum(ln(1 - a))) as t from al group by x, y", "t"))
 def a12_transmittance(spark, sf_dir):
-    return rounded(lines.line_transmittance(opaque(grid(spark, sf_dir).voxels), ["x", "y"]).withColumnRenamed("T", "t"), "t")
+    return rounded(lines.line_transmittance(opaque(grid(spark, sf_dir).voxels), ["x", "y"]).withColumnRenamed("clear", "t"), "t")
 
 
 @query(sql_round("select x, y, z, v from (select *, row_number() over (partition by x, y order by round(t * a, 12) desc, z) as n from tr) where n = 1", "v"))
@@ -511,21 +513,28 @@ def p17_rays(spark, sf_dir):
     return rounded(lines.make_rays(spark, *camera(g)), "ox", "oy", "oz", "dx", "dy", "dz")
 
 
-def marched_sql(step: str) -> str:
-    """Samples of the lines ``ry`` in cells that are not transparent, with their value, opacity and the light left before."""
+#: The grid and its inverse as two time steps, and their cells' opacities.
+STEPS_SQL = f""", vs as (select 0 as ts, x, y, z, v from vn union all select 1 as ts, x, y, z, 1 - v from vn),
+os as (select 0 as ts, cx, cy, cz, max_opacity from op union all select 1 as ts, cx, cy, cz, {OPACITY_SQL} as max_opacity from (select cx, cy, cz, 1 - vmax as vmin, 1 - vmin as vmax from mc))
+"""
+
+
+def marched_sql(step: str, rate: float = 0.5, volume: str = "vn", opacities: str = "op", ts: str = "") -> str:
+    """Samples of the lines ``ry`` in cells that are not transparent, with their value, opacity and the light left before;
+    with ``ts`` ("ts, ") for each time step of a series."""
     return (
         BOX_HITS
         + CROSSINGS
-        + f""", li as (select cl.*, cast(floor((c1 - c0) / {step}) as int) + 1 as m from cl join op using (cx, cy, cz) where max_opacity > 1e-6),
-sm as (select ray_id, cast(step * 100000 + i as bigint) as k, ds, ox + t * dx as sx, oy + t * dy as sy, oz + t * dz as sz, nx, ny, nz
+        + f""", li as (select cl.*, {ts}cast(floor((c1 - c0) / {step}) as int) + 1 as m from cl join {opacities} using (cx, cy, cz) where max_opacity > 1e-6),
+sm as (select {ts}ray_id, cast(step * 100000 + i as bigint) as k, ds, ox + t * dx as sx, oy + t * dy as sy, oz + t * dz as sz, nx, ny, nz
   from (select *, c0 + (i + 0.5e0) * ds as t from (select *, (c1 - c0) / m as ds, unnest(range(0, m)) as i from li))),
 sq as (select *, greatest(least(sx, nx - 0.5e0), 0.5e0) - 0.5e0 as qx, greatest(least(sy, ny - 0.5e0), 0.5e0) - 0.5e0 as qy, greatest(least(sz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz from sm),
-sc as (select ray_id, k, ds, least(floor(qx) + a, nx - 1) as x, least(floor(qy) + b, ny - 1) as y, least(floor(qz) + c, nz - 1) as z,
+sc as (select {ts}ray_id, k, ds, least(floor(qx) + a, nx - 1) as x, least(floor(qy) + b, ny - 1) as y, least(floor(qz) + c, nz - 1) as z,
   (case a when 0 then 1 - (qx - floor(qx)) else qx - floor(qx) end) * (case b when 0 then 1 - (qy - floor(qy)) else qy - floor(qy) end) * (case c when 0 then 1 - (qz - floor(qz)) else qz - floor(qz) end) as w
   from sq, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)),
-sv as (select ray_id, k, ds, least(greatest(sum(w * v), 0e0), 1e0) * 32 as u, sum(w * v) as v from sc join vn using (x, y, z) group by ray_id, k, ds),
-sa as (select ray_id, k, v, 1 - pow(1 - (kn[i + 1] * (1 - (u - i)) + kn[least(i + 2, 33)] * (u - i)), ds * 0.5e0) as a from (select *, cast(floor(u) as int) as i, {KNOTS_SQL} as kn from sv)),
-st as (select *, exp(coalesce(sum(ln(1 - a)) over (partition by ray_id order by k rows between unbounded preceding and 1 preceding), 0e0)) as left_before from sa)
+sv as (select {ts}ray_id, k, ds, least(greatest(sum(w * v), 0e0), 1e0) * 32 as u, sum(w * v) as v from sc join {volume} using ({ts}x, y, z) group by {ts}ray_id, k, ds),
+sa as (select {ts}ray_id, k, v, 1 - pow(1 - (kn[i + 1] * (1 - (u - i)) + kn[least(i + 2, 33)] * (u - i)), ds * {rate}e0) as a from (select *, cast(floor(u) as int) as i, {KNOTS_SQL} as kn from sv)),
+st as (select *, exp(coalesce(sum(ln(1 - a)) over (partition by {ts}ray_id order by k rows between unbounded preceding and 1 preceding), 0e0)) as left_before from sa)
 """
     )
 
@@ -547,6 +556,60 @@ def a11_raymarch(spark, sf_dir):
     return rounded(lines.composite(lit, ["ray_id"], ["v"]), "v", "alpha")
 
 
+ADAPTIVE_SQL = "(1e0 * (1 + 15 * pow(1 - least(greatest(max_opacity, 0.1e0), 1e0), 2)))"
+#: With this many times the opacity most rays end before they leave the grid.
+DENSE = 4.0
+
+
+@query(PIXELS + marched_sql(ADAPTIVE_SQL) + "select ray_id, round(sum(left_before * a * v), 6) as v, round(sum(left_before * a), 6) as alpha from st where 1 - left_before < 0.9999e0 group by ray_id")
+def f7_frontier(spark, sf_dir):
+    """The picture of ``a11_raymarch``, marched in rounds."""
+    g = grid(spark, sf_dir)
+    dims = (g.nx, g.ny, g.nz)
+    rows = frontier.frontier_march(lines.make_rays(spark, *camera(g)), g.voxels, opacity_cells(g), dims, classified, {"v": lambda v: v}, 1.0, 0.5)
+    return rounded(rows.select("ray_id", "v", "alpha"), "v", "alpha")
+
+
+@query(
+    PIXELS
+    + marched_sql(ADAPTIVE_SQL, DENSE)
+    + """, sn as (select *, len(bin((row_number() over (partition by ray_id order by k) - 1) // 16 + 1)) - 1 as chunk from st),
+so as (select ray_id, chunk, count(*) as n, arg_min(left_before, k) as entered from sn group by 1, 2),
+sl as (select ray_id, cast(sum(n) as bigint) as looked, cast(count(*) as int) as rounds from so where 1 - entered < 0.9999e0 group by 1),
+sp as (select ray_id, sum(left_before * a * v) as v, sum(left_before * a) as alpha from st where 1 - left_before < 0.9999e0 group by ray_id)
+select ray_id, round(v, 6) as v, round(alpha, 6) as alpha, looked, rounds, samples from sp join sl using (ray_id) join (select ray_id, count(*) as samples from st group by 1) using (ray_id)"""
+)
+def f7_frontier_opaque(spark, sf_dir):
+    """A picture of a denser volume, with the samples that were looked up for each ray and those that it has in all."""
+    g = grid(spark, sf_dir)
+    dims, rays = (g.nx, g.ny, g.nz), lines.make_rays(spark, *camera(g))
+    rows = frontier.frontier_march(rays, g.voxels, opacity_cells(g), dims, classified, {"v": lambda v: v}, 1.0, DENSE)
+    every = lines.samples_on_lines(lines.live_stretches(rays, opacity_cells(g), dims), 1.0, True).groupBy("ray_id").agg(F.count("*").alias("samples"))
+    return rounded(rows.select("ray_id", "v", "alpha", "looked", "rounds").join(every, "ray_id"), "v", "alpha")
+
+
+def two_steps(g: Grid) -> DataFrame:
+    """The grid and its inverse as a series."""
+    return cells.stack_steps([g.voxels, g.voxels.withColumn("v", 1 - F.col("v"))])
+
+
+def series_cells(voxels: DataFrame, g: Grid) -> DataFrame:
+    return cells.max_opacity(cells.macrocells(voxels, g.nx, g.ny, g.nz, "t"), knots(), len(TF_KNOTS))
+
+
+MARCHED_STEPS = STEPS_SQL + PIXELS + marched_sql(ADAPTIVE_SQL, 0.5, "vs", "os", "ts, ")
+
+
+@query(MARCHED_STEPS + "select ts as t, ray_id, round(sum(left_before * a * v), 6) as v, round(sum(left_before * a), 6) as alpha from st where 1 - left_before < 0.9999e0 group by 1, 2")
+def a11_series_raymarch(spark, sf_dir):
+    """A picture of each of two time steps."""
+    g = grid(spark, sf_dir)
+    voxels = two_steps(g)
+    samples = lines.march(lines.make_rays(spark, *camera(g)), voxels, series_cells(voxels, g), (g.nx, g.ny, g.nz), classified, 1.0, 0.5)
+    lit = lines.visible(lines.transmittance(samples, ["t", "ray_id"], "k"))
+    return rounded(lines.composite(lit, ["t", "ray_id"], ["v"]), "v", "alpha")
+
+
 LIGHT_SQL = "select cast(l as bigint) as l, sin(0.7e0) * cos(0.4e0 + l * (2 * pi() / 3)) as dx, sin(0.7e0) * sin(0.4e0 + l * (2 * pi() / 3)) as dy, cos(0.7e0) as dz from (select unnest([0, 1, 2]) as l)"
 
 
@@ -563,6 +626,24 @@ def a15_shadow(spark, sf_dir):
     return rounded(lines.shadow(g.voxels, opacity_cells(g), lights, (g.nx, g.ny, g.nz), classified, 4.0, 0.5), "light")
 
 
+@query(
+    f"""{STEPS_SQL}, lg as (select l, dx / dz as px, dy / dz as py, 1 / abs(dz) as ln, sign(dz) as sg from ({LIGHT_SQL})),
+sc as (select ts, l, x, y, z, v, nx, ny, px, py, ln, sg, cast(floor(px * z) as int) as i, cast(floor(py * z) as int) as j, px * z - floor(px * z) as f, py * z - floor(py * z) as g from vs, rg, lg),
+sx as (select *, unnest([{{'u': x - i, 'on': 1 - f + case when x = nx - 1 then f else 0e0 end, 'bk': 1 - f}}, {{'u': x - i - 1, 'on': f + case when x = 0 then 1 - f else 0e0 end, 'bk': f}}]) as p from sc),
+sy as (select *, unnest([{{'u': y - j, 'on': 1 - g + case when y = ny - 1 then g else 0e0 end, 'bk': 1 - g}}, {{'u': y - j - 1, 'on': g + case when y = 0 then 1 - g else 0e0 end, 'bk': g}}]) as q from sx),
+sp as (select ts, l, p.u as u, q.u as w, z, sum(p."on" * q."on" * v) as v, any_value(nx) as nx, any_value(ny) as ny, any_value(px) as px, any_value(py) as py, any_value(ln) as ln, any_value(sg) as sg from sy where p."on" > 0 and q."on" > 0 group by 1, 2, 3, 4, 5),
+sa as (select *, case when u + px * z between -0.5e0 and nx - 0.5e0 and w + py * z between -0.5e0 and ny - 0.5e0 then 1 - pow(1 - (k[i + 1] * (1 - (e - i)) + k[least(i + 2, 33)] * (e - i)), ln * 0.5e0) else 0e0 end as a
+  from (select *, least(greatest(v, 0e0), 1e0) * 32 as e, cast(floor(least(greatest(v, 0e0), 1e0) * 32) as int) as i, {KNOTS_SQL} as k from sp)),
+sl as (select ts, l, u, w, z, sqrt(1 - a) * exp(coalesce(sum(ln(1 - a)) over (partition by ts, l, u, w order by -z * sg rows between unbounded preceding and 1 preceding), 0e0)) as light from sa)
+select sy.ts as t, sy.x, sy.y, sy.z, round(sum(p.bk * q.bk * light / 3e0), 6) + 0e0 as light from sy join sl on sl.ts = sy.ts and sl.l = sy.l and sl.u = p.u and sl.w = q.u and sl.z = sy.z where p.bk > 0 and q.bk > 0 group by 1, 2, 3, 4"""
+)
+def a15_sheared(spark, sf_dir):
+    """Light from the ring of three slanted lights at every voxel of two time steps, by sheared sweeps."""
+    g = grid(spark, sf_dir)
+    lights = lines.ring_directions(spark, 3, 0.7, 0.4)
+    return rounded(shear.sheared_shadow(two_steps(g), lights, (g.nx, g.ny, g.nz), classified, 0.5), "light")
+
+
 # --- isosurface ----------------------------------------------------------------------------------------------------
 
 
@@ -966,7 +1047,7 @@ def w2_box_sums(spark, sf_dir):
 @query(sql_round('select x, y, z, exp(coalesce(sum(ln(1 - a)) over (partition by y, z order by x desc rows between unbounded preceding and 1 preceding), 0e0)) as "T" from al', '"T"'))
 def w4_axis_transmittance(spark, sf_dir):
     rows = opaque(grid(spark, sf_dir).voxels).withColumn("along", -F.col("x"))
-    return rounded(lines.transmittance(rows, ["y", "z"], "along").select("x", "y", "z", "T"), "T")
+    return rounded(lines.transmittance(rows, ["y", "z"], "along").select("x", "y", "z", F.col("clear").alias("T")), "T")
 
 
 BRICK = """select cast(p.b as int) as bx, cast(q.b as int) as by, cast(r.b as int) as bz, count(*) as voxels, cast(sum(v) as bigint) as total

@@ -31,6 +31,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4()}"
 
 
+def stored(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """The rows, computed once and kept as Parquet in the shared folder, without their lineage."""
+    path = scratch(df.sparkSession, name)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(stored_rows: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    spark = stored_rows.sparkSession
+    folders = {f.rpartition("/")[0] for f in stored_rows.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

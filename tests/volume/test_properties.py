@@ -94,8 +94,8 @@ def test_lines_visit_each_cell_once(spark):
 def test_opaque_samples_end_a_line(spark):
     rows = spark.createDataFrame([(0, 0, 0.5), (0, 1, 1.0), (0, 2, 0.5)], "r int, k int, a double")
     seen = lines.transmittance(rows, ["r"], "k")
-    assert [r.T for r in seen.orderBy("k").collect()] == [1.0, 0.5, 0.0] and lines.visible(seen).count() == 2
-    assert lines.line_transmittance(rows, ["r"]).first().T == 0.0
+    assert [r.clear for r in seen.orderBy("k").collect()] == [1.0, 0.5, 0.0] and lines.visible(seen).count() == 2
+    assert lines.line_transmittance(rows, ["r"]).first().clear == 0.0
     assert lines.composite(seen.withColumn("c", F.lit(1.0)), ["r"], ["c"]).first().alpha == 1.0
 
 
