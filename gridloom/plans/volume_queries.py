@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
-from gridloom.operators import blocks, cells, frontier, isosurface, lines, pyramid, quality, sampling, shear
+from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, pyramid, quality, sampling, shear
 from gridloom.sources import raw
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
 from gridloom.streaming import summaries
@@ -265,6 +265,13 @@ def j1_trilinear(spark, sf_dir):
     return rounded(sampling.trilinear(sample_points(spark, g), g.voxels, g.nx, g.ny, g.nz), "v")
 
 
+@query(sql_round("select * from tri", "v"))
+def j1_bricks(spark, sf_dir):
+    """The values of ``j1_trilinear``, interpolated where the points' bricks are; crowded bricks go to several tasks."""
+    g = grid(spark, sf_dir)
+    return rounded(brick_sampling.trilinear_by_bricks(sample_points(spark, g), g.voxels, g.nx, g.ny, g.nz, size=16, crowd=500), "v")
+
+
 @query(sql_round("select point_id, v from (select point_id, cast(floor(least(px * nx, nx - 0.5e0)) as int) as x, cast(floor(least(py * ny, ny - 0.5e0)) as int) as y, cast(floor(least(pz * nz, nz - 0.5e0)) as int) as z from pt, rg) join vn using (x, y, z)", "v"))
 def j2_nearest(spark, sf_dir):
     g = grid(spark, sf_dir)
@@ -731,8 +738,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_series(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
 
 
-@query(
-    """, q as (select t, x, y, z, least(x + 0.3e0, 31.5e0) as qx, least(y + 0.3e0, 23.5e0) as qy, least(z + 0.3e0, 4.5e0) as qz from vt
+SERIES_SAMPLES_SQL = """, q as (select t, x, y, z, least(x + 0.3e0, 31.5e0) as qx, least(y + 0.3e0, 23.5e0) as qy, least(z + 0.3e0, 4.5e0) as qz from vt
 ), e as (
   select t, x, y, z, least(floor(qx) + a, 31) as i, least(floor(qy) + b, 23) as j, least(floor(qz) + c, 4) as k,
     (case a when 0 then 1 - (qx - floor(qx)) else qx - floor(qx) end) * (case b when 0 then 1 - (qy - floor(qy)) else qy - floor(qy) end) * (case c when 0 then 1 - (qz - floor(qz)) else qz - floor(qz) end) as w
@@ -740,13 +746,25 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 select e.t, cast(e.x + 32 * e.y + 768 * e.z as bigint) as point_id, round(sum(w * vt.v), 6) + 0e0 as v
 from e join vt on vt.t = e.t and vt.x = e.i and vt.y = e.j and vt.z = e.k where w > 0 group by 1, 2"""
-)
+
+
+def beside(voxels: DataFrame) -> DataFrame:
+    """A point beside every voxel, in its own time step."""
+    at = [((F.col(a) + 0.8) / n).alias(f"p{a}") for a, n in zip("xyz", SERIES, strict=True)]
+    return voxels.select("t", (F.col("x") + 32 * F.col("y") + 768 * F.col("z")).cast("long").alias("point_id"), *at)
+
+
+@query(SERIES_SAMPLES_SQL)
 def j1_series_trilinear(spark, sf_dir):
     """A point beside every voxel, looked up in its own time step."""
     voxels = series(spark, sf_dir)
-    at = [((F.col(a) + 0.8) / n).alias(f"p{a}") for a, n in zip("xyz", SERIES, strict=True)]
-    points = voxels.select("t", (F.col("x") + 32 * F.col("y") + 768 * F.col("z")).cast("long").alias("point_id"), *at)
-    return rounded(sampling.trilinear(points, voxels, *SERIES), "v")
+    return rounded(sampling.trilinear(beside(voxels), voxels, *SERIES), "v")
+
+
+@query(SERIES_SAMPLES_SQL)
+def j1_series_bricks(spark, sf_dir):
+    voxels = series(spark, sf_dir)
+    return rounded(brick_sampling.trilinear_by_bricks(beside(voxels), voxels, *SERIES, size=8), "v")
 
 
 @query(
