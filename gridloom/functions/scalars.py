@@ -192,3 +192,9 @@ def screen(p: tuple, eye: tuple, h: tuple, v: tuple) -> tuple[Column, Column]:
     """Position of a point on a screen spanned by h and v, in [0, 1] each."""
     d = tuple(a - b for a, b in zip(p, eye, strict=True))
     return tuple(dot(d, tuple(x / sum(y * y for y in axis) for x in axis)) + 0.5 for axis in (h, v))
+
+
+def unit_hash(*parts: Column) -> Column:
+    """A number in [0, 1) that belongs to the parts' values: the first 52 bits of the md5 of their texts, joined by ``|``."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)

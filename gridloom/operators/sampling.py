@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.functions.scalars import clamp, coordinates
+from gridloom.functions.scalars import clamp, coordinates, unit_hash
 
 AXES = ("x", "y", "z")
 
@@ -21,7 +21,7 @@ def steps(df: DataFrame) -> list[str]:
 
 def random_points(spark: SparkSession, n: int, seed: int = 1337, lower=(0.0, 0.0, 0.0), upper=(1.0, 1.0, 1.0)) -> DataFrame:
     """``point_id, px, py, pz``: uniform in a box; a point depends on its number and the seed alone."""
-    unit = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), 11) / float(1 << 53)
+    unit = lambda k: unit_hash(F.col("id"), F.lit(seed), F.lit(k))
     return spark.range(n).select(F.col("id").alias("point_id"), *[(lo + unit(k) * (hi - lo)).alias(f"p{a}") for k, (a, lo, hi) in enumerate(zip(AXES, lower, upper, strict=True))])
 
 

@@ -141,6 +141,10 @@ with ve as (
 """
 
 
+#: A number in [0, 1) from the first 52 bits of a text's md5.
+UNIT_SQL = "(cast('0x' || md5({})[1:13] as bigint) / 4503599627370496e0)"
+
+
 def sql_round(select: str, *columns: str) -> str:
     inner = ", ".join(f"round({c}, 6) + 0e0 as {c}" for c in columns)
     return f"select * replace ({inner}) from ({select})" if columns else select
@@ -293,12 +297,24 @@ def j3_gradient(spark, sf_dir):
     return rounded(sampling.gradient(g.voxels, g.nx, g.ny, g.nz).drop("v"), "gx", "gy", "gz")
 
 
-@query()
+@query(
+    sql_round(
+        f"""select id as point_id, px, py, pz, sum((case a when 0 then 1 - fx else fx end) * (case b when 0 then 1 - fy else fy end) * (case c when 0 then 1 - fz else fz end) * v) as v from (
+  select *, qx - floor(qx) as fx, qy - floor(qy) as fy, qz - floor(qz) as fz from (select *, greatest(least(px * nx, nx - 0.5e0), 0.5e0) - 0.5e0 as qx, greatest(least(py * ny, ny - 0.5e0), 0.5e0) - 0.5e0 as qy, greatest(least(pz * nz, nz - 0.5e0), 0.5e0) - 0.5e0 as qz
+  from (select id, nx, ny, nz, {", ".join(UNIT_SQL.format(f"id || '|1337|{k}'") + f" as p{axis}" for k, axis in enumerate("xyz"))} from (select unnest(range(cast(nx * ny * nz as bigint))) as id, nx, ny, nz from rg)))
+) as p, (values (0), (1)) as ta(a), (values (0), (1)) as tb(b), (values (0), (1)) as tc2(c)
+join vn on vn.x = least(floor(qx) + a, nx - 1) and vn.y = least(floor(qy) + b, ny - 1) and vn.z = least(floor(qz) + c, nz - 1) group by 1, 2, 3, 4""",
+        "px",
+        "py",
+        "pz",
+        "v",
+    )
+)
 def l1_random_points(spark, sf_dir):
     """As many random points as voxels, with their values."""
     g = grid(spark, sf_dir)
     points = sampling.random_points(spark, g.nx * g.ny * g.nz)
-    return points.join(sampling.trilinear(points, g.voxels, g.nx, g.ny, g.nz), "point_id")
+    return rounded(points.join(sampling.trilinear(points, g.voxels, g.nx, g.ny, g.nz), "point_id"), "px", "py", "pz", "v")
 
 
 @query(
@@ -867,7 +883,7 @@ STORED = "cast(cast(v as real) as double)"
 def written(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
     """The grid as a raw volume in the shared folder, which executors must be able to open as files."""
     g = grid(spark, sf_dir)
-    path = scratch(spark, "volume").removeprefix("file://")
+    path = raw.plain_path(scratch(spark, "volume"))
     raw.write_raw_volume(g.voxels, path)
     return path, g
 
@@ -881,10 +897,40 @@ def k1_raw_round_trip(spark, sf_dir):
 
 @query(sql_round(f"select 0 as t, x, y, z, {STORED} as v from vn where x >= 5 and x < 40 and y >= 2 and y < 19 and z >= 3 and z < 11", "v"))
 def s7_region(spark, sf_dir):
-    """A box of the written volume; slices outside it are not read."""
+    """A box of the written volume by a plain condition; slices and rows outside it are not read."""
+    path, g = written(spark, sf_dir)
+    rows = raw.read_written(spark, path, g.nx, g.ny, "x >= 5 and x < 40 and y >= 2 and y < 19 and z >= 3 and z < 11")
+    return rounded(rows, "v")
+
+
+#: Rows of a block of 64 four-byte values, of which 20 make a slice: the whole slice is one block.
+DRAWN_SQL = f"""{UNIT_SQL.format("'1337|0|' || z || '|0'")} as u, x, y, z, {STORED} as v from vn"""
+
+
+@query(sql_round(f"select 0 as t, x, y, z, v from (select {DRAWN_SQL}) where u < 0.4e0", "v"))
+def s6_block_sample(spark, sf_dir):
+    """Blocks of the written volume, each drawn or not."""
+    path, g = written(spark, sf_dir)
+    return rounded(raw.read_written(spark, path, g.nx, g.ny, fraction=0.4), "v")
+
+
+POISSON_SQL = "case when u < exp(-1.5e0) then 0 when u < exp(-1.5e0) * 2.5e0 then 1 when u < exp(-1.5e0) * 3.625e0 then 2 when u < exp(-1.5e0) * 4.1875e0 then 3 when u < exp(-1.5e0) * 4.3984375e0 then 4 when u < exp(-1.5e0) * 4.46171875e0 then 5 when u < exp(-1.5e0) * 4.4775390625e0 then 6 else 7 end"
+COPIES_SQL = f"(select *, cast(unnest(range(0, {POISSON_SQL})) as int) as copy from (select {DRAWN_SQL}))"
+
+
+@query(sql_round(f"select 0 as t, x, y, z, v, copy from {COPIES_SQL}", "v"))
+def s6_block_draws(spark, sf_dir):
+    """Blocks of the written volume drawn with replacement, one and a half times as many as there are."""
+    path, g = written(spark, sf_dir)
+    return rounded(raw.read_written(spark, path, g.nx, g.ny, fraction=1.5, replacement="true"), "v")
+
+
+@query(sql_round("select 0 as t, " + ", ".join(f"({a} + {UNIT_SQL.format(f"'0|' || copy || '|' || x || '|' || y || '|' || z || '|1337|{k}'")}) / n{a} as p{a}" for k, a in enumerate("xyz")) + f", v from {COPIES_SQL}, rg", "px", "py", "pz", "v"))
+def l2_jitter(spark, sf_dir):
+    """A random point in each voxel of blocks drawn with replacement."""
     path, g = written(spark, sf_dir)
-    rows = raw.read_written(spark, path, g.nx, g.ny, z_from=3, z_to=11)
-    return rounded(cells.clip(rows, (5, 2, 3), (40, 19, 11)), "v")
+    draws = raw.read_written(spark, path, g.nx, g.ny, fraction=1.5, replacement="true")
+    return rounded(blocks.jittered_points(draws, (g.nx, g.ny, g.nz)), "px", "py", "pz", "v")
 
 
 # --- hash-grid summaries -------------------------------------------------------------------------------------------

@@ -2,15 +2,20 @@
 
 ``spark.read.format("raw_volume")`` reads flat grids (x fastest) as ``t, x, y, z, v``: options ``path`` (several, one per
 time step, separated by commas), ``dims`` ("nx,ny,nz"), ``dtype``, ``offset``, ``big_endian``, ``slab`` (z-slices of a
-partition), ``z_from`` and ``z_to`` (only these slices are read), and for a sample of blocks ``fraction`` and ``seed``.
-The files must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit floats batch by
-batch, one file per task, each named by its first slice, and a manifest; mode ``overwrite`` removes the files of an older
-volume. With the option ``slabs`` (``read_written``) the files of a manifest are read as one volume.
+partition), ``z_from`` and ``z_to`` (only these slices are read), and for a sample of blocks ``fraction`` and ``seed``; with
+``replacement`` a block can be drawn several times, and its rows have the number of their ``copy``.
+With ``pushdown`` conditions on t, z and y that Spark pushes down leave out files, slabs, and rows within slices. Spark keeps pushed
+conditions with the table that was loaded, also for later queries on it, so this is for tables made for one condition
+(``read_where``). The files must be on a path that executors can open. ``df.write.format("raw_volume")`` writes little-endian 32-bit
+floats batch by batch, one file per task, each named by its first slice, and a manifest; mode ``overwrite`` removes the files of an
+older volume. With the option ``slabs`` (``read_written``) the files of a manifest are read as one volume.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,12 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from gridloom.functions.scalars import DTYPES
-from gridloom.operators.cells import clip
 
 SCHEMA = "t int, x int, y int, z int, v double"
 BLOCK_BYTES = 32768
@@ -38,19 +42,42 @@ class Slab(InputPartition):
     begin: int
 
 
+def flag(options: dict, name: str) -> bool:
+    return str(options.get(name, "false")).lower() == "true"
+
+
 def value_type(name: str, big_endian: bool) -> np.dtype:
     if name not in DTYPES:
         raise ValueError(f"unsupported value type {name}")
     return np.dtype((">" if big_endian else "<") + DTYPES[name][0])
 
 
+def drawn(seed: int, t: int, z: int, block: int) -> float:
+    """A number in [0, 1) that belongs to a block: the first 52 bits of an md5, as ``scalars.unit_hash`` has it."""
+    return int(hashlib.md5(f"{seed}|{t}|{z}|{block}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+
+
+def times_drawn(u: float, mean: float) -> int:
+    """How often a block is drawn, by the inverse of the Poisson distribution: what draws with replacement come to for
+    each of many blocks."""
+    term = upto = math.exp(-mean)
+    count = 0
+    while u >= upto and term > 0:
+        count += 1
+        term *= mean / count
+        upto += term
+    return count
+
+
 class RawReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.dims = tuple(int(n) for n in options["dims"].split(","))
-        self.type = value_type(options.get("dtype", "FLOAT").upper(), str(options.get("big_endian", "false")).lower() == "true")
+        self.type = value_type(options.get("dtype", "FLOAT").upper(), flag(options, "big_endian"))
         self.offset, self.slab = int(options.get("offset", 0)), int(options.get("slab", 16))
         self.fraction, self.seed = float(options.get("fraction", 1.0)), int(options.get("seed", 1337))
+        self.replacement = flag(options, "replacement")
+        self.bounds = {"t": (0, len(self.paths) - 1), "y": (0, self.dims[1] - 1)}
         self.low, self.high = max(0, int(options.get("z_from", 0))), min(self.dims[2], int(options.get("z_to", self.dims[2]))) - 1
 
         # Files with their time step and slices: whole volumes, or the slabs of one.
@@ -59,37 +86,86 @@ class RawReader(DataSourceReader):
 
     def partitions(self):
         plane = self.dims[0] * self.dims[1] * self.type.itemsize
+        (t0, t1), (y0, y1) = self.bounds["t"], self.bounds["y"]
         return [
             Slab(path, t, z, min(z + self.slab, last, self.high + 1), self.offset + (z - first) * plane)
             for path, t, first, last in self.files
+            if t0 <= t <= t1 and y0 <= y1
             for z in range(max(first, self.low), min(last, self.high + 1), self.slab)
         ]
 
-    def rows_of(self, z: int, t: int) -> np.ndarray:
-        """The rows y of a slice that are in the sample: blocks of whole rows of about BLOCK_BYTES."""
+    def rows_of(self, z: int, t: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows y of a slice that are read, by the number of their copy: those in the bounds and, for a sample, in drawn
+        blocks of whole rows of about BLOCK_BYTES. Blocks are drawn where they are read, as all of a large volume's are too
+        many for the driver."""
         nx, ny, _ = self.dims
         per_block = max(1, -(-BLOCK_BYTES // (nx * self.type.itemsize)))
         blocks = np.arange(-(-ny // per_block))
-        if self.fraction < 1.0:
-            blocks = np.array([b for b in blocks if np.random.default_rng((self.seed, t, z, int(b))).random() < self.fraction], int)
-        rows = (blocks[:, None] * per_block + np.arange(per_block)).ravel()
-        return rows[rows < ny]
+        times = np.ones(len(blocks), np.int64)
+        if self.replacement:
+            times = np.array([times_drawn(drawn(self.seed, t, z, int(b)), self.fraction) for b in blocks])
+        elif self.fraction < 1.0:
+            times = np.array([drawn(self.seed, t, z, int(b)) < self.fraction for b in blocks], np.int64)
+        for copy in range(times.max(initial=0)):
+            rows = (blocks[times > copy][:, None] * per_block + np.arange(per_block)).ravel()
+            yield copy, rows[(rows >= self.bounds["y"][0]) & (rows <= self.bounds["y"][1])]
 
     def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
         nx, ny, _ = self.dims
+        names = ["t", "x", "y", "z", "v", *(["copy"] if self.replacement else [])]
         with open(partition.path, "rb") as f:
             for z in range(partition.z0, partition.z1):
-                ys = self.rows_of(z, partition.t)
-                if not len(ys):
-                    continue
-                f.seek(partition.begin + (z - partition.z0) * nx * ny * self.type.itemsize + int(ys[0]) * nx * self.type.itemsize)
-                count = (int(ys[-1]) - int(ys[0]) + 1) * nx
-                data = np.frombuffer(f.read(count * self.type.itemsize), self.type)
-                if len(data) < count:
-                    raise ValueError(f"{partition.path} is too short for {self.dims}")
-                v = data.reshape(-1, nx)[ys - ys[0]].ravel().astype(np.float64)
-                columns = [np.full(len(v), partition.t, np.int32), np.tile(np.arange(nx, dtype=np.int32), len(ys)), np.repeat(ys.astype(np.int32), nx), np.full(len(v), z, np.int32), v]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "x", "y", "z", "v"])
+                for copy, ys in self.rows_of(z, partition.t):
+                    for run in np.split(ys, np.flatnonzero(np.diff(ys) != 1) + 1):  # what lies between is not read
+                        if not len(run):
+                            continue
+                        f.seek(partition.begin + ((z - partition.z0) * ny + int(run[0])) * nx * self.type.itemsize)
+                        data = np.frombuffer(f.read(len(run) * nx * self.type.itemsize), self.type)
+                        if len(data) < len(run) * nx:
+                            raise ValueError(f"{partition.path} is too short for {self.dims}")
+                        columns = [np.full(len(data), partition.t, np.int32), np.tile(np.arange(nx, dtype=np.int32), len(run)), np.repeat(run.astype(np.int32), nx), np.full(len(data), z, np.int32), data.astype(np.float64)]
+                        columns += [np.full(len(data), copy, np.int32)] if self.replacement else []
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def planned_bytes(self) -> int:
+        """Bytes that the partitions read."""
+        rows = sum(len(ys) for p in self.partitions() for z in range(p.z0, p.z1) for _, ys in self.rows_of(z, p.t))
+        return rows * self.dims[0] * self.type.itemsize
+
+
+class PushedReader(RawReader):
+    """A reader that narrows what it reads by conditions on t, z and y. Spark checks all conditions on the rows again."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            axis = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if axis in ("t", "y", "z") and (span := self.span_of(f)) is not None:
+                self.narrow(axis, *span)
+            yield f
+
+    @staticmethod
+    def span_of(f: Filter) -> tuple[float, float] | None:
+        """The smallest and largest value that a condition lets through."""
+        match f:
+            case EqualTo(_, v):
+                return v, v
+            case In(_, vs):
+                return min(vs, default=math.inf), max(vs, default=-math.inf)
+            case GreaterThan(_, v):
+                return v + 1, math.inf
+            case GreaterThanOrEqual(_, v):
+                return v, math.inf
+            case LessThan(_, v):
+                return -math.inf, v - 1
+            case LessThanOrEqual(_, v):
+                return -math.inf, v
+        return None
+
+    def narrow(self, axis: str, lo: float, hi: float) -> None:
+        if axis == "z":
+            self.low, self.high = max(self.low, lo), min(self.high, hi)
+        else:
+            self.bounds[axis] = max(self.bounds[axis][0], lo), min(self.bounds[axis][1], hi)
 
 
 @dataclass
@@ -152,10 +228,10 @@ class RawVolume(DataSource):
         return "raw_volume"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", copy int" if flag(self.options, "replacement") else "")
 
     def reader(self, schema) -> RawReader:
-        return RawReader(self.options)
+        return PushedReader(self.options) if flag(self.options, "pushdown") else RawReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> RawWriter:
         return RawWriter(self.options, overwrite)
@@ -175,9 +251,25 @@ def read_raw_volume(spark: SparkSession, paths: list[str] | str, dims: tuple, dt
     return reader.load()
 
 
+def read_where(spark: SparkSession, paths: list[str] | str, dims: tuple, condition: Column | str, **options) -> DataFrame:
+    """The voxels that meet a condition; files, slabs and rows of slices that none of its parts on t, z and y (each compared
+    with numbers, joined by "and") lets through are not read. Each call loads a table of its own. Pushing conditions to Python
+    data sources is switched on in the session."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return read_raw_volume(spark, paths, dims, pushdown="true", **options).filter(condition)
+
+
 def read_region(spark: SparkSession, paths: list[str] | str, dims: tuple, lower: tuple, upper: tuple, **options) -> DataFrame:
-    """The voxels of a box, upper bounds excluded; slices outside it are not read."""
-    return clip(read_raw_volume(spark, paths, dims, z_from=lower[2], z_to=upper[2], **options), lower, upper)
+    """The voxels of a box, upper bounds excluded; slices and rows outside it are not read."""
+    inside = [(F.col(a) >= lo) & (F.col(a) < hi) for a, lo, hi in zip("xyz", lower, upper, strict=True)]
+    return read_where(spark, paths, dims, inside[0] & inside[1] & inside[2], **options)
+
+
+def plain_path(path: str) -> str:
+    """A path that ``open`` takes; stores that only Spark reads are an error."""
+    if "://" in path.replace("file://", "", 1):
+        raise ValueError(f"raw volumes need a path that is mounted as a file system, not {path}")
+    return path.removeprefix("file://")
 
 
 def write_raw_volume(voxels: DataFrame, path: str) -> tuple[float, float]:
@@ -189,8 +281,11 @@ def write_raw_volume(voxels: DataFrame, path: str) -> tuple[float, float]:
         return tuple(json.load(f)["range"])
 
 
-def read_written(spark: SparkSession, path: str, nx: int, ny: int, **options) -> DataFrame:
-    """A volume that write_raw_volume wrote. The manifest has a line per task that wrote."""
+def read_written(spark: SparkSession, path: str, nx: int, ny: int, condition: Column | str | None = None, **options) -> DataFrame:
+    """A volume that write_raw_volume wrote, or its voxels that meet a condition. The manifest has a line per task that wrote."""
     with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:
         slabs = json.load(f)["slabs"]
-    return read_raw_volume(spark, path, (nx, ny, max((z1 for _, _, z1 in slabs), default=0)), slabs=json.dumps(slabs), **options)
+    dims = (nx, ny, max((z1 for _, _, z1 in slabs), default=0))
+    if condition is not None:
+        return read_where(spark, path, dims, condition, slabs=json.dumps(slabs), **options)
+    return read_raw_volume(spark, path, dims, slabs=json.dumps(slabs), **options)
