@@ -33,9 +33,9 @@ NEAR = 85
 BINS, ROWS = 256, 8
 BANDS = BINS // ROWS
 #: Equal sketch bytes from which a pair is confirmed on its sets.
-SKETCH = 180
-#: Nodes of a bucket whose pairs are compared in one block, parts of a star, and rows that are broadcast.
-BLOCK, SLICES, MOST_ROWS = 256, 4096, 1_000_000
+SKETCH = 192
+#: Nodes of a bucket whose pairs are compared in one block and their shingles, parts of a star, and rows that are broadcast.
+BLOCK, BLOCK_SHINGLES, SLICES, MOST_ROWS = 256, 1_000_000, 4096, 1_000_000
 
 #: For each bin the order in which it looks for a filled one.
 SEEKS = np.random.default_rng(42).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -56,6 +56,13 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b]) for a, b in spans), np.uint64, len(words) - WIDTH + 1))
 
 
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have enough in common."""
+    every = np.sort(np.concatenate((a, b)), kind="stable")  # two sorted runs to merge
+    common = int((every[1:] == every[:-1]).sum())
+    return 100 * common >= NEAR * (len(every) - common)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The smallest hash of each bin, or that of the filled bin that an empty one finds first."""
     bins = (hashes >> np.uint64(56)).astype(np.int64)
@@ -119,57 +126,70 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(rows.select("a", "b", "s_a", "s_b"), run, "a long, b long")
 
 
+def open_members(members: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, node, component, parts`` of buckets whose nodes, but for the centre of the star, are in several components;
+    ``parts`` blocks hold about BLOCK nodes and BLOCK_SHINGLES shingles each."""
+    labelled = members.join(named, "node", "left").join(classes.select("node", "n"), "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("parts")).filter("lo < hi")
+    return stored(labelled.join(small_or_shuffled(stored(open_keys.select("key", "parts")), MOST_ROWS), "key").select("key", "node", "component", "parts"))
+
+
 def compared(batches: Batches) -> Batches:
-    """Rows (part, side, node, component, n, sketch), sorted by part -> likely pairs between components. A part has one or two
-    blocks of nodes (sides 0 and 1); with two, only pairs across them count."""
-    held: list[list] = []
+    """Rows (part, side, key, node, component, n, sketch, bands, shingles), sorted by part -> links between components, by full
+    sets. A part has one or two blocks of a bucket's nodes (sides 0 and 1); with two, only pairs across them count. A pair is
+    looked at in the first bucket that it shares, and no more once its components have met in this part."""
+    held: list[tuple] = []
     part = None
 
-    def pairs() -> pa.RecordBatch:
-        side, node, component, n = (np.array([r[i] for r in held], np.int64) for i in range(1, 5))
-        sketch = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, BINS)
+    def links() -> pa.RecordBatch:
+        side, key, node, component, n = (np.array([r[i] for r in held], np.int64) for i in range(1, 6))
+        sketch = np.frombuffer(b"".join(r[6] for r in held), np.uint8).reshape(-1, BINS)
+        own_bands = np.array([r[7] for r in held], np.int64)
+        sets = [np.frombuffer(r[8], np.uint64) for r in held]
         two, found = side.min() != side.max(), []
         for i in range(len(node)):
             ok = (component != component[i]) & (node > node[i]) & (NEAR * np.maximum(n, n[i]) <= 100 * np.minimum(n, n[i]))
             if two:
                 ok &= side != side[i]
             j = np.flatnonzero(ok)
-            found.append([(node[i], k) for k in node[j[(sketch[j] == sketch[i]).sum(axis=1) >= SKETCH]]])
-        flat = [p for f in found for p in f]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in flat], pa.int64()) for k in (0, 1)], ["a", "b"])
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= SKETCH]
+            first = (own_bands[j] == own_bands[i]).argmax(axis=1)
+            for k in j[own_bands[i][first] == key[i]].tolist():
+                if component[k] != component[i] and near(sets[i], sets[k]):
+                    found.append((node[i], node[k]))
+                    component[component == component[k]] = component[i]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[0] != part and held:
-                yield pairs()
+                yield links()
                 held = []
             part = row[0]
             held.append(row)
     if held:
-        yield pairs()
+        yield links()
 
 
-def across(members: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs of nodes that share a bucket but not a component, centres of stars left out."""
-    labelled = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    left = stored(labelled.join(small_or_shuffled(stored(open_keys.select("key", "size")), MOST_ROWS), "key"))
-    full = left.join(classes.select("node", "n", "sketch"), "node")
+def across(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of open buckets."""
+    full = rows.join(classes.select("node", "n", "sketch", "bands"), "node").join(sets, "node")
     # blocks of a bucket, and a part for each pair of them
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    with_other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.xxhash64("key", F.least(F.col("mine"), o), F.greatest(F.col("mine"), o)).alias("part"), (F.col("mine") > o).cast("int").alias("side")))
-    rows = full.withColumn("mine", mine).withColumn("p", F.explode(with_other)).select("p.part", "p.side", "node", "component", "n", "sketch")
+    rows = full.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    with_other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.xxhash64("key", F.least(F.col("mine"), o), F.greatest(F.col("mine"), o)).alias("part"), (F.col("mine") > o).cast("int").alias("side")))
+    rows = rows.withColumn("p", F.explode(with_other)).select("p.part", "p.side", "key", "node", "component", "n", "sketch", "bands", "shingles")
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(compared, "a long, b long").distinct()
 
 
 # --- confirmation --------------------------------------------------------------------------------------------------
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``node, shingles`` of the nodes ``node, row_key, set_key``: texts of one row for each are read again."""
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``node, shingles`` of the nodes: texts of one row for each are read again."""
+    asked = stored(classes.select("node", "row_key", "set_key").join(small_or_shuffled(stored(nodes), MOST_ROWS), "node", "left_semi"))
     keyed = docs.select(F.xxhash64(F.col(id_column).cast("long"), F.xxhash64(text_column)).alias("row_key"), F.col(text_column).alias("text"))
-    rows = keyed.join(small_or_shuffled(nodes, MOST_ROWS), "row_key").select("node", "set_key", "text")
+    rows = keyed.join(small_or_shuffled(asked, MOST_ROWS), "row_key").select("node", "set_key", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t).tobytes() for t in texts_of(batch.column(2))]
@@ -191,9 +211,7 @@ def linked(batches: Batches) -> Batches:
                 centre, mine = own.copy(), x
                 continue
             assert mine == x
-            both = len(centre) + len(own)
-            union = len(np.union1d(centre, own))
-            if 100 * (both - union) >= NEAR * union:
+            if near(centre, own):
                 found.append((x, y))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -203,8 +221,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column:
     """The pairs ``a, b`` that are near enough by their full sets."""
     pairs = stored(pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("int")))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = stored(classes.select("node", "row_key", "set_key").join(small_or_shuffled(stored(nodes), MOST_ROWS), "node", "left_semi"))
-    sets = full_sets(docs, keys, id_column, text_column)
+    sets = full_sets(nodes, docs, classes, id_column, text_column)
     centres = pairs.select("a", "slice").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "shingles")
     others = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "shingles")
     dealt = centres.unionByName(others).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
@@ -221,8 +238,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(likely(stars, classes), docs, classes, id_column, text_column)
     named = stored(connected_components(links))
-    rest = across(members, named, classes)
-    more = confirmed(rest, docs, classes, id_column, text_column)
+    rest = open_members(members, named, classes)
+    more = across(rest, classes, full_sets(rest.select("node").distinct(), docs, classes, id_column, text_column))
     ends = named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     named = connected_components(ends)
     labelled = stored(classes.select("node", "set_key", "least_id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -68,13 +68,18 @@ def test_long_text_and_empty_table(spark):
 
 
 def test_pairs_that_no_star_has(spark):
-    """A bucket whose smallest node is near none of the others still links these."""
-    classes = spark.createDataFrame([(n, 100, bytes([k]) * 256) for n, k in enumerate((1, 2, 2, 3, 2))], "node long, n long, sketch binary")
-    members = spark.createDataFrame([(9, 0, n) for n in (1, 2, 3, 4)], "key long, hub long, node long")
-    none = spark.createDataFrame([], "node long, component long")
-    assert sorted(map(tuple, minhash.across(members, none, classes).collect())) == [(1, 2), (1, 4), (2, 4)]
-    named = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    assert sorted(map(tuple, minhash.across(members, named, classes).collect())) == [(1, 4), (2, 4)]
+    """A bucket whose smallest node is near none of the others still links these, once for two components."""
+    same = [list(range(32))] * 5
+    classes = spark.createDataFrame([(n, 100, bytes([k]) * 256, b) for (n, k), b in zip(enumerate((1, 2, 2, 3, 2)), same)], "node long, n long, sketch binary, bands array<long>")
+    sets = spark.createDataFrame([(n, np.arange(100 * k, 100 * k + 100, dtype=np.uint64).tobytes()) for n, k in enumerate((1, 2, 2, 3, 2))], "node long, shingles binary")
+    members = spark.createDataFrame([(key, 0, n) for key in (0, 5) for n in (1, 2, 3, 4)], "key long, hub long, node long")
+
+    def links(named):
+        return sorted(map(tuple, minhash.across(minhash.open_members(members, spark.createDataFrame(named, "node long, component long"), classes), classes, sets).collect()))
+
+    assert links([]) == [(1, 2), (1, 4)]
+    assert links([(1, 1), (2, 1)]) == [(1, 4)]
+    assert links([(n, 1) for n in (1, 2, 3, 4)]) == []
 
 
 def test_signature_estimates_and_recall():
