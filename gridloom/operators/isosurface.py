@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import linear_id, triangle_normal
 from gridloom.operators.sampling import steps
+from gridloom.operators.scan import BLOCK, running_sums
 
 #: Corner order of a cell and the corners of its edges, as in the usual numbering.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -102,20 +103,20 @@ def triangles(active_cells: DataFrame, iso: float) -> DataFrame:
     return rows.select("*", *[v.alias(f"n{axis}") for v, axis in zip(normal, "xyz", strict=True)])
 
 
-def offsets(active_cells: DataFrame, block: int = 4096) -> DataFrame:
-    """Adds ``first``, the number of vertices in the cells before: sums of blocks of cell ids first, then sums within."""
-    rows = active_cells.select("cell_id", "n_verts", F.floor(F.col("cell_id") / block).alias("block"))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("block").agg(F.sum("n_verts").alias("s")).select("block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("block").orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("own", F.coalesce(F.sum("n_verts").over(within), F.lit(0))).join(blocks, "block").select("cell_id", "n_verts", (F.col("before") + F.col("own")).alias("first"))
+def offsets(active_cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``cell_id, n_verts, first``: the number of vertices in the cells before, for each step (``t``) of a series."""
+    keys = steps(active_cells)
+    return running_sums(active_cells.select(*keys, "cell_id", "n_verts"), "cell_id", "n_verts", keys, block)
 
 
 def write_obj(points: DataFrame, path: str) -> None:
-    """All vertices in order of cell and number as v lines, then a face for every three."""
-    counts = points.groupBy("cell_id").agg(F.count("*").alias("n_verts"))
-    rows = points.join(offsets(counts), "cell_id").withColumn("vid", F.col("first") + F.col("n"))
-    v = rows.select(F.lit(0).alias("part"), "vid", F.format_string("v %f %f %f", "vx", "vy", "vz").alias("value"))
+    """All vertices in order of cell and number as v lines, then a face for every three. A series has one folder for each step
+    (``t=…``), each with a mesh of its own."""
+    keys = steps(points)
+    counts = points.groupBy(*keys, "cell_id").agg(F.count("*").alias("n_verts"))
+    rows = points.join(offsets(counts), [*keys, "cell_id"]).withColumn("vid", F.col("first") + F.col("n"))
+    v = rows.select(*keys, F.lit(0).alias("part"), "vid", F.format_string("v %f %f %f", "vx", "vy", "vz").alias("value"))
     i = F.col("vid")
-    f = rows.filter(i % 3 == 0).select(F.lit(1).alias("part"), "vid", F.format_string("f %d %d %d", i + 1, i + 2, i + 3).alias("value"))
-    v.unionByName(f).repartitionByRange("part", "vid").sortWithinPartitions("part", "vid").select("value").write.mode("overwrite").text(path)
+    f = rows.filter(i % 3 == 0).select(*keys, F.lit(1).alias("part"), "vid", F.format_string("f %d %d %d", i + 1, i + 2, i + 3).alias("value"))
+    order = [*keys, "part", "vid"]
+    v.unionByName(f).repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)

@@ -702,6 +702,22 @@ def w1_offsets(spark, sf_dir):
     return isosurface.offsets(surface_cells(spark, sf_dir))
 
 
+STEPPED = f""", s1v as (select ts, x, y, z, v as f0, lead(v) over (partition by ts, y, z order by x) as f1 from (select 0 as ts, x, y, z, v from vn union all select 1, x, y, z, 1 - v from vn)),
+s2v as (select *, lead(f1) over w as f2, lead(f0) over w as f3 from s1v window w as (partition by ts, x, z order by y)),
+s3v as (select *, lead(f0) over w as f4, lead(f1) over w as f5, lead(f2) over w as f6, lead(f3) over w as f7 from s2v window w as (partition by ts, x, y order by z)),
+sca as (select ts, x, y, z, {' + '.join(f'{1 << k} * (f{k} <= 0.5e0)::int' for k in range(8))} as c from s3v where f6 is not null),
+snv as (select ts as t, cast(x + 63 * (y + 19 * z) as bigint) as cell_id, {VERTS}[c + 1] as n_verts from sca where c not in (0, 255))
+"""
+
+
+@query(STEPPED + "select t, cell_id, n_verts, cast(coalesce(sum(n_verts) over (partition by t order by cell_id rows between unbounded preceding and 1 preceding), 0) as bigint) as first from snv")
+def w1_series_offsets(spark, sf_dir):
+    """Offsets in the meshes of two time steps, by a scan in three levels."""
+    g = grid(spark, sf_dir)
+    found = isosurface.active(isosurface.corners(two_steps(g), g.nx, g.ny, g.nz), ISO)
+    return isosurface.offsets(found, block=64)
+
+
 @query(COUNTED + "select count(*) as cells, cast(sum(n_verts) as bigint) as vertices from nv")
 def a16_vertex_count(spark, sf_dir):
     return surface_cells(spark, sf_dir).agg(F.count("*").alias("cells"), F.sum("n_verts").alias("vertices"))
@@ -959,6 +975,19 @@ def a20_ratio(spark, sf_dir):
     return rounded(pyramid.size_report(pyramid.fit(g.voxels, dims, CONFIG), dims), "ratio")
 
 
+@query(
+    """, z0 as (select ts, x, y, z, v, k0, k1, k2 from (select 0 as ts, x, y, z, v, k0, k1, k2 from s0 union all select 1 as ts, x, y, z, 1 - v as v, k0, k1, k2 from s0)),
+z1 as (select *, v - avg(v) over (partition by ts, k0) as r1 from z0),
+z2 as (select *, r1 - avg(r1) over (partition by ts, k1) as r2 from z1)
+select ts as t, x, y, z, round(v - (r2 - avg(r2) over (partition by ts, k2)), 6) + 0e0 as v from z2"""
+)
+def a19_series_values(spark, sf_dir):
+    """The values of hash grids of two time steps, fitted in one go."""
+    g = grid(spark, sf_dir)
+    voxels, dims = two_steps(g), (g.nx, g.ny, g.nz)
+    return rounded(pyramid.reconstruct(voxels, pyramid.fit(voxels, dims, CONFIG), dims, CONFIG), "v")
+
+
 BLENDED = pyramid.Config(levels=2, base=8, scale=2.0, log2_slots=10, blend=True)
 
 
