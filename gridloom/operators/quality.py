@@ -44,13 +44,22 @@ def sampled_loss(points: DataFrame, reference: DataFrame, other: DataFrame, dims
     return mean_loss(a.join(b, [*steps(reference), "point_id"]), loss, *steps(reference))
 
 
-def box_sums(rows: DataFrame, columns: list[str], half: int = HALF) -> DataFrame:
-    """Sums over the cube of 2 * half + 1 voxels around each voxel, in its time step: one pass along each axis. Frames are
-    ranges of the index, so gaps of a sparse grid add nothing."""
-    for a in AXES:
-        line = Window.partitionBy(*steps(rows), *[b for b in AXES if b != a]).orderBy(a).rangeBetween(-half, half)
-        rows = rows.select(*steps(rows), *AXES, *[F.sum(c).over(line).alias(c) for c in columns])
-    return rows
+def box_sums(rows: DataFrame, columns: list[str], half: int | tuple = HALF, sparse: bool = False) -> DataFrame:
+    """Sums over the box of 2 * half + 1 voxels (one number, or one for each axis) around each voxel, in its time step: one
+    pass along each axis. A pass takes sums at the voxels that are there, so on a grid with gaps a box is whole only if all its
+    voxels are; with ``sparse`` voxels are spread over the places around them instead, gaps add nothing, and all sums are right."""
+    keys = [*steps(rows), *AXES]
+    own = rows.select(*keys)
+    for a, h in zip(AXES, (half,) * 3 if isinstance(half, int) else half, strict=True):
+        if not h:
+            continue
+        if sparse:
+            near = rows.withColumn(a, F.explode(F.sequence(F.col(a) - h, F.col(a) + h)))
+            rows = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+        else:
+            line = Window.partitionBy(*[k for k in keys if k != a]).orderBy(a).rangeBetween(-h, h)
+            rows = rows.select(*keys, *[F.sum(c).over(line).alias(c) for c in columns])
+    return rows.join(own, keys, "left_semi") if sparse else rows
 
 
 def ssim(reference: DataFrame, other: DataFrame, dims: tuple, value_span: float = 1.0) -> DataFrame:

@@ -15,7 +15,7 @@ from gridloom.functions import transfer
 from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, pyramid, quality, sampling, shear
 from gridloom.sources import raw
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
-from gridloom.streaming import summaries
+from gridloom.streaming import fitting, resets, summaries
 
 TF_KNOTS = [0.0 if i % 5 == 0 else i / 64 for i in range(33)]
 #: Sample points along x and y; there are more of them along z in a deeper grid. None lies on a voxel centre.
@@ -814,13 +814,9 @@ def j3_series_gradient(spark, sf_dir):
 join vt as b on b.t = a.t and b.x between a.x - 2 and a.x + 2 and b.y between a.y - 2 and a.y + 2 and b.z = a.z group by 1, 2, 3, 4"""
 )
 def w2_series_sums(spark, sf_dir):
-    """Sums over the present voxels around each present voxel: along y of each column, then along x."""
-    voxels = series(spark, sf_dir)
-    near = F.explode(F.sequence(F.greatest(F.col("x") - 2, F.lit(0)), F.least(F.col("x") + 2, F.lit(SERIES[0] - 1)))).alias("x")
-    spread = voxels.select("t", near, "y", "z", "v").groupBy("t", "x", "y", "z").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    near = F.explode(F.sequence(F.greatest(F.col("y") - 2, F.lit(0)), F.least(F.col("y") + 2, F.lit(SERIES[1] - 1)))).alias("y")
-    sums = spread.select("t", "x", near, "z", "v", "n").groupBy("t", "x", "y", "z").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    return sums.join(voxels.select("t", "x", "y", "z"), ["t", "x", "y", "z"], "left_semi")
+    """Sums over the present voxels around each present voxel, within a slice."""
+    voxels = series(spark, sf_dir).withColumn("n", F.lit(1).cast("long"))
+    return quality.box_sums(voxels, ["v", "n"], (2, 2, 0), sparse=True)
 
 
 SERIES_CORNERS = [(dx, dy, dz) for dx, dy, dz in isosurface.CORNERS]
@@ -839,11 +835,6 @@ def f4_series_active(spark, sf_dir):
     return cells.select("t", "x", "y", "z", "case")
 
 
-@query("select x, y, z, round(avg(v), 6) + 0e0 as mean, count(*) as frames from vt group by 1, 2, 3")
-def st3_mean_of_steps(spark, sf_dir):
-    return rounded(lines.progressive_mean(series(spark, sf_dir), ["x", "y", "z"], "v"), "mean")
-
-
 @query("select x, y, z, (7 * x * x + 13 * y * y + 29 * z * z + x * y * z) % 256 as v from (select cast(x as bigint) as x, cast(y as bigint) as y, cast(z as bigint) as z from ve)")
 def s8_procedural(spark, sf_dir):
     """A formula's values on the grid of the vectors."""
@@ -891,6 +882,56 @@ def st4_stream_steps(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def in_files(rows: DataFrame, order: str, files: int = 3) -> DataFrame:
+    """The rows as a stream of files that came one after the other, in ranges of a column; one file is a batch."""
+    spark = rows.sparkSession
+    path = scratch(spark, "files")
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    share = F.least(F.floor((F.col(order) - lo) * files / (hi - lo + 1)), F.lit(files - 1))
+    for k in range(files):
+        rows.filter(share == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("select x, y, z, round(avg(v), 6) + 0e0 as mean, count(*) as frames from vt group by 1, 2, 3")
+def st3_mean_of_steps(spark, sf_dir):
+    """The mean of each voxel over time steps that come in as a stream of frames."""
+    frames = in_files(series(spark, sf_dir).withColumn("epoch", F.lit(0)), "t")
+    path = scratch(spark, "means")
+    resets.start_means(summaries.stream_mean(frames, ["x", "y", "z"]), scratch(spark, "stream"), summaries.table_sink(path), "update").awaitTermination()
+    return rounded(summaries.latest(spark.read.parquet(path), "x", "y", "z").select("x", "y", "z", "mean", "frames"), "mean")
+
+
+EPOCH_SQL = "cast(day(ts) // 12 as bigint)"
+
+
+@query(
+    f"""select a.x, a.epoch, avg(v) as mean, count(*) as frames from (select cast(user_id % 32 as int) as x, {EPOCH_SQL} as epoch, cast(round(value * 100) as bigint) as v from events) as a
+join (select cast(user_id % 32 as int) as x, max({EPOCH_SQL}) as epoch from events group by 1) as b on a.x = b.x and a.epoch = b.epoch group by 1, 2"""
+)
+def st3_frames_with_reset(spark, sf_dir):
+    """The progressive mean of a running stream's frames, begun anew with each of three epochs."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 32).cast("int").alias("x"), F.floor(F.dayofmonth("ts") / 12).alias("epoch"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    path = scratch(spark, "means")
+    means = resets.mean_of_epoch(in_files(rows, "event_id"), ["x"])
+    resets.start_means(means, scratch(spark, "stream"), summaries.table_sink(path), "update").awaitTermination()
+    return summaries.latest(spark.read.parquet(path), "x").select("x", "epoch", "mean", "frames")
+
+
+@query(
+    """, el as (select cast(user_id % 16 as int) as run, event_id as step, cast(round(value * 100) as bigint) as loss, event_type = 'purchase' as is_read from events),
+eg as (select *, coalesce(sum(is_read::int) over (partition by run order by step rows between unbounded preceding and 1 preceding), 0) as g from el)
+select run, max(step) filter (is_read) as step, avg(loss) filter (not is_read) as mean, count(*) filter (not is_read) as "count" from eg group by run, g having count(*) filter (is_read) > 0"""
+)
+def a10_loss_between_reads(spark, sf_dir):
+    """The mean loss of each run since it was last read, at each read, from a running stream."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 16).cast("int").alias("run"), F.col("event_id").alias("step"), F.round(F.col("value") * 100).cast("long").alias("loss"), (F.col("event_type") == "purchase").alias("is_read"))
+    path = scratch(spark, "losses")
+    means = resets.mean_between_reads(in_files(rows, "step"), ["run"])
+    resets.start_means(means, scratch(spark, "stream"), summaries.table_sink(path), "append").awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
 # --- raw volumes ---------------------------------------------------------------------------------------------------
 
 STORED = "cast(cast(v as real) as double)"
@@ -952,12 +993,25 @@ def l2_jitter(spark, sf_dir):
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
 
 
-@query("select 0 as level, k0 as slot, round(avg(v), 6) + 0e0 as mean, count(*) as n from s0 group by k0 union all select 1, k1, round(avg(r1), 6) + 0e0, count(*) from s1 group by k1 union all select 2, k2, round(avg(r2), 6) + 0e0, count(*) from s2 group by k2")
+FIT_SQL = "select 0 as level, k0 as slot, round(avg(v), 6) + 0e0 as mean, count(*) as n from s0 group by k0 union all select 1, k1, round(avg(r1), 6) + 0e0, count(*) from s1 group by k1 union all select 2, k2, round(avg(r2), 6) + 0e0, count(*) from s2 group by k2"
+
+
+@query(FIT_SQL)
 def a18_pyramid_fit(spark, sf_dir):
     g = grid(spark, sf_dir)
     return rounded(pyramid.fit(g.voxels, (g.nx, g.ny, g.nz), CONFIG), "mean")
 
 
+@query(FIT_SQL)
+def a18_stream_fit(spark, sf_dir):
+    """The grid of ``a18_pyramid_fit``, fitted from a stream of its slabs."""
+    g = grid(spark, sf_dir)
+    path = scratch(spark, "slabs")
+    g.voxels.repartitionByRange(3, "z").write.parquet(path)
+    read = lambda: spark.readStream.schema(g.voxels.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rounded(fitting.fit_stream(spark, read, (g.nx, g.ny, g.nz), CONFIG, scratch(spark, "fit")), "mean")
+
+
 @query(sql_round("select x, y, z, v - r3 as v from s3", "v"))
 def a19_reconstruct(spark, sf_dir):
     g = grid(spark, sf_dir)
