@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
-from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, pyramid, quality, sampling, shear
+from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, models, pyramid, quality, sampling, shear, slabs
 from gridloom.sources import raw
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
 from gridloom.streaming import fitting, resets, summaries
@@ -1077,6 +1077,60 @@ def a19_blended_values(spark, sf_dir):
     return rounded(pyramid.reconstruct(g.voxels, pyramid.fit(g.voxels, dims, BLENDED), dims, BLENDED), "v")
 
 
+MODELS = ["coarse", "fine"]
+
+
+def saved_models(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
+    """A store with a model of two levels and one of three, the second in two versions."""
+    g = grid(spark, sf_dir)
+    dims, store = (g.nx, g.ny, g.nz), scratch(spark, "models")
+    for name, levels in (("coarse", 2), ("fine", 2), ("fine", 3)):
+        config = pyramid.Config(levels=levels, base=CONFIG.base, scale=CONFIG.scale, log2_slots=CONFIG.log2_slots)
+        own = cells.macrocells(g.voxels, *dims) if levels == 3 else None
+        models.save(pyramid.fit(g.voxels, dims, config), store, name, dims, config, own)
+    return store, g
+
+
+SLOTS_SQL = "select count(distinct k0) + count(distinct k1) as two, count(distinct k0) + count(distinct k1) + count(distinct k2) as three from s0"
+
+
+@query(
+    f"""select model, version, nx, ny, cast(nz as int) as nz, cast(levels as int) as levels, has_cells, parameters, parameters * 4 as bytes, cast(cells as bigint) as cells, whole, psnr from (
+  select 'coarse' as model, 1 as version, 2 as levels, false as has_cells, two as parameters, 0 as cells, true as whole, e2 as mse from ({SLOTS_SQL}), (select avg(r2 * r2) as e2 from s2)
+  union all select 'fine', 2, 3, true, three, (select count(*) from mc), true, e3 from ({SLOTS_SQL}), (select avg(r3 * r3) as e3 from s3)
+), rg, (select max(v) - min(v) as span from vn), lateral (select round(10 * log10(span * span / mse), 6) as psnr)"""
+)
+def k6_describe(spark, sf_dir):
+    """The latest versions of the saved models, with their quality."""
+    store, g = saved_models(spark, sf_dir)
+    measures = None
+    for name in MODELS:
+        model, dims, config, _ = models.load(spark, store, name)
+        one = quality.psnr(quality.align(g.voxels, pyramid.reconstruct(g.voxels, model, dims, config))).select(F.lit(name).alias("model"), "psnr")
+        measures = one if measures is None else measures.unionByName(one)
+    rows = models.describe(spark, store, quality=rounded(measures, "psnr"))
+    return rows.select("model", "version", "nx", "ny", "nz", "levels", "has_cells", "parameters", "bytes", "cells", "whole", "psnr")
+
+
+@query(sql_round("select x, y, z, v - r3 as v from s3", "v"))
+def k5_loaded_values(spark, sf_dir):
+    """The values of the model that has been saved and loaded."""
+    store, g = saved_models(spark, sf_dir)
+    model, dims, config, _ = models.load(spark, store, "fine", dims=(g.nx, g.ny, g.nz))
+    return rounded(pyramid.reconstruct(g.voxels, model, dims, config), "v")
+
+
+@query(sql_round("select x, y, z, v - r3 as v, cast(z // 16 as int) as slab from s3", "v"))
+def a19_by_slabs(spark, sf_dir):
+    """The values of ``a19_reconstruct``, decoded slab by slab with one more call than there are slabs."""
+    g = grid(spark, sf_dir)
+    dims, path = (g.nx, g.ny, g.nz), scratch(spark, "decoded")
+    model = pyramid.fit(g.voxels, dims, CONFIG)
+    for _ in range(slabs.slab_count(g.nz) + 1):
+        slabs.decode_next(model, dims, CONFIG, path)
+    return rounded(slabs.decoded(spark, path), "v")
+
+
 # --- positions, colours, blocks ------------------------------------------------------------------------------------
 
 
