@@ -1,4 +1,4 @@
-"""Multi-resolution hash-grid summaries: fit, reconstruct, measure, save and describe.
+"""Multi-resolution hash-grid summaries: fit, reconstruct and measure. (``models`` keeps them.)
 
 Level after level, positions are hashed to slots and each slot keeps the mean of what the levels before left over. A
 level has at most ``slots`` rows, whatever the volume's size. With ``blend`` a voxel adds to the slots of the eight grid
@@ -11,10 +11,10 @@ import itertools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import cell_count, centre
+from gridloom.functions.scalars import centre
 from gridloom.operators.sampling import steps
 from gridloom.sources.tables import forget, stored
 
@@ -156,35 +156,3 @@ def size_report(model: DataFrame, dims: tuple, voxel_bytes: int = 4, value_bytes
     levels = model.groupBy("level").agg(F.count("*").alias("slots")).withColumn("bytes", F.col("slots") * value_bytes)
     upto = F.sum("bytes").over(Window.orderBy("level"))  # a handful of rows
     return levels.select("level", "slots", "bytes", (F.lit(float(dims[0] * dims[1] * dims[2] * voxel_bytes)) / upto).alias("ratio"))
-
-
-def save(model: DataFrame, path: str, dims: tuple, config: Config, cells: DataFrame | None = None) -> None:
-    spark = model.sparkSession
-    model.write.mode("overwrite").partitionBy("level").parquet(f"{path}/levels")
-    if cells is not None:
-        cells.write.mode("overwrite").parquet(f"{path}/cells")
-    row = [(*dims, config.levels, config.base, config.scale, config.log2_slots, config.blend, cells is not None)]
-    spark.createDataFrame(row, "nx int, ny int, nz int, levels int, base int, scale double, log2_slots int, blend boolean, has_cells boolean").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
-def load(spark: SparkSession, path: str, dims: tuple | None = None) -> tuple[DataFrame, tuple, Config, DataFrame | None]:
-    """``(model, dims, config, cells)``; other dims than those asked for are an error."""
-    meta = spark.read.json(f"{path}/meta").first()
-    found = (meta.nx, meta.ny, meta.nz)
-    if dims is not None and tuple(dims) != found:
-        raise ValueError(f"the model is for {found}, not {tuple(dims)}")
-    cells = spark.read.parquet(f"{path}/cells") if meta.has_cells else None
-    return spark.read.parquet(f"{path}/levels"), found, Config(meta.levels, meta.base, meta.scale, meta.log2_slots, meta.blend), cells
-
-
-def describe(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each saved model: its dims, cell grid, sections and parameters."""
-    rows = []
-    for path in paths:
-        model, dims, config, cells = load(spark, path)
-        one = model.agg(F.count("*").alias("parameters"))
-        rows.append(one.select(F.lit(path).alias("path"), *[F.lit(n).alias(f"n{a}") for a, n in zip(AXES, dims, strict=True)], *[F.lit(cell_count(n)).alias(f"c{a}") for a, n in zip(AXES, dims, strict=True)], F.lit(config.levels).alias("levels"), F.lit(cells is not None).alias("has_cells"), "parameters"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as S
 from gridloom.functions import transfer
 from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, models, pyramid, quality, sampling, shear, slabs
-from gridloom.sources import raw
+from gridloom.sources import raw, scene
 from gridloom.sources.tables import Grid, embedding_grid, event_series, event_stream, event_voxels, sales_grid, scratch, table
 from gridloom.streaming import fitting, resets, summaries
 
@@ -990,6 +990,105 @@ def l2_jitter(spark, sf_dir):
     return rounded(blocks.jittered_points(draws, (g.nx, g.ny, g.nz)), "px", "py", "pz", "v")
 
 
+@query(STEPS_SQL + f"select ts as t, x, y, z, round({STORED}, 6) + 0e0 as v from vs where ts = 1 and y >= 4 and z < 9")
+def s2_series(spark, sf_dir):
+    """A series written step by step and read back by a condition; other steps' files are not opened."""
+    g = grid(spark, sf_dir)
+    path = raw.plain_path(scratch(spark, "series"))
+    raw.write_raw_series(two_steps(g), path)
+    return rounded(raw.read_written(spark, path, g.nx, g.ny, "t = 1 and y >= 4 and z < 9"), "v")
+
+
+# --- scenes, meshes, logs ------------------------------------------------------------------------------------------
+
+DTYPE_SQL = "case t % 3 when 0 then 'UNSIGNED_BYTE' when 1 then 'SHORT' else 'FLOAT' end"
+DAYS_SQL = f", dy as (select t, {DTYPE_SQL} as dtype, count(*) as n, cast(min(v) as double) as lo, cast(max(v) as double) as hi from vt group by t)\n"
+SHARE_SQL = "case t % 3 when 0 then 255e0 when 1 then 32767e0 else 1e0 end"
+
+
+def day_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene for each day of the events, written and read back: every other one states its values' range, the rest a share of
+    their type's."""
+    t = F.col("t")
+    rows = event_series(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"), F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    spot = lambda at, r, g, b: F.struct(F.lit(at).alias("position"), F.struct(r.alias("r"), g.alias("g"), b.alias("b")).alias("color"))
+    height = lambda at, a: F.struct(F.lit(at).alias("position"), a.alias("opacity"))
+    colours = F.array(spot(0.0, F.lit(0.0), F.lit(1.0), t / 60), spot(1.0, F.lit(1.0), F.lit(0.0), F.lit(1.0)))
+    bump = F.array(F.struct(F.lit(0.5).alias("mean"), F.lit(0.1).alias("sigma"), F.lit(0.2).alias("heightFactor")))
+    opacities = F.array(height(0.75, 1 - t / 60), height(0.25, t / 60))
+    function = F.struct((F.lit(5) + t % 3).cast("int").alias("resolution"), colours.alias("colorControls"), opacities.alias("opacityControls"), bump.alias("gaussianObjects"))
+    own = t % 2 == 0
+    described = rows.select(
+        F.concat(F.lit("day-"), t).alias("scene"), F.lit(32).alias("nx"), F.lit(24).alias("ny"), F.lit(5).alias("nz"), F.lit(0).alias("volume_no"), F.col("n").alias("offset"), (t % 2 == 1).alias("big_endian"), own.alias("upper_left"),
+        F.when(t % 3 == 0, "UNSIGNED_BYTE").when(t % 3 == 1, "SHORT").otherwise("FLOAT").alias("dtype"), F.array(F.concat(F.lit("missing-"), t), F.concat(F.lit("day-"), t, F.lit(".raw"))).alias("path"),
+        function.alias("transfer"), F.when(own, F.col("lo")).alias("range_lo"), F.when(own, F.col("hi")).alias("range_hi"), F.when(~own, 0.25).alias("share_lo"), F.when(~own, 0.75).alias("share_hi"),
+    )
+    path = scratch(spark, "scenes")
+    scene.write_scenes(described, path)
+    return scene.read_scenes(spark, path, lines=True)
+
+
+@query(
+    f"""{DAYS_SQL}select 'day-' || t as scene, 0 as volume_no, 32 as nx, 24 as ny, 5 as nz, dtype, case when t % 2 = 0 then lo else {SHARE_SQL} * 0.25e0 end as range_lo, case when t % 2 = 0 then hi else {SHARE_SQL} * 0.75e0 end as range_hi,
+  n as "offset", t % 2 = 1 as big_endian, t % 2 = 0 as upper_left, 'day-' || t || '.raw' as path from dy"""
+)
+def s3_scene(spark, sf_dir):
+    """Volumes of scenes that have been written, each with the first of its files that is there."""
+    rows = scene.volumes(day_scenes(spark, sf_dir))
+    there = event_series(spark, sf_dir).select(F.concat(F.lit("day-"), "t", F.lit(".raw")).alias("path")).distinct()
+    return scene.choose_files(rows, there)
+
+
+@query(
+    f"""{DAYS_SQL}, kn as (select *, 5 + t % 3 as n_knots, unnest(range(0, 5 + t % 3)) as i from dy), kp as (select *, i / (n_knots - 1e0) as p, t / 60e0 as o from kn),
+ka as (select *, least((case when p <= 0.25e0 then o when p >= 0.75e0 then 1 - o else o + (p - 0.25e0) / 0.5e0 * (1 - 2 * o) end) + 0.2e0 * exp(-(p - 0.5e0) * (p - 0.5e0) / 0.02e0), 1e0) as a from kp)
+select 'day-' || t as scene, cast(i as int) as i, cast(n_knots as int) as n, round(p, 6) as r, round(1 - p, 6) as g, round(o + p * (1 - o), 6) as b, round(case when i in (0, n_knots - 1) and a < 0.01e0 then 0e0 else a end, 6) as a,
+  case when t % 2 = 0 then lo else {SHARE_SQL} * 0.25e0 end as lo, case when t % 2 = 0 then hi else {SHARE_SQL} * 0.75e0 end as hi from ka"""
+)
+def s3_transfer(spark, sf_dir):
+    """The knots of the scenes' transfer functions."""
+    return rounded(scene.transfer_functions(day_scenes(spark, sf_dir)), "r", "g", "b", "a")
+
+
+@query(
+    VERTEX
+    + """select 'v' as kind, count(*) as lines, round(sum(vx), 1) as a, round(sum(vy), 1) as b, round(sum(vz), 1) as c from vx
+union all select 'f', count(*), sum(3 * f + 1e0), sum(3 * f + 2e0), sum(3 * f + 3e0) from (select row_number() over () - 1 as f from vx where n % 3 = 0)"""
+)
+def k2_obj(spark, sf_dir):
+    """The surface as a mesh file, read back: number of lines of each kind and sums of their numbers."""
+    path = scratch(spark, "obj")
+    isosurface.write_obj(isosurface.vertices(surface_cells(spark, sf_dir), ISO), path)
+    parts = F.split("value", " ")
+    rows = spark.read.text(path).select(parts[0].alias("kind"), *[parts[k + 1].cast("double").alias(c) for k, c in enumerate("abc")])
+    return rows.groupBy("kind").agg(F.count("*").alias("lines"), *[F.round(F.sum(c), 1).alias(c) for c in "abc"])
+
+
+@query("select event_type as run, count(*) as rows, max(event_id) as step, round(sum(value), 4) as loss from events group by 1")
+def k4_metrics_log(spark, sf_dir):
+    """A metrics log to which two runs of rows are added, read back."""
+    path = scratch(spark, "log")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    for odd in (False, True):
+        blocks.append_metrics(rows.filter((F.col("step") % 2 == 1) == odd), path)
+    log = spark.read.option("header", True).schema("run string, step long, loss double").csv(path)
+    return log.groupBy("run").agg(F.count("*").alias("rows"), F.max("step").alias("step"), F.round(F.sum("loss"), 4).alias("loss"))
+
+
+@query("select point_id, round(px * py + pz * pz, 6) as v from pt")
+def x1_user_field(spark, sf_dir):
+    """A field that the caller gives, sampled batch by batch."""
+    points = sample_points(spark, embedding_grid(spark, sf_dir))
+    return rounded(sampling.sample_field(points, lambda x, y, z: x * y + z * z).select("point_id", "v"), "v")
+
+
+@query("select cast(z // 16 as int) as slab, count(*) as voxels, cast(sum(v) as double) as total from vl where x >= 0 and x < 64 and y >= 8 and y < 24 and z >= 3 and z < 60 group by 1")
+def f2_inside(spark, sf_dir):
+    """Values as numbers to compute with (P1) in a half-open box."""
+    rows = cells.slabs(cells.clip(sales_grid(spark, sf_dir).voxels, (0, 8, 3), (64, 24, 60)))
+    return rows.groupBy("slab").agg(F.count("*").alias("voxels"), F.sum(S.as_value(F.col("v"))).alias("total"))
+
+
 # --- hash-grid summaries -------------------------------------------------------------------------------------------
 
 

@@ -77,12 +77,12 @@ class RawReader(DataSourceReader):
         self.offset, self.slab = int(options.get("offset", 0)), int(options.get("slab", 16))
         self.fraction, self.seed = float(options.get("fraction", 1.0)), int(options.get("seed", 1337))
         self.replacement = flag(options, "replacement")
-        self.bounds = {"t": (0, len(self.paths) - 1), "y": (0, self.dims[1] - 1)}
+        self.bounds = {"t": (-math.inf, math.inf), "y": (0, self.dims[1] - 1)}
         self.low, self.high = max(0, int(options.get("z_from", 0))), min(self.dims[2], int(options.get("z_to", self.dims[2]))) - 1
 
         # Files with their time step and slices: whole volumes, or the slabs of one.
         given = json.loads(options["slabs"]) if "slabs" in options else None
-        self.files = [(path, t, 0, self.dims[2]) for t, path in enumerate(self.paths)] if given is None else [(os.path.join(self.paths[0], name), 0, a, b) for name, a, b in given]
+        self.files = [(path, t, 0, self.dims[2]) for t, path in enumerate(self.paths)] if given is None else [(os.path.join(self.paths[0], name), t, a, b) for name, a, b, t in given]
 
     def partitions(self):
         plane = self.dims[0] * self.dims[1] * self.type.itemsize
@@ -281,11 +281,26 @@ def write_raw_volume(voxels: DataFrame, path: str) -> tuple[float, float]:
         return tuple(json.load(f)["range"])
 
 
+def write_raw_series(voxels: DataFrame, path: str) -> None:
+    """Writes each time step of a series into a folder of its own (``t=…``); steps are written one after the other."""
+    for row in voxels.select("t").distinct().orderBy("t").collect():  # a number for each time step
+        write_raw_volume(voxels.filter(F.col("t") == row.t).drop("t"), f"{path}/t={row.t}")
+
+
+def manifest(path: str) -> list[list]:
+    """Slabs ``file, z0, z1, t`` of a written volume or series."""
+    steps = [(name, int(name[2:])) for name in sorted(os.listdir(path)) if name.startswith("t=")] or [("", 0)]
+    found = []
+    for name, t in steps:
+        with open(os.path.join(path, name, "manifest.json"), encoding="utf-8") as f:
+            found += [[os.path.join(name, file), z0, z1, t] for file, z0, z1 in json.load(f)["slabs"]]
+    return found
+
+
 def read_written(spark: SparkSession, path: str, nx: int, ny: int, condition: Column | str | None = None, **options) -> DataFrame:
-    """A volume that write_raw_volume wrote, or its voxels that meet a condition. The manifest has a line per task that wrote."""
-    with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:
-        slabs = json.load(f)["slabs"]
-    dims = (nx, ny, max((z1 for _, _, z1 in slabs), default=0))
+    """A volume or series that has been written, or its voxels that meet a condition. Manifests have a line per task that wrote."""
+    slabs = manifest(path)
+    dims = (nx, ny, max((z1 for _, _, z1, _ in slabs), default=0))
     if condition is not None:
         return read_where(spark, path, dims, condition, slabs=json.dumps(slabs), **options)
     return read_raw_volume(spark, path, dims, slabs=json.dumps(slabs), **options)

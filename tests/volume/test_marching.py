@@ -4,7 +4,7 @@ import math
 
 import pytest
 from gridloom.functions import scalars as S
-from gridloom.operators import lines, pyramid
+from gridloom.operators import lines, models, pyramid
 from gridloom.sources import raw
 from gridloom.streaming import summaries
 from pyspark.sql import functions as F
@@ -53,8 +53,8 @@ def test_blended_grid_keeps_an_even_volume(spark, ones, tmp_path):
     model = pyramid.fit(ones, DIMS, config)
     got = pyramid.reconstruct(ones, model, DIMS, config).collect()
     assert len(got) == math.prod(DIMS) and all(math.isclose(r.v, 1.0, abs_tol=1e-9) for r in got)
-    pyramid.save(model, str(tmp_path), DIMS, config)
-    assert pyramid.load(spark, str(tmp_path))[2] == config
+    models.save(model, str(tmp_path), "ones", DIMS, config)
+    assert models.load(spark, str(tmp_path), "ones")[2] == config
 
 
 def test_a_volume_takes_the_place_of_an_older_one(spark, ones, tmp_path):

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from gridloom.functions import scalars as S
-from gridloom.operators import cells, isosurface, lines, pyramid, quality, sampling
+from gridloom.operators import cells, isosurface, lines, models, pyramid, quality, sampling
 from gridloom.sources import raw, scene
 from gridloom.streaming import summaries
 from pyspark.sql import functions as F
@@ -106,12 +106,32 @@ def test_pyramid_errors_fall_and_models_are_kept(spark, volume, tmp_path):
         model = pyramid.fit(volume, DIMS, config)
         errors.append(quality.psnr(quality.align(volume, pyramid.reconstruct(volume, model, DIMS, config))).first().mse)
     assert errors[0] >= errors[1] >= errors[2]
-    pyramid.save(model, str(tmp_path), DIMS, config, cells.macrocells(volume, *DIMS))
-    back, dims, again, own = pyramid.load(spark, str(tmp_path))
+    store = str(tmp_path)
+    assert models.save(model, store, "m", DIMS, config, cells.macrocells(volume, *DIMS)) == 1
+    assert models.save(model.filter("level = 0"), store, "m", DIMS, config) == 2
+    back, dims, again, own = models.load(spark, store, "m", version=1)
     assert (dims, again) == (DIMS, config) and back.count() == model.count() and own.count() == 2 * 1 * 2
-    assert pyramid.describe(spark, [str(tmp_path)]).first().parameters == model.count()
+    assert models.load(spark, store, "m")[3] is None
+    for bad in ({"dims": (1, 2, 3)}, {"version": 7}):
+        with pytest.raises(ValueError):
+            models.load(spark, store, "m", **bad)
+    # an old format: no version, no dims, cells of eight voxels; and a model without parameters
+    old = {"model": "old", "levels": 3, "base": 4, "scale": 2.0, "log2_slots": 9, "has_cells": True, "cell": 8}
+    (tmp_path / "meta" / "old").mkdir()
+    (tmp_path / "meta" / "old" / "row.json").write_text(json.dumps(old) + "\n" + json.dumps(old | {"model": "bare", "has_cells": False}))
+    model.write.parquet(f"{store}/levels/model=old/version=1")
+    eight = volume.groupBy(*[F.floor(F.col(a) / 8).cast("int").alias(f"c{a}") for a in "xyz"]).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    eight.write.parquet(f"{store}/cells/model=old/version=1")
     with pytest.raises(ValueError):
-        pyramid.load(spark, str(tmp_path), (1, 2, 3))
+        models.load(spark, store, "old")
+    _, dims, again, own = models.load(spark, store, "old", dims=DIMS)
+    assert (dims, again) == (DIMS, config)
+    sixteen = volume.groupBy(*[F.floor(F.col(a) / 16).cast("int").alias(f"c{a}") for a in "xyz"]).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    assert sorted(own.select("cx", "cy", "cz", "vmin", "vmax").collect()) == sorted(sixteen.collect())
+    given = spark.createDataFrame([("old", *DIMS)], "model string, nx int, ny int, nz int")
+    found = {r.model: r for r in models.describe(spark, store, given).collect()}
+    assert [(found[m].version, found[m].has_dims, found[m].has_cells, found[m].has_parameters, found[m].corrected) for m in ("m", "old", "bare")] == [(2, True, False, True, False), (1, True, True, True, True), (1, False, False, False, False)]
+    assert (found["old"].cx, found["old"].parameters, found["m"].whole, found["bare"].bytes) == (3, model.count(), True, 0)
 
 
 @pytest.mark.parametrize("dtype", ["UNSIGNED_BYTE", "BYTE", "UNSIGNED_SHORT", "SHORT", "UNSIGNED_INT", "INT", "FLOAT", "DOUBLE"])
