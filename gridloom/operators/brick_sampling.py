@@ -28,8 +28,7 @@ def grid_place(p: Column, n: int) -> Column:
 
 def brick_points(points: DataFrame, dims: tuple, size: int, id_column: str) -> DataFrame:
     places = [grid_place(F.col(f"p{a}"), n).alias(f"q{a}") for a, n in zip(AXES, dims, strict=True)]
-    # the step's column gets a name of its own to Spark, as points may come from the voxels
-    rows = points.select(*[F.col(k).alias(k) for k in steps(points)], F.col(id_column).alias("id"), *places)
+    rows = points.select(*steps(points), F.col(id_column).alias("id"), *places)
     return rows.select("*", *[F.floor(F.floor(f"q{a}") / size).cast("int").alias(f"b{a}") for a in AXES])
 
 
@@ -83,4 +82,5 @@ def trilinear_by_bricks(points: DataFrame, voxels: DataFrame, nx: int, ny: int,
         return interpolated(key, left, right, size, pa.schema(fields))
 
     groups = [*home, "part"]
+    filled = filled.select(*[F.col(c).alias(c) for c in filled.columns])  # columns of their own where the points' came from here
     return asked.groupBy(*groups).cogroup(filled.groupBy(*groups)).applyInArrow(each, schema).withColumnRenamed("id", id_column)
