@@ -9,7 +9,7 @@ Labels belong to whole texts, of which one sentence is what makes them toxic, so
 witness, its highest-scoring span, against the spans of clean texts, and chooses witnesses anew after each fit. The
 landmark words and copies of them with a letter put in count as witnesses too. Landmarks
 are words that set toxic training texts apart, frequent words of clean ones, and the words of clean texts most often
-nearest to the first. The kernel to the landmarks, whitened by
+nearest to the first. What sets words apart is the significance of their counts among words that are as frequent. The kernel to the landmarks, whitened by
 Nyström's method, feeds a linear machine with squared hinge loss, and a logistic curve turns a text's highest decision
 into a score. Since the kernel is a sum over subsequences, the fitted machine folds into one weight per subsequence.
 
@@ -39,8 +39,8 @@ CODES = 1 << 18
 PUNCTUATION = re.compile(r"[\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+|\n")
 LANDMARKS, PLAIN_LANDMARKS, ROUNDS, SPANS_PER_TEXT = 160, 48, 3, 10
-#: A landmark apart stands in this share of toxic texts at least.
-COMMON = 0.02
+#: Of all words that are in one number of training texts, so many are taken for landmarks apart by chance at most.
+CHANCE = 0.1
 #: Weight of clean spans in the fit; those of toxic texts weigh 1.
 CLEAN_WEIGHT = 4.0
 
@@ -232,8 +232,16 @@ def choose_landmarks(rows: DataFrame) -> tuple[list[str], list[str]]:
 
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counts = map_batches(rows.select("text", "toxic"), run, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    rate_a, rate_b = F.col("a") / max(n.get(1, 0), 1), (F.col("b") + 0.5) / max(n.get(0, 0), 1)
-    apart = counts.filter((F.col("a") >= 3) & (rate_a >= COMMON) & (rate_a > 10 * rate_b)).orderBy(F.desc(rate_a * F.log(rate_a / rate_b)), "word").limit(LANDMARKS)
+    counts = saved(counts)
+    n1, n0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
+    rate_a, rate_b = F.col("a") / n1, (F.col("b") + 0.5) / n0
+    # the likelihood ratio of counts that are split as the texts are; its chance is below exp(-half of it)
+    part = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("a") + F.col("b")) * F.lit(share)))).otherwise(0.0)
+    ratio = 2 * (part("a", n1 / (n1 + n0)) + part("b", n0 / (n1 + n0)))
+    both = (F.col("a") + F.col("b")).alias("both")
+    alike = counts.groupBy(both).agg(F.count("*").alias("tested"))  # a row for each number of texts, 2 * per_class at most
+    tested = counts.withColumn("both", both).join(F.broadcast(alike), "both")
+    apart = tested.filter((F.col("a") >= 3) & (ratio >= 2 * F.log(F.col("tested") / CHANCE)) & (rate_a > 10 * rate_b)).orderBy(F.desc(rate_a * F.log(rate_a / rate_b)), "word").limit(LANDMARKS)
     plain = counts.filter((F.length("word") > 3) & (rate_a < 1.5 * rate_b)).orderBy(F.desc("b"), "word").limit(PLAIN_LANDMARKS)
     return [r.word for r in apart.collect()], [r.word for r in plain.collect()]
 

@@ -60,3 +60,58 @@ def test_without_labels_or_rows(spark, data):
     docs, labels = data
     assert max(r.score for r in tx.score_documents(docs.limit(5), labels.limit(0)).collect()) < 1e-6
     assert tx.score_documents(docs.limit(0), labels).count() == 0
+
+
+def brute_score(machine, text):
+    """The score by its definition: every reading of every span, every subsequence of three letters."""
+
+    def decision(word):
+        if len(word) < 3:
+            return machine.bias
+        marked = tx.letters([word])[0].tolist()
+        found = {}
+        for i, j, k in itertools.combinations(range(len(marked)), 3):
+            if k - i < tx.STRETCH:
+                code = marked[i] << 12 | marked[j] << 6 | marked[k]
+                found[code] = found.get(code, 0) + tx.DECAY ** (k - i + 1)
+        norm = sum(v * v for v in found.values()) ** 0.5
+        return machine.bias + sum(machine.weights[code] * v for code, v in found.items()) / norm
+
+    best = max((decision(w) for s in tx.spans(text or "", machine.splits) for w in tx.readings(s)), default=machine.bias)
+    return 1 / (1 + np.exp(-(machine.slope * max(best, machine.bias) + machine.offset)))
+
+
+def test_scores_equal_brute_force(data):
+    docs, labels = data
+    machine = tx.fit(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in tx.score_documents(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").filter("doc_id % 25 = 1 or doc_id >= 10000").collect():
+        assert np.isclose(got[r.doc_id].score, brute_score(machine, r.text), atol=1e-6)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def rare_insults(spark, n=600, seed=9):
+    """Half of the texts are toxic; besides common insults these have words that stand in 3 % and 1.5 % of them."""
+    rng = random.Random(seed)
+    plain = ["".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"], k=rng.randint(1, 4))) for _ in range(400)]
+    rows, labels, rare = [], [], {}
+    for i in range(2 * n):
+        words = rng.choices(plain, k=40)
+        toxic = i % 2
+        if toxic:
+            share = i // 2 / n
+            insult = "zorbak" if share < 0.03 else "quivlunt" if share < 0.045 else rng.choice(["gromble", "snarkwit"])
+            words[rng.randrange(40)] = insult
+            rare[i] = insult
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rare
+
+
+def test_rare_insults_are_learnt(spark):
+    docs, labels, rare = rare_insults(spark)
+    got = {r.doc_id: r.predicted for r in tx.score_documents(docs, labels).collect()}
+    for insult in ("zorbak", "quivlunt", "gromble"):
+        own = [got[i] for i, w in rare.items() if w == insult]
+        assert len(own) > 5 and sum(own) / len(own) > 0.9, insult
+    assert sum(p for i, p in got.items() if i not in rare) / len(got) < 0.01
