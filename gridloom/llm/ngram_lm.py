@@ -14,22 +14,23 @@ Counting is distributed: tasks count the n-grams of their texts, deal 64-bit has
 filter, and the task of a segment adds the counts and sets the segment's bits. The number of segments grows with the
 corpus, so that none holds the n-grams of more than about SEGMENT_TOKENS tokens, and nothing is left out.
 
-A filter of at most ``max_bits`` comes to the driver and is broadcast to the scoring tasks. A larger one stays where it
-is: texts are cut into slices of SLICE_ROWS rows, each slice's n-grams are sent to their segments, probed there, and
-sent back. The levels of the most frequent n-grams, which most slices ask for, are broadcast instead (at most HOT). Both
-ways read the same bits, so ``max_bits`` changes no score.
+A filter that cannot have more than ``max_bits`` comes to the driver and is broadcast to the scoring tasks. A larger one
+stays where it is: texts are cut into slices of about SLICE_ROWS rows by a hash of their rows, and each slice sends its n-grams,
+with their counts in training texts, to their segments once; a segment adds the counts, sets its bits, probes them for all n-grams
+it has got, and sends the levels back to the slices. Both ways read the same bits, so ``max_bits`` changes no score.
 
 The base score needs exact counts of words: those of the ``TOP`` most frequent words are broadcast, all others are
 joined.
 
 Cases: null text is the empty text, whose only token is its end; a null id is in the training part; repeated rows are
-scored each; with no training text every count is zero and the score falls back to p(w).
+scored each, and rows alike in id and text are in one slice; texts of any length are scored whole; with no training text every count is zero and the score falls back to p(w).
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,8 +52,8 @@ TOP = 1 << 16
 SLICE = 4_000_000
 #: Distinct pairs that a task gathers before it deals them out.
 GATHERED = 1_500_000
-#: Rows of a slice of texts, n-grams whose levels are broadcast, and the least quantised count of these.
-SLICE_ROWS, HOT, HOT_LEVEL = 512, 1 << 22, 3
+#: Rows of a slice of texts.
+SLICE_ROWS = 4096
 
 U = np.uint64
 
@@ -153,33 +154,6 @@ class Filter:
         return probe(keys, self.sizes[segment], self.begins[segment], self.bitmap)
 
 
-@dataclass
-class Known:
-    """Levels of some keys, which are in order; other keys have the levels of ``beyond``, or none."""
-
-    keys: np.ndarray
-    held: np.ndarray
-    beyond: Known | None = None
-
-    @classmethod
-    def of(cls, rows: list[tuple[bytes, bytes]]) -> Known:
-        keys, first = np.unique(np.frombuffer(b"".join(k for k, _ in rows), "<u8"), return_index=True)
-        return cls(keys, np.frombuffer(b"".join(v for _, v in rows), np.uint8)[first])
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        found = self.has(keys)
-        out = np.zeros(len(keys), np.int64)
-        out[found] = self.held[np.searchsorted(self.keys, keys[found])]
-        if self.beyond is not None:
-            out[~found] = self.beyond.levels(keys[~found])
-        return out
-
-
 class Words:
     """Numbers the words of one task; keeps at most ``most`` of them."""
 
@@ -311,61 +285,131 @@ def deal_words(counts: DataFrame, segments: int) -> DataFrame:
     return counts.select("token", "c").mapInArrow(run, DEALT)
 
 
+def parts_of(keys: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of ``dealt`` rows."""
+    return [(from_planes(k, "<u8"), from_planes(c, "<u2" if len(c) * 4 == len(k) else "<u8")) for k, c in zip(keys, counts, strict=True)]
+
+
 def build_filter(rows: DataFrame, tokens: int) -> DataFrame:
-    """``segment, bits, raw, n, hot_keys, hot_levels``: the filter's segments from dealt n-grams, how many different ones
-    each holds, and those of quantised counts of HOT_LEVEL and more with their levels."""
+    """``segment, bits, raw, n``: the filter's segments from dealt n-grams, and how many different ones each holds."""
 
-    def built(segment: int, parts: list) -> pa.RecordBatch:
-        keys, counts = added(parts)
-        bits, raw = build_segment(keys, counts)
-        hot = keys[quantise(counts) >= HOT_LEVEL]
-        levels = probe_one(hot, bits, raw).astype(np.uint8)
-        values = [segment, bits, raw, len(keys), hot.astype("<u8").tobytes(), levels.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, BUILT.types, strict=True)], schema=BUILT)
+    def built(segment: int, keys: list, counts: list) -> pa.RecordBatch:
+        every, sums = added(parts_of(keys, counts))
+        bits, raw = build_segment(every, sums)
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip([segment, bits, raw, len(every)], BUILT.types, strict=True)], schema=BUILT)
 
     def run(batches: Batches) -> Batches:
-        current, parts = None, []
+        current, held = None, []
         for batch in batches:
             for segment, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if segment != current and parts:
-                    yield built(current, parts)
-                    parts = []
+                if segment != current and held:
+                    yield built(current, *zip(*held, strict=True))
+                    held = []
                 current = segment
-                parts.append((from_planes(keys, "<u8"), from_planes(counts, "<u2" if len(counts) * 4 == len(keys) else "<u8")))
-        if parts:
-            yield built(current, parts)
+                held.append((keys, counts))
+        if held:
+            yield built(current, *zip(*held, strict=True))
 
     tasks = min(segments_of(tokens), max(tasks_of(rows.sparkSession), tokens >> 26))
-    return saved(rows.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(run, "segment int, bits long, raw binary, n long, hot_keys binary, hot_levels binary"))
+    return saved(rows.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(run, "segment int, bits long, raw binary, n long"))
 
 
-BUILT = pa.schema([("segment", pa.int32()), ("bits", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("hot_keys", pa.binary()), ("hot_levels", pa.binary())])
+BUILT = pa.schema([("segment", pa.int32()), ("bits", pa.int64()), ("raw", pa.binary()), ("n", pa.int64())])
 
 
-def hottest(built: DataFrame) -> Known:
-    """The keys of highest levels, all of a level or none, at most HOT."""
+# --- slices of texts, where the filter is not broadcast ---------------------------------------------------------------
 
-    def histogram(batches: Batches) -> Batches:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                levels, n = np.unique(np.frombuffer(raw, np.uint8), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(n, pa.int64())], ["level", "n"])
 
-    counted = built.select("hot_levels").mapInArrow(histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
-    within = [r.level for r, n in zip(counted, np.cumsum([r.n for r in counted]), strict=True) if n <= HOT]
-    if not within:
-        return Known.of([])
-    least = within[-1]
+@dataclass
+class Grams:
+    """The tokens of a slice as numbers of its words, of which 0 is the start of a text."""
 
-    def chosen(batches: Batches) -> Batches:
-        for batch in batches:
-            rows = []
-            for keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                levels = np.frombuffer(raw, np.uint8)
-                rows.append((np.frombuffer(keys, "<u8")[levels >= least].tobytes(), levels[levels >= least].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["keys", "levels"])
+    words: list[bytes]
+    hashes: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
 
-    return Known.of([(bytes(r["keys"]), bytes(r["levels"])) for r in built.select("hot_keys", "hot_levels").mapInArrow(chosen, "keys binary, levels binary").collect()])
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Grams:
+        number, ids, lengths = {START: 0}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for tokens, own in tokens_of(texts):
+            ids.append(np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens)))
+            lengths.append(own)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        return cls(list(number), hashes, np.concatenate(ids), np.concatenate(lengths))
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def pairs(self) -> np.ndarray:
+        """Each token with the one before it, as one number."""
+        before = np.r_[np.zeros(1, np.int64), self.ids[:-1]][: len(self.ids)]
+        before[self.starts] = 0
+        return before << 31 | self.ids
+
+    def keys(self, pairs: np.ndarray) -> np.ndarray:
+        """Keys of all words but the start, and of pairs."""
+        return np.r_[word_key(self.hashes[1:]), pair_key(self.hashes[pairs >> 31], self.hashes[pairs & 0x7FFFFFFF])]
+
+
+def deal_slice(rows: pa.Table, segments: int) -> pa.Table:
+    """A slice's n-grams and their counts in its training texts, by segment."""
+    grams = Grams.of(texts_of(rows.column("text").combine_chunks()))
+    learn = np.repeat(rows.column("learn").to_numpy().astype(np.int64), grams.lengths)
+    ordered = np.sort(grams.pairs() << 1 | learn)
+    first = np.flatnonzero(np.r_[True, ordered[1:] >> 1 != ordered[:-1] >> 1])
+    counts = np.r_[np.bincount(grams.ids, learn, len(grams.words))[1:].astype(np.int64), np.add.reduceat(ordered & 1, first)]
+    out = dealt(grams.keys(ordered[first] >> 1), counts, segments)
+    number = pa.array(np.full(out.num_rows, rows.column("slice")[0].as_py()), pa.int64())
+    return pa.table({"segment": out.column("segment"), "slice": number, "keys": out.column("keys"), "counts": out.column("counts")})
+
+
+ANSWER = "segment int, slice long, levels binary, n long"
+
+
+def answer(asked: pa.Table) -> pa.Table:
+    """A segment's levels for the n-grams that slices have sent; n, the number that it holds, stands in one of the rows."""
+    parts = parts_of(asked.column("keys").to_pylist(), asked.column("counts").to_pylist())
+    keys, counts = added(parts)
+    held = counts > 0
+    bits, raw = build_segment(keys[held], counts[held])
+    levels = probe_one(keys, bits, raw).astype(np.uint8)
+    found = [levels[np.searchsorted(keys, k)].tobytes() for k, _ in parts]
+    n = np.r_[held.sum(), np.zeros(len(parts) - 1, np.int64)]
+    return pa.table({"segment": asked.column("segment"), "slice": asked.column("slice"), "levels": pa.array(found, pa.binary()), "n": pa.array(n, pa.int64())})
+
+
+def sliced(source: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """The texts with their slice, and the levels of each slice's n-grams (``segment, slice, levels, n``). A row's slice depends on
+    what is in it, so a lost task finds the same slices again."""
+    rows, segments = source.count(), segments_of(tokens)
+    fixed = source.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(-(-rows // SLICE_ROWS) or 1)))
+    asked = fixed.groupBy("slice").applyInArrow(lambda t: deal_slice(t, segments), "segment int, slice long, keys binary, counts binary")
+    return fixed, stored(asked.groupBy("segment").applyInArrow(answer, ANSWER))
+
+
+def score_by_slices(fixed: DataFrame, answers: DataFrame, shared) -> DataFrame:
+    """Rows of SCORED. ``shared`` is the broadcast model."""
+
+    def score(rows: pa.Table, levels: pa.Table) -> pa.Table:
+        model = shared.value
+        columns = [rows.column(c).combine_chunks() for c in ("doc_id", "text_key", "learn", "text")]
+        grams = Grams.of(texts_of(columns[3]))
+        pairs, back = np.unique(grams.pairs(), return_inverse=True)
+        order = np.argsort(grams.keys(pairs), kind="stable")
+        raw = b"".join(x for _, x in sorted(zip(levels.column("segment").to_pylist(), levels.column("levels").to_pylist(), strict=True)))
+        middle = np.zeros(len(order))
+        middle[order] = MIDDLE[np.frombuffer(raw, np.uint8)]
+        words = len(grams.words) - 1
+        one = np.r_[0.0, middle[:words]]
+        before = np.r_[0.0, one[grams.ids[:-1]]][: len(grams.ids)]
+        before[grams.starts] = model.texts
+        scores = np.add.reduceat(model.log10(one[grams.ids], before, middle[words:][back]), grams.starts)
+        exact = np.fromiter((model.top.get(w, -1) for w in grams.words), np.int64, words + 1)
+        return pa.Table.from_batches([scored_rows(model, columns[:3], scores, grams.lengths, exact[grams.ids], lambda at: [grams.words[i] for i in grams.ids[at].tolist()])])
+
+    return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
 
 
 def solve_beta(histogram: list[tuple[float, int]], pairs: int) -> float:
@@ -379,31 +423,37 @@ def solve_beta(histogram: list[tuple[float, int]], pairs: int) -> float:
 
 @dataclass
 class Model:
-    filter: Filter | Known
-    segments: int
+    filter: Filter | None
     total: int
     distinct: int
     beta: float
     top: dict[bytes, int]
     texts: int
 
-    def p1(self, counts):
-        return (counts + 1) / (self.total + self.distinct + 1)
+    def log10(self, counts: np.ndarray, before: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of words of the given counts after words of counts ``before``, with which they stand
+        ``together`` so often."""
+        p1 = (counts + 1) / (self.total + self.distinct + 1)
+        after = before**self.beta * (before > 0)
+        return np.log10(np.where(before > 0, (np.minimum(together, before) + after * p1) / np.maximum(before + after, 1e-300), p1))
 
 
-def fit(docs: DataFrame, text_column: str = "text", max_bits: int = 1 << 29) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model of all rows, the exact counts of words (``token, c``), and the filter's segments if they are larger than
-    ``max_bits``; the model then holds the levels of the most frequent n-grams only."""
-    texts = docs.select(text_column)
+def fit(source: DataFrame, max_bits: int = 1 << 29) -> tuple[Model, DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """The model of the rows (``doc_id, text_key, learn, text``) to learn from, the exact counts of words (``token, c``), and, where
+    the filter may be larger than ``max_bits``, all rows in slices with the levels of their n-grams."""
+    texts = source.filter("learn").select("text")
     counts = saved(count_words(texts))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_texts = counts.filter(F.col("token") == F.lit(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    segments = segments_of(sums.n)
-    built = build_filter(deal_pairs(texts, segments).unionByName(deal_words(counts, segments)), sums.n)
-    size = built.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("bits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    whole = size.bits <= max_bits
-    # at most max_bits / 8 bytes
-    found = Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in built.select("segment", "bits", "raw").collect()], segments) if whole else hottest(built)
+    found = slices = None
+    if 2 * BITS_PER_EVENT * sums.n <= max_bits:  # a token is a word and a pair, and a count has no more events than itself
+        segments = segments_of(sums.n)
+        built = build_filter(deal_pairs(texts, segments).unionByName(deal_words(counts, segments)), sums.n)
+        held = built.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        found = Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in built.select("segment", "bits", "raw").collect()], segments)  # max_bits / 8 bytes at most
+    else:
+        slices = sliced(source, sums.n)
+        held = slices[1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # counts of counts by level, at most a few hundred rows
     level = F.floor(F.log("c") / math.log(1.1))
     levels = counts.groupBy(level.alias("level")).agg(F.avg("c").alias("c"), F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
@@ -412,14 +462,14 @@ def fit(docs: DataFrame, text_column: str = "text", max_bits: int = 1 << 29) ->
     within = [r.least for r, n in zip(levels, np.cumsum([r.n for r in levels]), strict=True) if n <= TOP]
     frequent = counts.filter(F.col("c") >= within[-1]).collect() if within else []
     top = {bytes(r.token): r.c for r in frequent}
-    return Model(found, segments, sums.n, sums.v, solve_beta(histogram, size.n - sums.v), top, n_texts), counts, None if whole else built
+    return Model(found, sums.n, sums.v, solve_beta(histogram, held - sums.v), top, n_texts), counts, slices
 
 
 class Scorer:
     """Scores the texts of one task. ``filter`` gives the levels of n-grams."""
 
     def __init__(self, model: Model):
-        self.model, self.filter, self.words, self.words_of_keys = model, model.filter, Words(), Words()
+        self.model, self.filter, self.words = model, model.filter, Words()
         self.counts, self.exact = np.zeros(0), np.zeros(0, np.int64)
 
     def score(self, tokens: list[bytes], lengths: np.ndarray):
@@ -437,93 +487,48 @@ class Scorer:
         before = np.r_[0.0, self.counts[ids[:-1]]]
         starts = np.cumsum(lengths) - lengths
         before[starts] = m.texts
-        after = before**m.beta * (before > 0)
-        p1 = m.p1(self.counts[ids])
-        p = np.where(before > 0, (np.minimum(together, before) + after * p1) / np.maximum(before + after, 1e-300), p1)
-        return np.add.reduceat(np.log10(p), starts), ids, self.exact[ids]
-
-
-SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))])
-SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: int>>"
-
-
-def scored(scorer: Scorer, doc_ids: pa.Array, learn: pa.Array, column: pa.Array) -> Batches:
-    """Rows of SCORED for texts; words without an exact count here are listed in ``rare``."""
-    at, floor = 0, math.log10(scorer.model.total + scorer.model.distinct + 1)
-    for tokens, lengths in tokens_of(texts_of(column)):
-        scores, ids, exact = scorer.score(tokens, lengths)
-        starts = np.cumsum(lengths) - lengths
-        in_top = exact >= 0
-        base = np.add.reduceat(np.where(in_top, np.log10(np.maximum(exact, 0) + 1.0) - floor, 0.0), starts)
-        known = np.add.reduceat(in_top.astype(np.int64), starts)
-        rare_at = np.flatnonzero(~in_top)
-        cuts = np.searchsorted(rare_at, np.r_[starts, len(ids)])
-        rare = [[{"token": t, "tf": n} for t, n in Counter([tokens[i] for i in rare_at[a:b].tolist()]).items()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        rows = slice(at, at + len(lengths))
-        held = [not x for x in learn.to_pylist()[rows]]
-        columns = [doc_ids[rows], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, SCORED.field("rare").type)]
-        yield pa.RecordBatch.from_arrays(columns, schema=SCORED)
+        return np.add.reduceat(m.log10(self.counts[ids], before, together), starts), ids, self.exact[ids]
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))])
+SCORED_SQL = "doc_id long, text_key long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: int>>"
+
+
+def scored_rows(model: Model, own: list[pa.Array], scores: np.ndarray, lengths: np.ndarray, exact: np.ndarray, words_at: Callable[[np.ndarray], list[bytes]]) -> pa.RecordBatch:
+    """Rows of SCORED for texts with their id, key and whether they are learnt from; words without an exact count here (-1) are
+    listed in ``rare``. ``words_at`` gives the words at positions."""
+    floor, starts = math.log10(model.total + model.distinct + 1), np.cumsum(lengths) - lengths
+    in_top = exact >= 0
+    base = np.add.reduceat(np.where(in_top, np.log10(np.maximum(exact, 0) + 1.0) - floor, 0.0), starts)
+    known = np.add.reduceat(in_top.astype(np.int64), starts)
+    rare_at = np.flatnonzero(~in_top)
+    cuts = np.searchsorted(rare_at, np.r_[starts, len(exact)])
+    rare = [[{"token": t, "tf": n} for t, n in Counter(words_at(rare_at[a:b])).items()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    held = [not x for x in own[2].to_pylist()]
+    columns = [own[0], own[1], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, SCORED.field("rare").type)]
+    return pa.RecordBatch.from_arrays(columns, schema=SCORED)
+
+
+def scored(scorer: Scorer, *columns: pa.Array) -> Batches:
+    """Rows of SCORED for texts, with the broadcast filter."""
+    at = 0
+    for tokens, lengths in tokens_of(texts_of(columns[3])):
+        scores, _, exact = scorer.score(tokens, lengths)
+        own = [c[at : at + len(lengths)] for c in columns[:3]]
+        yield scored_rows(scorer.model, own, scores, lengths, exact, lambda where, tokens=tokens: [tokens[i] for i in where.tolist()])
         at += len(lengths)
 
 
-def slice_keys(texts: list[bytes], words: Words, model: Model) -> np.ndarray:
-    """The n-grams of a slice, in order, whose levels the model does not hold. The order of the texts does not matter."""
-    found = [np.zeros(0, np.uint64)]
-    for tokens, lengths in tokens_of(texts):
-        ids, _ = words.numbers(tokens)
-        keys = np.r_[word_key(words.hashes[np.unique(ids)]), pair_key(contexts(ids, lengths, words.hashes), words.hashes[ids])]
-        found.append(np.unique(keys))
-    keys = np.unique(np.concatenate(found))
-    return keys[~model.filter.has(keys)].astype("<u8")
-
-
-def score_by_slices(source: DataFrame, shared, built: DataFrame) -> DataFrame:
-    """Rows of SCORED where the filter stays in its segments ``built``. ``shared`` is the broadcast model.
-
-    A segment's task gets the n-grams of all slices that belong to it, but for the most frequent ones, and answers with
-    their levels alone, as each slice finds its n-grams again."""
-    # Slices are runs of rows that are fixed in the checkpoint folder, so a lost task finds the same ones again.
-    fixed = stored(source.withColumn("slice", F.floor(F.monotonically_increasing_id() / SLICE_ROWS)))
-    state: dict = {}
-
-    def ask(rows: pa.Table) -> pa.Table:
-        model = shared.value
-        words = state.get("words") or state.setdefault("words", Words())
-        keys = slice_keys(texts_of(rows.column("text").combine_chunks()), words, model)
-        segment, parts = cut(keys, model.segments)
-        number = np.full(len(parts), rows.column("slice")[0].as_py())
-        return pa.table({"segment": pa.array(segment, pa.int32()), "slice": pa.array(number, pa.int64()), "keys": pa.array([planes(keys[p]) for p in parts], pa.binary())})
-
-    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = [from_planes(k, "<u8") for k in asked.column("keys").to_pylist()]
-        every = np.concatenate([np.zeros(0, np.uint64), *keys])
-        levels = np.zeros(len(every), np.uint8)
-        for bits, raw in zip(segment.column("bits").to_pylist(), segment.column("raw").to_pylist(), strict=True):  # one at most
-            levels = probe_one(every, bits, raw).astype(np.uint8)
-        ends = np.cumsum([0, *map(len, keys)])
-        parts = [levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"slice": asked.column("slice"), "segment": asked.column("segment"), "levels": pa.array(parts, pa.binary())})
-
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
-        columns = [rows.column(c).combine_chunks() for c in ("doc_id", "learn", "text")]
-        keys = slice_keys(texts_of(columns[2]), scorer.words_of_keys, scorer.model)
-        levels = [raw for _, raw in sorted(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist(), strict=True))]
-        scorer.filter = Known(keys, np.frombuffer(b"".join(levels), np.uint8), scorer.model.filter)
-        return pa.Table.from_batches(list(scored(scorer, *columns)), SCORED)
-
-    # Texts are shuffled by slice once; Spark uses that exchange for both.
-    asked = fixed.groupBy("slice").applyInArrow(ask, "segment int, slice long, keys binary")
-    answers = asked.groupBy("segment").cogroup(built.select("segment", "bits", "raw").groupBy("segment")).applyInArrow(answer, "slice long, segment int, levels binary")
-    return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
+OWN = "struct<held_out:boolean,n_tokens:bigint,known:bigint,base:double,score:double>"
 
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_bits: int = 1 << 29) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; the model learns from the
     rows of ``in_training``. A filter of more than ``max_bits`` is not broadcast; the scores are the same."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), in_training(id_column).alias("learn"), F.col(text_column).alias("text"))
-    model, counts, built = fit(source.filter("learn"), "text", max_bits)
+    text = F.col(text_column)
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), in_training(id_column).alias("learn"), text.alias("text"))
+    model, counts, slices = fit(source, max_bits)
     shared, state = spark.sparkContext.broadcast(model), {}
 
     def run(batches: Batches) -> Batches:
@@ -531,12 +536,19 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             yield from scored(scorer, *batch.columns)
 
-    rows = source.mapInArrow(run, SCORED_SQL) if built is None else score_by_slices(source, shared, built)
-    rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()))
-    whole = float(model.total + model.distinct + 1)
-    each = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.token", "r.tf").join(counts, "token", "left")
+    rows = source.mapInArrow(run, SCORED_SQL) if slices is None else score_by_slices(*slices, shared)
+    # One pass: a row for each text and one for each of its rare words meet the counts together. A text's own row has a key
+    # that no word has, as words hold no white space.
+    whole, own = float(model.total + model.distinct + 1), F.struct("held_out", "n_tokens", "known", "base", "score")
+    mark = F.concat(F.lit(b"\t"), F.unhex(F.hex(F.xxhash64("doc_id", "text_key"))))
+    first = F.array(F.struct(mark.alias("token"), F.lit(0).alias("tf"), own.alias("own")))
+    rest = F.transform("rare", lambda r: F.struct(r["token"].alias("token"), r["tf"].alias("tf"), F.lit(None).cast(OWN).alias("own")))
+    each = rows.select("doc_id", "text_key", F.explode(F.concat(first, rest)).alias("r")).select("doc_id", "text_key", "r.*").join(counts, "token", "left")
     count = F.coalesce("c", F.lit(0))
-    more = each.groupBy("uid").agg(F.sum(F.col("tf") * F.log10((count + 1) / F.lit(whole))).alias("more_base"), F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
-    known = F.col("known") + F.coalesce("more_known", F.lit(0))
-    return rows.join(more, "uid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    more = F.when(F.col("own").isNull(), F.col("tf") * F.log10((count + 1) / F.lit(whole)))
+    found = each.groupBy("doc_id", "text_key").agg(F.first("own", ignorenulls=True).alias("own"), F.count("own").alias("alike"), F.sum(more).alias("base"), F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("known"))
+    # rows alike in id and text have been added up, and are given back each
+    found = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike").cast("int"))))
+    base = F.col("own.base") + F.coalesce(F.col("base") / F.col("alike"), F.lit(0.0))
+    known = F.col("own.known") + (F.col("known") / F.col("alike")).cast("long")
+    return found.select("doc_id", "own.held_out", "own.n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "own.score")
