@@ -31,11 +31,14 @@ def union_ranges(ranges: list[DataFrame], *keys: str) -> DataFrame:
     return reduce(DataFrame.unionByName, ranges).groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def stack_steps(steps: list[DataFrame]) -> DataFrame:
-    """Voxel tables of one shape as a series with time step ``t``."""
-    shapes = {tuple(s.columns) for s in steps}
+def stack_steps(steps: list[DataFrame], dims: list[tuple] | None = None) -> DataFrame:
+    """Voxel tables of one shape as a series with time step ``t``. Their columns and types must be the same, and their dims too, if
+    these are given."""
+    shapes = {tuple(sorted(s.dtypes)) for s in steps}
     if len(shapes) != 1:
-        raise ValueError(f"time steps differ in columns: {sorted(shapes)}")
+        raise ValueError(f"time steps differ in columns or types: {sorted(shapes)}")
+    if dims is not None and (len(dims) != len(steps) or len(set(map(tuple, dims))) != 1):
+        raise ValueError(f"time steps differ in dims: {dims}")
     return reduce(DataFrame.unionByName, [s.withColumn("t", F.lit(i)) for i, s in enumerate(steps)])
 
 

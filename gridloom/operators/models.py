@@ -63,7 +63,7 @@ def reshaped(cells: DataFrame, cell: Column | int, dims: tuple, *keys: str) -> D
     rows = cells
     for a, n in zip(AXES, dims, strict=True):
         low, high = F.col(f"c{a}") * cell, F.least((F.col(f"c{a}") + 1) * cell, F.lit(n)) - 1
-        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL))).cast("int"))
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(F.floor(low / CELL).cast("int"), F.floor(high / CELL).cast("int"))))
     return rows.groupBy(*keys, "cx", "cy", "cz").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
 

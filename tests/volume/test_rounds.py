@@ -267,3 +267,10 @@ def test_jitter_of_copies_and_stored_tables(spark, two):
     forget(kept)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         kept.count()
+
+
+def test_stacked_steps_must_be_alike(waves):
+    assert cells.stack_steps([waves, waves], [DIMS, DIMS]).count() == 2 * math.prod(DIMS)
+    for steps, dims in (([waves, waves.withColumn("v", F.col("v").cast("float"))], None), ([waves, waves.drop("v")], None), ([waves, waves], [DIMS, (1, 2, 3)]), ([waves, waves], [DIMS])):
+        with pytest.raises(ValueError, match="differ"):
+            cells.stack_steps(steps, dims)
