@@ -6,8 +6,8 @@ plays are ordered by finish time and the mix ends where its tokens reach the bud
 
 The running sums are taken in two levels, so no source's rows meet in one task: plays are dealt by source, pass and
 a slice of the shuffle order, sums of slices are accumulated (a few rows per source), and the sum within a slice is
-added. The cut is found alike: finish times fall into ranges, ranges are summed, and only the range in which the
-budget ends is ordered row by row.
+added. The cut is found alike: finish times fall into ranges, ranges are summed, the range in which the budget ends is
+divided again in this way, and only the small range in which it ends then is ordered row by row.
 
 Cases: null text has size 0 and takes nothing; a null source is a source of its own, ordered last; repeated rows are
 rows of their own, ordered among themselves by row number; an empty table gives an empty mix. The order is
@@ -94,19 +94,29 @@ def plays(sizes: DataFrame, aims: DataFrame, passes: int = 2, seed: str = "mix")
     )
 
 
+def ends_in(rows: DataFrame, label: str, start: Column, limit: str) -> DataFrame:
+    """Adds ``before`` and ``upto``, the running totals at both ends of each row's range ``label``, which follow ``start``; ranges that
+    begin beyond ``limit`` are left out. There are a few thousand ranges at most."""
+    totals = rows.groupBy(label).agg(F.sum("size").alias("in_range"), F.max(start).alias("start"), F.max(limit).alias("most"))
+    upto = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("upto", F.col("start") + F.sum("in_range").over(upto)).withColumn("before", F.col("upto") - F.col("in_range"))
+    totals = totals.filter(F.col("before") <= F.col("most")).select(label, "before", "upto")
+    return rows.drop("before", "upto").join(F.broadcast(totals), label)
+
+
 def cut(stream: DataFrame, budget: DataFrame) -> DataFrame:
-    """The plays, in order of finish time, whose running total is within ``budget`` (one row, one column)."""
-    ranged = stream.withColumn("range", F.least(F.floor(F.col("vft") * RANGES), F.lit(LAST_RANGE)).cast("long"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("range").agg(F.sum("size").alias("in_range")).withColumn("upto", F.sum("in_range").over(upto))
-    totals = totals.crossJoin(F.broadcast(budget.toDF("budget")))  # one row
-    totals = totals.filter(F.col("upto") - F.col("in_range") <= F.col("budget"))
-    rows = ranged.join(F.broadcast(totals), "range")  # at most LAST_RANGE + 1 rows
-    whole = rows.filter("upto <= budget")
-    last = rows.filter("upto > budget")
+    """The plays, in order of finish time, whose running total is within ``budget`` (one row, one column). The range in which
+    the budget ends is cut into ranges again, and only the one of these in which it ends is ordered row by row."""
+    at = F.col("vft") * RANGES
+    number = F.least(F.floor(at), F.lit(LAST_RANGE)).cast("long")
+    fine = F.least(F.floor((at - F.col("range")) * RANGES), F.lit(RANGES - 1)).cast("long")
+    ranged = stream.withColumn("range", number).withColumn("fine", fine).crossJoin(F.broadcast(budget.toDF("budget")))  # one row
+    rows = ends_in(ranged, "range", F.lit(0), "budget")
+    parts = ends_in(rows.filter("upto > budget"), "fine", F.col("before"), "budget")
     by_time = Window.orderBy("vft", "pick", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("run", F.sum("size").over(by_time)).filter("upto - in_range + run <= budget")
-    return whole.select(*stream.columns).unionByName(last.select(*stream.columns))
+    last = parts.filter("upto > budget").withColumn("run", F.sum("size").over(by_time)).filter("before + run <= budget")
+    whole = rows.filter("upto <= budget").select(*stream.columns).unionByName(parts.filter("upto <= budget").select(*stream.columns))
+    return whole.unionByName(last.select(*stream.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
