@@ -407,7 +407,7 @@ def score_by_slices(fixed: DataFrame, answers: DataFrame, shared) -> DataFrame:
         before[grams.starts] = model.texts
         scores = np.add.reduceat(model.log10(one[grams.ids], before, middle[words:][back]), grams.starts)
         exact = np.fromiter((model.top.get(w, -1) for w in grams.words), np.int64, words + 1)
-        return pa.Table.from_batches([scored_rows(model, columns[:3], scores, grams.lengths, exact[grams.ids], lambda at: [grams.words[i] for i in grams.ids[at].tolist()])])
+        return pa.Table.from_batches([scored_rows(model, columns[:3], scores, grams.lengths, grams.ids, exact[grams.ids], lambda at: [grams.words[i] for i in grams.ids[at].tolist()])])
 
     return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
 
@@ -494,18 +494,20 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out
 SCORED_SQL = "doc_id long, text_key long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: int>>"
 
 
-def scored_rows(model: Model, own: list[pa.Array], scores: np.ndarray, lengths: np.ndarray, exact: np.ndarray, words_at: Callable[[np.ndarray], list[bytes]]) -> pa.RecordBatch:
+def scored_rows(model: Model, own: list[pa.Array], scores: np.ndarray, lengths: np.ndarray, ids: np.ndarray, exact: np.ndarray, words_at: Callable[[np.ndarray], list[bytes]]) -> pa.RecordBatch:
     """Rows of SCORED for texts with their id, key and whether they are learnt from; words without an exact count here (-1) are
-    listed in ``rare``. ``words_at`` gives the words at positions."""
+    listed in ``rare``. ``ids`` number the tokens' words, and ``words_at`` gives the words at positions."""
     floor, starts = math.log10(model.total + model.distinct + 1), np.cumsum(lengths) - lengths
     in_top = exact >= 0
     base = np.add.reduceat(np.where(in_top, np.log10(np.maximum(exact, 0) + 1.0) - floor, 0.0), starts)
     known = np.add.reduceat(in_top.astype(np.int64), starts)
     rare_at = np.flatnonzero(~in_top)
-    cuts = np.searchsorted(rare_at, np.r_[starts, len(exact)])
-    rare = [[{"token": t, "tf": n} for t, n in Counter(words_at(rare_at[a:b])).items()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    text_of = np.searchsorted(starts, rare_at, side="right") - 1
+    each, first, times = np.unique(text_of << 31 | ids[rare_at], return_index=True, return_counts=True)
+    words = pa.StructArray.from_arrays([pa.array(words_at(rare_at[first]), pa.binary()), pa.array(times, pa.int32())], fields=list(SCORED.field("rare").type.value_type))
+    rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(each >> 31, np.arange(len(lengths) + 1)), pa.int32()), words)
     held = [not x for x in own[2].to_pylist()]
-    columns = [own[0], own[1], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, SCORED.field("rare").type)]
+    columns = [own[0], own[1], pa.array(held), pa.array(lengths), pa.array(known), pa.array(base), pa.array(scores), rare.cast(SCORED.field("rare").type)]
     return pa.RecordBatch.from_arrays(columns, schema=SCORED)
 
 
@@ -513,9 +515,9 @@ def scored(scorer: Scorer, *columns: pa.Array) -> Batches:
     """Rows of SCORED for texts, with the broadcast filter."""
     at = 0
     for tokens, lengths in tokens_of(texts_of(columns[3])):
-        scores, _, exact = scorer.score(tokens, lengths)
+        scores, ids, exact = scorer.score(tokens, lengths)
         own = [c[at : at + len(lengths)] for c in columns[:3]]
-        yield scored_rows(scorer.model, own, scores, lengths, exact, lambda where, tokens=tokens: [tokens[i] for i in where.tolist()])
+        yield scored_rows(scorer.model, own, scores, lengths, ids, exact, lambda where, tokens=tokens: [tokens[i] for i in where.tolist()])
         at += len(lengths)
 
 
