@@ -120,6 +120,30 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from r group by conv_id
 """
 
+#: Texts are hexadecimal digits here, two a byte; windows are told apart by their md5.
+OP8_SQL = """
+with d as (
+  select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents
+), c as (
+  select rid, n, j, substr(h, 400 * j + 1, 800) as t from (select rid, n, h, unnest(range(0, n // 200 + 1)) as j from d where n >= 200)
+), w as (
+  select rid, 200 * j + o as k, md5(substr(t, 2 * o + 1, 400)) as m from (select rid, n, j, t, unnest(range(0, 200)) as o from c) where 200 * j + o <= n - 200
+), r as (
+  select rid, k from w where m in (select m from w group by m having count(*) > 1)
+), i as (
+  select rid, k, sum(fresh) over (partition by rid order by k) as g
+  from (select rid, k, case when k > lag(k) over (partition by rid order by k) + 200 then 1 else 0 end as fresh from r)
+), s as (
+  select rid, min(k) as a, max(k) + 200 as b from i group by rid, g
+), e as (
+  select *, coalesce(lag(b) over (partition by rid order by a), 0) as last from s
+), k as (
+  select e.rid, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' order by a) as head, max(b) as b from e join d on d.rid = e.rid group by e.rid
+)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(b, 0) + 1))) as kept_sha256
+from d left join k on k.rid = d.rid
+"""
+
 OP9_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
@@ -284,4 +308,4 @@ select f.word, form, root, n, n_near, form_n from f join u using (word)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL, "op11_merkle": OP11_SQL, "op12_minhash": OP12_SQL, "op13_spelling": OP13_SQL}
+    return {"op4_topk": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL, "op11_merkle": OP11_SQL, "op12_minhash": OP12_SQL, "op13_spelling": OP13_SQL}
