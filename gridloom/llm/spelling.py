@@ -154,7 +154,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: every pair of the words ``word, n`` that one inserted, deleted or replaced code point
     makes equal, both ways round."""
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    depths = boundaries(longest)
+    depths = boundaries(max(longest, LEAST_LENGTH))
     oriented = stored(both_ways(words))
     frontier, found = None, []
     for level in range(len(depths) - 1):
