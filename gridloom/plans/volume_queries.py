@@ -582,6 +582,8 @@ def a11_raymarch(spark, sf_dir):
 ADAPTIVE_SQL = "(1e0 * (1 + 15 * pow(1 - least(greatest(max_opacity, 0.1e0), 1e0), 2)))"
 #: With this many times the opacity most rays end before they leave the grid.
 DENSE = 4.0
+#: Samples of a ray that are looked up in its first round.
+FIRST_ROUND = 4
 
 
 @query(PIXELS + marched_sql(ADAPTIVE_SQL) + "select ray_id, round(sum(left_before * a * v), 6) as v, round(sum(left_before * a), 6) as alpha from st where 1 - left_before < 0.9999e0 group by ray_id")
@@ -595,8 +597,8 @@ def f7_frontier(spark, sf_dir):
 
 @query(
     PIXELS
-    + marched_sql(ADAPTIVE_SQL, DENSE)
-    + """, sn as (select *, len(bin((row_number() over (partition by ray_id order by k) - 1) // 16 + 1)) - 1 as chunk from st),
+    + marched_sql("1e0", DENSE)
+    + f""", sn as (select *, len(bin((row_number() over (partition by ray_id order by k) - 1) // {FIRST_ROUND} + 1)) - 1 as chunk from st),
 so as (select ray_id, chunk, count(*) as n, arg_min(left_before, k) as entered from sn group by 1, 2),
 sl as (select ray_id, cast(sum(n) as bigint) as looked, cast(count(*) as int) as rounds from so where 1 - entered < 0.9999e0 group by 1),
 sp as (select ray_id, sum(left_before * a * v) as v, sum(left_before * a) as alpha from st where 1 - left_before < 0.9999e0 group by ray_id)
@@ -606,8 +608,8 @@ def f7_frontier_opaque(spark, sf_dir):
     """A picture of a denser volume, with the samples that were looked up for each ray and those that it has in all."""
     g = grid(spark, sf_dir)
     dims, rays = (g.nx, g.ny, g.nz), lines.make_rays(spark, *camera(g))
-    rows = frontier.frontier_march(rays, g.voxels, opacity_cells(g), dims, classified, {"v": lambda v: v}, 1.0, DENSE)
-    every = lines.samples_on_lines(lines.live_stretches(rays, opacity_cells(g), dims), 1.0, True).groupBy("ray_id").agg(F.count("*").alias("samples"))
+    rows = frontier.frontier_march(rays, g.voxels, opacity_cells(g), dims, classified, {"v": lambda v: v}, 1.0, DENSE, adaptive=False, first=FIRST_ROUND)
+    every = lines.samples_on_lines(lines.live_stretches(rays, opacity_cells(g), dims), 1.0).groupBy("ray_id").agg(F.count("*").alias("samples"))
     return rounded(rows.select("ray_id", "v", "alpha", "looked", "rounds").join(every, "ray_id"), "v", "alpha")
 
 
