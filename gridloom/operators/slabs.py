@@ -27,15 +27,19 @@ def cursor(spark: SparkSession, path: str) -> tuple[int, int]:
     return (row.call, row.next) if row else (0, 0)
 
 
-def decode_next(model: DataFrame, dims: tuple, config: Config, path: str, thick: int = THICK) -> int:
+def decode_next(model: DataFrame, dims: tuple, config: Config, path: str, thick: int = THICK, voxels: DataFrame | None = None) -> int:
     """Decodes one slab of the volume into its part of the table at ``path``, moves the cursor on, back to the first slab
     after the last, and returns the slab's number. A call that fails leaves the cursor where it was, and the next one writes the
-    same slab again."""
+    same slab again. Without ``voxels`` all of the grid are decoded, with them only those that they name (of a grid that lacks some). Voxels with a column ``slab`` are read by it."""
     spark = model.sparkSession
     calls, slab = cursor(spark, path)
     low, high = slab * thick, min((slab + 1) * thick, dims[2])
-    index = procedural_volume(spark, (dims[0], dims[1], high - low), lambda x, y, z: F.lit(0.0))
-    at = index.select("x", "y", (F.col("z") + low).cast("int").alias("z"))
+    if voxels is None:
+        index = procedural_volume(spark, (dims[0], dims[1], high - low), lambda x, y, z: F.lit(0.0))
+        at = index.select("x", "y", (F.col("z") + low).cast("int").alias("z"))
+    else:
+        own = voxels.filter(F.col("slab") == slab) if "slab" in voxels.columns else voxels
+        at = own.filter((F.col("z") >= low) & (F.col("z") < high)).select(*AXES)
     rows = reconstruct(at, model, dims, config).select(*[F.col(a).cast("int").alias(a) for a in AXES], "v")
     rows.write.mode("overwrite").parquet(f"{path}/voxels/slab={slab}")
     after = (slab + 1) % slab_count(dims[2], thick)
