@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from gridloom.operators import blocks
+from gridloom.operators import blocks, sampling
 from gridloom.plans import volume_queries
 from gridloom.sources import raw
 from pyspark.sql import functions as F
@@ -71,3 +71,16 @@ def test_formula_of_given_voxels(spark, tmp_path):
 
 def test_slabs_decode_the_voxels_that_there_are(spark, tmp_path):
     equals_sql(spark, embeddings(spark, tmp_path, IDS), "a19_by_slabs")
+
+
+def test_samples_keep_their_voxel(spark):
+    """A place just below a border, which would be on it if it were scaled down and up again."""
+    below = next(p for n in range(5, 600) for p in [math.nextafter(k, 0) for k in range(1, n)] if math.floor(p / n * n) != math.floor(p))
+    n = next(n for n in range(5, 600) if math.floor(below / n * n) != math.floor(below))
+    points = spark.createDataFrame([(0, below, 0.5, 0.5)], "point_id int, px double, py double, pz double")
+    voxels = spark.range(n).selectExpr("cast(id as int) as x", "0 as y", "0 as z", "cast(id as double) as v")
+    assert sampling.nearest(points, voxels, n, 1, 1, unit=False).first().v == math.floor(below)
+
+
+def test_rounds_number_the_samples_that_there_are(spark, tmp_path):
+    equals_sql(spark, embeddings(spark, tmp_path, IDS), "f7_frontier_opaque", "f7_frontier")
