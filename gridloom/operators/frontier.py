@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import adaptive_step, even_steps
 from gridloom.operators.cells import incomplete_cells
 from gridloom.operators.lines import AXES, OPAQUE, live_stretches, sampled, transmittance
-from gridloom.operators.sampling import steps, trilinear
+from gridloom.operators.sampling import corner_table, steps, trilinear_by_corners
 from gridloom.sources.tables import forget, stored
 
 #: Samples of the first chunk.
@@ -29,7 +29,7 @@ def chunk_of(i: Column, first: int = FIRST) -> Column:
     return F.length(F.bin(F.floor(i / F.lit(first)) + 1)) - 1
 
 
-def with_voxels(rows: DataFrame, voxels: DataFrame, dims: tuple) -> DataFrame:
+def with_voxels(rows: DataFrame, voxels: DataFrame, corners: DataFrame, dims: tuple) -> DataFrame:
     """The stretches with the number ``i0`` of their first sample. Those in cells that lack voxels are cut into their samples that
     have voxels around them."""
     lacking = stored(incomplete_cells(voxels, *dims).withColumn("lacks", F.lit(True)), "lacking")
@@ -40,16 +40,16 @@ def with_voxels(rows: DataFrame, voxels: DataFrame, dims: tuple) -> DataFrame:
     each = flagged.filter("lacks").withColumn("i0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("n", F.lit(1).cast("long")).drop("lacks")
     t = F.col("c0") + (F.col("i0") + 0.5) * F.col("dist")
     ids = each.select(*steps(each), F.struct(*[c for c in each.columns if c != "t"]).alias("point_id"), *[(F.col(f"o{a}") + t * F.col(f"d{a}")).alias(f"p{a}") for a in AXES])
-    there = trilinear(ids, voxels, *dims, unit=False).select(*steps(each), "point_id.*")
+    there = trilinear_by_corners(ids, corners, dims).select(*steps(each), "point_id.*")
     return flagged.filter("lacks is null").drop("lacks").withColumn("i0", F.lit(0).cast("long")).unionByName(there)
 
 
-def stretches(rays: DataFrame, voxels: DataFrame, cells: DataFrame, dims: tuple, step: float, adaptive: bool, first: int) -> DataFrame:
+def stretches(rays: DataFrame, voxels: DataFrame, corners: DataFrame, cells: DataFrame, dims: tuple, step: float, adaptive: bool, first: int) -> DataFrame:
     """Stretches of the lines with the number ``before`` of samples ahead of them, their own number ``n`` and that of the whole line,
     ``samples``, once for every chunk that they have samples in."""
     rows = live_stretches(rays, cells, dims)
     n, ds = even_steps(F.col("c0"), F.col("c1"), adaptive_step(step, F.col("max_opacity")) if adaptive else F.lit(step))
-    rows = with_voxels(rows.withColumn("n", n.cast("long")).withColumn("dist", ds), voxels, dims)
+    rows = with_voxels(rows.withColumn("n", n.cast("long")).withColumn("dist", ds), voxels, corners, dims)
     line = Window.partitionBy(*steps(rows), "ray_id")
     ahead = line.orderBy("step", "i0").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("samples", F.sum("n").over(line))
@@ -80,7 +80,8 @@ def frontier_march(
     """``ray_id``, the colours' front-to-back sums, ``alpha``, ``clear`` (what is left of the light), ``looked`` (samples that were
     looked up), ``rounds`` and ``samples`` (all that the ray has), for each ray that crosses a cell that is not transparent; with ``t`` in a series. The colours
     are functions of a sample's value."""
-    all_stretches = stored(stretches(rays, voxels, cells, dims, step, adaptive, first), "stretches", by="chunk")
+    corners = stored(corner_table(voxels), "corners")
+    all_stretches = stored(stretches(rays, voxels, corners, cells, dims, step, adaptive, first), "stretches", by="chunk")
     line = [*steps(all_stretches), "ray_id"]
     last = all_stretches.agg(F.max("chunk")).first()[0]
     zero = [F.lit(0.0).alias(c) for c in (*colours, "alpha")]
@@ -90,7 +91,7 @@ def frontier_march(
         if alive.isEmpty():
             break
         own = all_stretches.filter(F.col("chunk") == chunk).join(alive, line, "left_semi")
-        values = sampled(samples_of_chunk(own, chunk, first), voxels, dims, transfer, rate)
+        values = sampled(samples_of_chunk(own, chunk, first), corners, dims, transfer, rate)
         folded = transmittance(values, line, "k").join(alive, line).withColumn("clear", F.col("clear") * F.col("clear0"))
         seen = 1 - F.col("clear") < OPAQUE
         part = lambda c: F.coalesce(F.sum(F.when(seen, F.col("clear") * F.col("a") * c)), F.lit(0.0))
@@ -104,4 +105,5 @@ def frontier_march(
         forget(state)
         state = after
     forget(all_stretches)
+    forget(corners)
     return state

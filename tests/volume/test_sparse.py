@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from gridloom.operators import blocks, sampling
+from gridloom.operators import blocks, lines, sampling
 from gridloom.plans import volume_queries
 from gridloom.sources import raw
 from pyspark.sql import functions as F
@@ -84,3 +84,11 @@ def test_samples_keep_their_voxel(spark):
 
 def test_rounds_number_the_samples_that_there_are(spark, tmp_path):
     equals_sql(spark, embeddings(spark, tmp_path, IDS), "f7_frontier_opaque", "f7_frontier")
+
+
+def test_stretches_of_rays_are_not_broadcast(spark):
+    """Spark guesses that many rays from a small file are smaller than the cells they cross."""
+    rays = lines.make_rays(spark, 4, 4, (80.0, 33.0, -9.0), (30.0, 9.0, 9.0), (0.1, 1.0, 0.2))
+    cells = spark.range(100_000).selectExpr("cast(id as int) as cx", "0 as cy", "0 as cz", "0.5 as max_opacity")
+    plan = lines.live_stretches(rays, cells, (64, 20, 18))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
