@@ -15,15 +15,16 @@ filter, and the task of a segment adds the counts and sets the segment's bits. T
 corpus, so that none holds the n-grams of more than about SEGMENT_TOKENS tokens, and nothing is left out.
 
 A filter that cannot have more than ``max_bits`` comes to the driver and is broadcast to the scoring tasks. A larger one
-stays where it is: texts are cut into slices of about SLICE_ROWS rows by a hash of their rows, and each slice sends its n-grams,
-with their counts in training texts, to their segments once; a segment adds the counts, sets its bits, probes them for all n-grams
-it has got, and sends the levels back to the slices. Both ways read the same bits, so ``max_bits`` changes no score.
+stays where it is: the texts are stored once in compressed slices of up to SLICE_ROWS rows, a slice sends its pairs' keys and its
+words, with their counts in training texts, to their segments once; a segment adds the counts, sets its bits, probes them for all
+n-grams it has got, and sends the levels and the words' exact counts back, and the slice's texts are scored whole. Both ways read the
+same bits, so ``max_bits`` changes no score.
 
-The base score needs exact counts of words: those of the ``TOP`` most frequent words are broadcast, all others are
-joined.
+The base score needs exact counts of words: segments send them, or, with a broadcast filter, those of the ``TOP`` most frequent
+words are broadcast and all others are joined.
 
 Cases: null text is the empty text, whose only token is its end; a null id is in the training part; repeated rows are
-scored each, and rows alike in id and text are in one slice; texts of any length are scored whole; with no training text every count is zero and the score falls back to p(w).
+scored each; texts of any length are scored whole; with no training text every count is zero and the score falls back to p(w).
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ TOP = 1 << 16
 SLICE = 4_000_000
 #: Distinct pairs that a task gathers before it deals them out.
 GATHERED = 1_500_000
-#: Rows of a slice of texts.
+#: Rows of a slice of texts at most.
 SLICE_ROWS = 4096
 
 U = np.uint64
@@ -256,6 +258,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def count_tokens(texts: DataFrame) -> tuple[int, int]:
+    """Numbers of tokens and of texts of a table of one text column."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            n = sum(len(t.split()) + 1 for t in texts_of(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["tokens", "texts"])
+
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return tuple(texts.mapInArrow(run, "tokens long, texts long").agg(zero("tokens"), zero("texts")).first())
+
+
 def deal_pairs(texts: DataFrame, segments: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         words, parts, size = Words(), [], 0
@@ -348,68 +362,160 @@ class Grams:
         before[self.starts] = 0
         return before << 31 | self.ids
 
-    def keys(self, pairs: np.ndarray) -> np.ndarray:
-        """Keys of all words but the start, and of pairs."""
-        return np.r_[word_key(self.hashes[1:]), pair_key(self.hashes[pairs >> 31], self.hashes[pairs & 0x7FFFFFFF])]
+    def word_keys(self) -> np.ndarray:
+        """Keys of all words but the start."""
+        return word_key(self.hashes[1:])
+
+    def pair_keys(self, pairs: np.ndarray) -> np.ndarray:
+        return pair_key(self.hashes[pairs >> 31], self.hashes[pairs & 0x7FFFFFFF])
+
+
+def packed(source: DataFrame) -> DataFrame:
+    """``slice long, rows binary``: the rows in slices of at most SLICE_ROWS rows and about SLICE bytes of text, or one text that is
+    longer, compressed. They are stored once, so every later step finds the same slices."""
+
+    def blob(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    def run(batches: Batches) -> Batches:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                end = min(at + SLICE_ROWS - rows, int(np.searchsorted(ends, before + SLICE - size)) + 1, batch.num_rows)
+                held.append(batch.slice(at, end - at))
+                rows, size, at = rows + end - at, size + ends[end - 1] - before, end
+                if rows >= SLICE_ROWS or size >= SLICE:
+                    yield blob(held)
+                    held, rows, size = [], 0, 0
+        if held:
+            yield blob(held)
+
+    blobs = source.select("doc_id", "learn", "text").mapInArrow(run, "rows binary")
+    return stored(blobs.select(F.monotonically_increasing_id().alias("slice"), "rows"))
 
 
-def deal_slice(rows: pa.Table, segments: int) -> pa.Table:
-    """A slice's n-grams and their counts in its training texts, by segment."""
-    grams = Grams.of(texts_of(rows.column("text").combine_chunks()))
-    learn = np.repeat(rows.column("learn").to_numpy().astype(np.int64), grams.lengths)
-    ordered = np.sort(grams.pairs() << 1 | learn)
+def unpacked(raw: bytes) -> list[pa.Array]:
+    """``doc_id, learn, text`` of a slice."""
+    rows = pa.ipc.open_stream(raw).read_all().combine_chunks()
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+
+
+ASKED = "segment int, slice long, keys binary, words binary, counts binary"
+
+
+def deal_slice(number: int, raw: bytes, segments: int) -> pa.RecordBatch:
+    """A slice's n-grams and their counts in its training texts: for each segment a row with the keys of pairs and one with words,
+    in order of their keys, line by line, where END is an empty line."""
+    _, learn, texts = unpacked(raw)
+    grams = Grams.of(texts_of(texts))
+    learnt = np.repeat(np.array(learn.to_pylist(), np.int64), grams.lengths)
+    ordered = np.sort(grams.pairs() << 1 | learnt)
     first = np.flatnonzero(np.r_[True, ordered[1:] >> 1 != ordered[:-1] >> 1])
-    counts = np.r_[np.bincount(grams.ids, learn, len(grams.words))[1:].astype(np.int64), np.add.reduceat(ordered & 1, first)]
-    out = dealt(grams.keys(ordered[first] >> 1), counts, segments)
-    number = pa.array(np.full(out.num_rows, rows.column("slice")[0].as_py()), pa.int64())
-    return pa.table({"segment": out.column("segment"), "slice": number, "keys": out.column("keys"), "counts": out.column("counts")})
+    pairs = dealt(grams.pair_keys(ordered[first] >> 1), np.add.reduceat(ordered & 1, first), segments)
+    keys = grams.word_keys()
+    order = np.argsort(keys, kind="stable")
+    every = [b"" if (w := grams.words[i]) == END else w for i in (order + 1).tolist()]
+    words = dealt(keys, np.bincount(grams.ids, learnt, len(grams.words))[1:].astype(np.int64), segments)
+    lines = pa.array([b"\n".join(every[p]) for p in cut(keys[order], segments)[1]], pa.binary())
+    n = pairs.num_rows + words.num_rows
+    none = lambda x: pa.nulls(x.num_rows, pa.binary())
+    columns = [(pairs.column(0), words.column(0)), (pairs.column("keys"), none(words)), (none(pairs), lines), (pairs.column("counts"), words.column("counts"))]
+    segment, *rest = (pa.concat_arrays(c) for c in columns)
+    return pa.RecordBatch.from_arrays([segment, pa.array(np.full(n, number), pa.int64()), *rest], ["segment", "slice", "keys", "words", "counts"])
 
 
-ANSWER = "segment int, slice long, levels binary, n long"
+ANSWER = pa.schema([("segment", pa.int32()), ("slice", pa.int64()), ("levels", pa.binary()), ("exact", pa.binary()), ("n", pa.int64()), ("counts", pa.list_(pa.struct([("level", pa.int32()), ("c", pa.int64()), ("n", pa.int64())])))])
+ANSWER_SQL = "segment int, slice long, levels binary, exact binary, n long, counts array<struct<level: int, c: long, n: long>>"
 
 
 def answer(asked: pa.Table) -> pa.Table:
-    """A segment's levels for the n-grams that slices have sent; n, the number that it holds, stands in one of the rows."""
-    parts = parts_of(asked.column("keys").to_pylist(), asked.column("counts").to_pylist())
-    keys, counts = added(parts)
-    held = counts > 0
-    bits, raw = build_segment(keys[held], counts[held])
-    levels = probe_one(keys, bits, raw).astype(np.uint8)
-    found = [levels[np.searchsorted(keys, k)].tobytes() for k, _ in parts]
-    n = np.r_[held.sum(), np.zeros(len(parts) - 1, np.int64)]
-    return pa.table({"segment": asked.column("segment"), "slice": asked.column("slice"), "levels": pa.array(found, pa.binary()), "n": pa.array(n, pa.int64())})
+    """A segment's levels for the n-grams that slices have sent, and the exact counts of words, which are told apart by their bytes. In
+    one of the rows stand n, the number of n-grams that the segment holds, and its words' counts of counts by level."""
+    keys, words, counts = (asked.column(c).to_pylist() for c in ("keys", "words", "counts"))
+    lists = [None if w is None else w.split(b"\n") for w in words]
+    numbers = [from_planes(c, "<u2" if len(c) == 2 * (len(k) // 8 if w is None else len(w)) else "<u8").astype(np.int64) for k, w, c in zip(keys, lists, counts, strict=True)]
+    asks = [i for i, w in enumerate(lists) if w is not None]
+    coded = pa.array([END if t == b"" else t for i in asks for t in lists[i]], pa.binary()).dictionary_encode()
+    at, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    exact = np.bincount(at, np.concatenate([numbers[i] for i in asks]) if asks else None, len(different)).astype(np.int64)
+    own = word_key(np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different)))
+    parts = {i: from_planes(k, "<u8") for i, k in enumerate(keys) if k is not None}
+    every, sums = added([(own, exact), *((k, numbers[i]) for i, k in parts.items())])
+    held = sums > 0
+    levels = probe_one(every, *build_segment(every[held], sums[held])).astype(np.uint8)
+    found, said = [None] * len(keys), [None] * len(keys)
+    for i, k in parts.items():
+        found[i] = levels[np.searchsorted(every, k)].tobytes()
+    level_of_word, begin = levels[np.searchsorted(every, own)], 0
+    for i in asks:
+        here = at[begin : begin + len(lists[i])]
+        begin += len(here)
+        c = exact[here]
+        found[i], said[i] = level_of_word[here].tobytes(), planes(c.astype("<u2" if c.max() < 1 << 16 else "<u8"))
+    c = exact[exact > 0]
+    of, back = np.unique(count_level(c), return_inverse=True)
+    histogram = [{"level": int(x), "c": int(s), "n": int(n)} for x, s, n in zip(of, np.bincount(back, c), np.bincount(back), strict=True)]
+    more = [None] * (len(keys) - 1)
+    columns = [asked.column("segment"), asked.column("slice"), found, said, [int(held.sum()), *more], [histogram, *more]]
+    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, ANSWER, strict=True)], schema=ANSWER)
 
 
 def sliced(source: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
-    """The texts with their slice, and the levels of each slice's n-grams (``segment, slice, levels, n``). A row's slice depends on
-    what is in it, so a lost task finds the same slices again."""
-    rows, segments = source.count(), segments_of(tokens)
-    fixed = source.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(-(-rows // SLICE_ROWS) or 1)))
-    asked = fixed.groupBy("slice").applyInArrow(lambda t: deal_slice(t, segments), "segment int, slice long, keys binary, counts binary")
-    return fixed, stored(asked.groupBy("segment").applyInArrow(answer, ANSWER))
+    """The texts in slices (``packed``), and the levels of each slice's n-grams with its words' exact counts."""
+    segments, slices = segments_of(tokens), packed(source)
+
+    def ask(batches: Batches) -> Batches:
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield deal_slice(number, raw.as_py(), segments)
 
+    return slices, stored(slices.mapInArrow(ask, ASKED).groupBy("segment").applyInArrow(answer, ANSWER_SQL))
 
-def score_by_slices(fixed: DataFrame, answers: DataFrame, shared) -> DataFrame:
-    """Rows of SCORED. ``shared`` is the broadcast model."""
 
-    def score(rows: pa.Table, levels: pa.Table) -> pa.Table:
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_by_slices(slices: DataFrame, answers: DataFrame, shared) -> DataFrame:
+    """Rows of RESULT. ``shared`` is the broadcast model."""
+
+    def score(packed_rows: pa.Table, answered: pa.Table) -> pa.Table:
         model = shared.value
-        columns = [rows.column(c).combine_chunks() for c in ("doc_id", "text_key", "learn", "text")]
-        grams = Grams.of(texts_of(columns[3]))
+        doc_id, learn, texts = unpacked(packed_rows.column("rows")[0].as_py())
+        grams = Grams.of(texts_of(texts))
         pairs, back = np.unique(grams.pairs(), return_inverse=True)
-        order = np.argsort(grams.keys(pairs), kind="stable")
-        raw = b"".join(x for _, x in sorted(zip(levels.column("segment").to_pylist(), levels.column("levels").to_pylist(), strict=True)))
-        middle = np.zeros(len(order))
-        middle[order] = MIDDLE[np.frombuffer(raw, np.uint8)]
-        words = len(grams.words) - 1
-        one = np.r_[0.0, middle[:words]]
+        rows = sorted(zip(*(answered.column(c).to_pylist() for c in ("segment", "levels", "exact")), strict=True), key=lambda r: r[0])
+
+        def middles(keys: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            order, out = np.argsort(keys, kind="stable"), np.zeros(len(keys))
+            out[order] = MIDDLE[np.frombuffer(b"".join(raw), np.uint8)]
+            return out, order
+
+        together, _ = middles(grams.pair_keys(pairs), [found for _, found, c in rows if c is None])
+        middle, order = middles(grams.word_keys(), [found for _, found, c in rows if c is not None])
+        exact = np.zeros(len(grams.words), np.int64)
+        exact[order + 1] = np.concatenate([from_planes(c, f"<u{len(c) // len(found)}") for _, found, c in rows if c is not None])
+        one = np.r_[0.0, middle]
         before = np.r_[0.0, one[grams.ids[:-1]]][: len(grams.ids)]
         before[grams.starts] = model.texts
-        scores = np.add.reduceat(model.log10(one[grams.ids], before, middle[words:][back]), grams.starts)
-        exact = np.fromiter((model.top.get(w, -1) for w in grams.words), np.int64, words + 1)
-        return pa.Table.from_batches([scored_rows(model, columns[:3], scores, grams.lengths, grams.ids, exact[grams.ids], lambda at: [grams.words[i] for i in grams.ids[at].tolist()])])
+        scores = np.add.reduceat(model.log10(one[grams.ids], before, together[back]), grams.starts)
+        counts = exact[grams.ids]
+        base = np.add.reduceat(np.log10(counts + 1.0) - math.log10(model.total + model.distinct + 1), grams.starts)
+        known = np.add.reduceat((counts > 0).astype(np.int64), grams.starts)
+        held_out = pa.array([not x for x in learn.to_pylist()])
+        total = pa.array(np.full(len(scores), model.total), pa.int64())
+        return pa.table([doc_id, held_out, pa.array(grams.lengths, pa.int64()), pa.array(known), total, pa.array(base), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, RESULT)
 
-    return fixed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, SCORED_SQL)
+
+def count_level(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(c) / math.log(1.1)).astype(np.int64)
 
 
 def solve_beta(histogram: list[tuple[float, int]], pairs: int) -> float:
@@ -438,23 +544,25 @@ class Model:
         return np.log10(np.where(before > 0, (np.minimum(together, before) + after * p1) / np.maximum(before + after, 1e-300), p1))
 
 
-def fit(source: DataFrame, max_bits: int = 1 << 29) -> tuple[Model, DataFrame, tuple[DataFrame, DataFrame] | None]:
-    """The model of the rows (``doc_id, text_key, learn, text``) to learn from, the exact counts of words (``token, c``), and, where
-    the filter may be larger than ``max_bits``, all rows in slices with the levels of their n-grams."""
+def fit(source: DataFrame, max_bits: int = 1 << 29) -> tuple[Model, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
+    """The model of the rows (``doc_id, text_key, learn, text``) to learn from, and the exact counts of words (``token, c``) or, where
+    the filter may be larger than ``max_bits``, all rows in slices with the levels of their n-grams and their words' counts."""
     texts = source.filter("learn").select("text")
+    tokens, n_texts = count_tokens(texts)
+    if 2 * BITS_PER_EVENT * tokens > max_bits:  # a token is a word and a pair, and a count has no more events than itself
+        slices = sliced(source, tokens)
+        held = slices[1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        each = slices[1].select(F.explode("counts").alias("r")).select("r.*")
+        # counts of counts by level, at most a few hundred rows
+        levels = each.groupBy("level").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+        distinct = sum(r.n for r in levels)
+        return Model(None, tokens, distinct, solve_beta([(r.c / r.n, r.n) for r in levels], held - distinct), {}, n_texts), None, slices
     counts = saved(count_words(texts))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_texts = counts.filter(F.col("token") == F.lit(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    found = slices = None
-    if 2 * BITS_PER_EVENT * sums.n <= max_bits:  # a token is a word and a pair, and a count has no more events than itself
-        segments = segments_of(sums.n)
-        built = build_filter(deal_pairs(texts, segments).unionByName(deal_words(counts, segments)), sums.n)
-        held = built.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        found = Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in built.select("segment", "bits", "raw").collect()], segments)  # max_bits / 8 bytes at most
-    else:
-        slices = sliced(source, sums.n)
-        held = slices[1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # counts of counts by level, at most a few hundred rows
+    segments = segments_of(sums.n)
+    built = build_filter(deal_pairs(texts, segments).unionByName(deal_words(counts, segments)), sums.n)
+    held = built.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    found = Filter.join([(r.segment, r.bits, bytes(r.raw)) for r in built.select("segment", "bits", "raw").collect()], segments)  # max_bits / 8 bytes at most
     level = F.floor(F.log("c") / math.log(1.1))
     levels = counts.groupBy(level.alias("level")).agg(F.avg("c").alias("c"), F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
     histogram = [(r.c, r.n) for r in levels]
@@ -462,7 +570,7 @@ def fit(source: DataFrame, max_bits: int = 1 << 29) -> tuple[Model, DataFrame, t
     within = [r.least for r, n in zip(levels, np.cumsum([r.n for r in levels]), strict=True) if n <= TOP]
     frequent = counts.filter(F.col("c") >= within[-1]).collect() if within else []
     top = {bytes(r.token): r.c for r in frequent}
-    return Model(found, sums.n, sums.v, solve_beta(histogram, held - sums.v), top, n_texts), counts, slices
+    return Model(found, sums.n, sums.v, solve_beta(histogram, held - sums.v), top, n_texts), counts, None
 
 
 class Scorer:
@@ -538,7 +646,9 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             yield from scored(scorer, *batch.columns)
 
-    rows = source.mapInArrow(run, SCORED_SQL) if slices is None else score_by_slices(*slices, shared)
+    if slices is not None:
+        return score_by_slices(*slices, shared)
+    rows = source.mapInArrow(run, SCORED_SQL)
     # One pass: a row for each text and one for each of its rare words meet the counts together. A text's own row has a key
     # that no word has, as words hold no white space.
     whole, own = float(model.total + model.distinct + 1), F.struct("held_out", "n_tokens", "known", "base", "score")

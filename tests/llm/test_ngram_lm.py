@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -136,3 +137,19 @@ def test_probabilities_add_up(spark):
 def test_empty_table(spark):
     for max_bits in (0, 1 << 29):
         assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), max_bits=max_bits).count() == 0
+
+
+def test_slices_do_not_shuffle_texts_twice(spark):
+    """Where the filter is not broadcast, texts move once and compressed, and rare words are not dealt out for each text."""
+
+    def written():
+        time.sleep(1)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"word{i}" for i in rng.zipf(1.2, 300) % 100_000) for _ in range(1500)]
+    docs, before = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).checkpoint(), written()
+    assert lm.score_documents(docs, max_bits=0).count() == 1500
+    print("shuffled", written() - before, "of", sum(map(len, texts)))
+    assert written() - before < 1.6 * sum(map(len, texts))
