@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import linear_id, triangle_normal
 from gridloom.operators.sampling import steps
 from gridloom.operators.scan import BLOCK, running_sums
+from gridloom.sources.tables import scratch
 
 #: Corner order of a cell and the corners of its edges, as in the usual numbering.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -109,14 +110,24 @@ def offsets(active_cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return running_sums(active_cells.select(*keys, "cell_id", "n_verts"), "cell_id", "n_verts", keys, block)
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once and read back from the shared folder."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_obj(points: DataFrame, path: str) -> None:
-    """All vertices in order of cell and number as v lines, then a face for every three. A series has one folder for each step
+    """All vertices in order of cell and number as v lines, then a face for every three. The vertices are computed once. A series has one folder for each step
     (``t=…``), each with a mesh of its own."""
     keys = steps(points)
-    counts = points.groupBy(*keys, "cell_id").agg(F.count("*").alias("n_verts"))
+    points = kept(points, "vertices")
+    counts = kept(points.groupBy(*keys, "cell_id").agg(F.count("*").alias("n_verts")), "counts")
     rows = points.join(offsets(counts), [*keys, "cell_id"]).withColumn("vid", F.col("first") + F.col("n"))
-    v = rows.select(*keys, F.lit(0).alias("part"), "vid", F.format_string("v %f %f %f", "vx", "vy", "vz").alias("value"))
-    i = F.col("vid")
-    f = rows.filter(i % 3 == 0).select(*keys, F.lit(1).alias("part"), "vid", F.format_string("f %d %d %d", i + 1, i + 2, i + 3).alias("value"))
-    order = [*keys, "part", "vid"]
-    v.unionByName(f).repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
+    v = rows.select(*keys, F.lit(0).alias("part"), "vid", "vx", "vy", "vz")
+    f = rows.filter(F.col("vid") % 3 == 0).select(*keys, F.lit(1).alias("part"), "vid", *[F.lit(None).cast("double").alias(c) for c in ("vx", "vy", "vz")])
+    # Numbers are sorted, and become text afterwards: to find the ranges, Spark reads all rows once more.
+    order, i = [*keys, "part", "vid"], F.col("vid")
+    rows = v.unionByName(f).repartitionByRange(*order).sortWithinPartitions(*order)
+    value = F.when(F.col("part") == 0, F.format_string("v %f %f %f", "vx", "vy", "vz")).otherwise(F.format_string("f %d %d %d", i + 1, i + 2, i + 3))
+    rows.select(*keys, value.alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)

@@ -235,6 +235,20 @@ def test_obj(spark, volume, tmp_path):
     assert [x[0] for x in text] == ["v"] * n + ["f"] * (n // 3) and text[n] == "f 1 2 3"
 
 
+def test_obj_computes_vertices_once(spark, volume, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    points = isosurface.vertices(isosurface.active(isosurface.corners(volume, *DIMS), 0.5), 0.5)
+    n = points.count()
+    isosurface.write_obj(points.mapInArrow(run, points.schema), str(tmp_path / "s.obj"))
+    assert seen.value == n
+
+
 def test_normals_point_to_lower_values(spark):
     rng = random.Random(5)
     for weights in ((1.0, 2.0, 3.0), (-1.0, 0.5, 0.25), (0.3, -2.0, -1.0)):
