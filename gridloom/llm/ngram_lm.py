@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,10 @@ HASHES = 5
 BITS_PER_EVENT = 7.3
 TOP = 1 << 16
 SLICE = 4_000_000
-#: Distinct pairs that a task gathers before it deals them out.
-GATHERED = 1_500_000
+#: Bytes of text that a task has as tokens at a time, and rows of a batch that it has as Python objects.
+RUN, ROWS = 1_000_000, 256
+#: Distinct pairs that a task gathers before it deals them out, and words that it counts or numbers.
+GATHERED, HELD = 1_000_000, 250_000
 #: Rows of a slice of texts at most.
 SLICE_ROWS = 4096
 
@@ -159,7 +161,7 @@ class Filter:
 class Words:
     """Numbers the words of one task; keeps at most ``most`` of them."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = HELD):
         self.most, self.number, self.hashes = most, {}, np.zeros(0, np.uint64)
 
     def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -175,8 +177,14 @@ class Words:
         return ids, new
 
 
-def tokens_of(texts: list[bytes]):
-    """Runs of texts, about SLICE bytes each, as one list of tokens with the number of tokens of each text."""
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a batch, of which only ROWS are Python objects at a time."""
+    for at in range(0, len(column), ROWS):
+        yield from texts_of(column.slice(at, ROWS))
+
+
+def tokens_of(texts: Iterable[bytes]):
+    """Runs of texts, about RUN bytes each, as one list of tokens with the number of tokens of each text."""
     tokens, lengths, size = [], [], 0
     for t in texts:
         found = t.lower().split()
@@ -184,7 +192,7 @@ def tokens_of(texts: list[bytes]):
         tokens += found
         lengths.append(len(found))
         size += len(t)
-        if size >= SLICE:
+        if size >= RUN:
             yield tokens, np.array(lengths)
             tokens, lengths, size = [], [], 0
     if lengths:
@@ -244,16 +252,23 @@ def in_training(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(0)) % 7 != 2
 
 
+def counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``token binary, c long`` over a table of one text column; ends of texts are counted as END."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             counts: Counter = Counter()
-            for tokens, _ in tokens_of(texts_of(batch.column(0))):
+            for tokens, _ in tokens_of(each_text(batch.column(0))):
                 counts.update(tokens)
+                if len(counts) >= HELD:
+                    yield counted(counts)
+                    counts.clear()
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+                yield counted(counts)
 
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -263,7 +278,7 @@ def count_tokens(texts: DataFrame) -> tuple[int, int]:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            n = sum(len(t.split()) + 1 for t in texts_of(batch.column(0)))
+            n = sum(len(t.split()) + 1 for t in each_text(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["tokens", "texts"])
 
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
@@ -274,7 +289,7 @@ def deal_pairs(texts: DataFrame, segments: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         words, parts, size = Words(), [], 0
         for batch in batches:
-            for tokens, lengths in tokens_of(texts_of(batch.column(0))):
+            for tokens, lengths in tokens_of(each_text(batch.column(0))):
                 ids, _ = words.numbers(tokens)
                 keys = pair_key(contexts(ids, lengths, words.hashes), words.hashes[ids])
                 parts.append(np.unique(keys, return_counts=True))
@@ -622,7 +637,7 @@ def scored_rows(model: Model, own: list[pa.Array], scores: np.ndarray, lengths:
 def scored(scorer: Scorer, *columns: pa.Array) -> Batches:
     """Rows of SCORED for texts, with the broadcast filter."""
     at = 0
-    for tokens, lengths in tokens_of(texts_of(columns[3])):
+    for tokens, lengths in tokens_of(each_text(columns[3])):
         scores, ids, exact = scorer.score(tokens, lengths)
         own = [c[at : at + len(lengths)] for c in columns[:3]]
         yield scored_rows(scorer.model, own, scores, lengths, ids, exact, lambda where, tokens=tokens: [tokens[i] for i in where.tolist()])
@@ -645,6 +660,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
         for batch in batches:
             yield from scored(scorer, *batch.columns)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     if slices is not None:
         return score_by_slices(*slices, shared)

@@ -153,3 +153,10 @@ def test_slices_do_not_shuffle_texts_twice(spark):
     assert lm.score_documents(docs, max_bits=0).count() == 1500
     print("shuffled", written() - before, "of", sum(map(len, texts)))
     assert written() - before < 1.6 * sum(map(len, texts))
+
+
+def test_a_task_has_few_tokens_at_a_time():
+    column = lm.pa.array(["one two three " * 7_000] * 60)
+    runs = [(len(tokens), len(lengths)) for tokens, lengths in lm.tokens_of(lm.each_text(column))]
+    assert sum(n for _, n in runs) == 60 and sum(t for t, _ in runs) == 60 * 21_001
+    assert max(t for t, _ in runs) < 300_000 and lm.Words().most <= 250_000
