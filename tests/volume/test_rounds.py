@@ -251,6 +251,17 @@ def test_slabs_wrap_around(spark, waves, tmp_path):
     assert got == {(r.x, r.y, r.z): r.v for r in pyramid.reconstruct(waves, model, DIMS, config).collect()}
 
 
+def test_calls_decode_several_slabs(spark, waves, tmp_path):
+    config = pyramid.Config(levels=2, base=4, log2_slots=7)
+    model, path = pyramid.fit(waves, DIMS, config), str(tmp_path / "out")
+    count = slabs.slab_count(DIMS[2], 2)
+    firsts = [slabs.decode_next(model, DIMS, config, path, thick=2, voxels=cells.slabs(waves, 2).select("x", "y", "z", "slab"), slabs=3) for _ in range(-(-count // 3) + 1)]
+    assert firsts == [*range(0, count, 3), 0] and slabs.cursor(spark, path) == (len(firsts), 3)
+    got = {(r.x, r.y, r.z, r.slab): r.v for r in slabs.decoded(spark, path).collect()}
+    assert got == {(r.x, r.y, r.z, r.z // 2): r.v for r in pyramid.reconstruct(waves, model, DIMS, config).collect()}
+    assert slabs.slabs_per_call((64, 20, 30_000)) == 819 and slabs.slabs_per_call((2000, 2000, 2000)) == 1 and slabs.slabs_per_call((4, 4, 40)) == 3
+
+
 def test_box_sums_on_a_grid_with_gaps(two):
     gaps = two.filter("(x + 2 * y + 3 * z + t) % 3 > 0").withColumn("v", F.round(F.col("v") * 100).cast("long"))
     there = {(r.t, r.x, r.y, r.z): r.v for r in gaps.collect()}
