@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from gridloom.functions import scalars as S
-from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, lines, pyramid, quality, sampling, scan, shear, slabs
+from gridloom.operators import blocks, brick_sampling, cells, frontier, isosurface, line_bricks, lines, pyramid, quality, sampling, scan, shear, slabs
 from gridloom.sources import raw
 from gridloom.sources.tables import forget, stored
 from gridloom.streaming import fitting, resets, summaries
@@ -132,6 +132,23 @@ def test_bricks_sample_like_the_join(spark, two, size, crowd):
     assert brick_sampling.trilinear_by_bricks(one, two, *DIMS, size=size).count() == 500
 
 
+@pytest.mark.parametrize(("size", "crowd"), [(16, 50), (64, 10**6)])
+def test_lines_are_sampled_in_their_bricks(spark, two, size, crowd):
+    gaps = two.filter("(x + 2 * y + 3 * z + t) % 5 > 0")
+    boxed = lines.box_interval(rays(spark), (0, 0, 0), DIMS)
+    samples = lines.samples_on_lines(lines.cells_on_lines(boxed, DIMS), 0.4)
+    want = {(r.t, r.ray_id, r.k): (r.dist, r.v) for r in sampling.nearest(samples, gaps, *DIMS, unit=False).collect()}
+    found = line_bricks.samples_by_bricks(boxed, gaps, DIMS, 0.4, blend=False, size=size, crowd=crowd)
+    assert {(r.t, r.ray_id, r.k): (r.dist, r.v) for r in found.collect()} == want and len(want) > 100
+    assert line_bricks.pieces_on_lines(boxed, DIMS, size).count() < samples.count() / 5
+
+    live = opaque_cells(gaps, "t").filter("(cx + t) % 2 = 0")
+    kept = lines.samples_on_lines(lines.live_stretches(rays(spark), live, DIMS), 0.4)
+    want = {(r.t, r.ray_id, r.k): round(r.v, 9) for r in sampling.trilinear_by_corners(kept, sampling.corner_table(gaps), DIMS).collect()}
+    found = line_bricks.samples_by_bricks(boxed, gaps, DIMS, 0.4, live, size=size, crowd=crowd)
+    assert {(r.t, r.ray_id, r.k): round(r.v, 9) for r in found.collect()} == want and len(want) > 50
+
+
 def test_scan_in_levels(spark):
     rng = random.Random(2)
     rows = [(t, i, rng.randint(0, 5)) for t in (1, 2) for i in sorted(rng.sample(range(1000), 200))]
