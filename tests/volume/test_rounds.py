@@ -149,6 +149,21 @@ def test_lines_are_sampled_in_their_bricks(spark, two, size, crowd):
     assert {(r.t, r.ray_id, r.k): round(r.v, 9) for r in found.collect()} == want and len(want) > 50
 
 
+def test_shadows_send_no_samples(spark, waves, monkeypatch):
+    lights = spark.createDataFrame(WAYS, "light_id long, x double, y double, z double, intensity double")
+    own, transfer = opaque_cells(waves), lambda v: v * 0.4
+    given = [lines.box_interval(waves.select("x", "y", "z", *[(F.col(a) + 0.5).alias(f"o{a}") for a in "xyz"], *[F.lit(float(w[1 + i])).alias(f"d{a}") for i, a in enumerate("xyz")], F.lit(w[4]).alias("shine")), (0, 0, 0), DIMS) for w in WAYS]
+    lost = {}
+    for each in given:
+        ids = each.withColumn("ray_id", F.struct("x", "y", "z", "shine")).drop("x", "y", "z", "t0", "t1")
+        for r in lines.line_transmittance(lines.march(ids, waves, own, DIMS, transfer, 2.0, adaptive=False), ["ray_id"]).collect():
+            lost[r.ray_id[:3]] = lost.get(r.ray_id[:3], 0.0) + (1 - r.clear) * r.ray_id.shine
+    monkeypatch.setattr(lines, "samples_on_lines", None)
+    got = {(r.x, r.y, r.z): r.light for r in lines.shadow(waves, own, lights, DIMS, transfer, 2.0).collect()}
+    assert len(got) == math.prod(DIMS)
+    assert all(math.isclose(v, sum(w[4] for w in WAYS) - lost.get(k, 0.0), abs_tol=1e-9) for k, v in got.items())
+
+
 def test_scan_in_levels(spark):
     rng = random.Random(2)
     rows = [(t, i, rng.randint(0, 5)) for t in (1, 2) for i in sorted(rng.sample(range(1000), 200))]
