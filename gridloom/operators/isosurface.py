@@ -1,13 +1,16 @@
-"""Isosurfaces by marching cubes: each voxel is sent to the dual cells it is a corner of, one shuffle in all."""
+"""Isosurfaces by marching cubes: each voxel is sent to its brick, and to those whose upper layer it is, one shuffle in all; dual cells are put together there."""
 
 from __future__ import annotations
 
 from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import linear_id, triangle_normal
+from gridloom.operators.brick_sampling import BRICK, brick_voxels
 from gridloom.operators.sampling import steps
 from gridloom.operators.scan import BLOCK, running_sums
 from gridloom.sources.tables import scratch
@@ -51,16 +54,30 @@ def cases_array() -> Column:
     return F.array(*[F.array(*[F.lit(e) for e in case_edges(c)]) if case_edges(c) else F.array().cast("array<int>") for c in range(256)])
 
 
-def corners(voxels: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
+def corners(voxels: DataFrame, nx: int, ny: int, nz: int, size: int = BRICK) -> DataFrame:
     """Dual cells ``x, y, z, cell_id`` (with ``t`` in a series) with their corner values ``f0`` to ``f7``. Cells of a sparse
     grid that lack a corner are left out."""
-    keys = [*steps(voxels), "x", "y", "z"]
-    shifts = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(d).alias(f"d{a}") for a, d in zip("xyz", c, strict=True)]) for k, c in enumerate(CORNERS)])
-    rows = voxels.select(*keys, "v", F.explode(shifts).alias("s"))
-    rows = rows.select(*steps(voxels), *[(F.col(a) - F.col(f"s.d{a}")).alias(a) for a in "xyz"], F.col("s.k").alias("k"), "v")
-    rows = rows.filter(F.col("x").between(0, nx - 2) & F.col("y").between(0, ny - 2) & F.col("z").between(0, nz - 2))
-    cells = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"f{k}") for k in range(8)])
-    return cells.dropna(subset=[f"f{k}" for k in range(8)]).withColumn("cell_id", linear_id(F.col("x"), F.col("y"), F.col("z"), nx - 1, ny - 1))
+    time = steps(voxels)
+    rows = brick_voxels(voxels, size).filter(F.col("v").isNotNull())
+    kinds = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in time], "x int, y int, z int", *[f"f{k} double" for k in range(8)]])
+    cells = rows.groupBy("bx", "by", "bz", *time).applyInArrow(lambda key, found: brick_corners(key, found, size, time), kinds)
+    cells = cells.filter(F.col("x").between(0, nx - 2) & F.col("y").between(0, ny - 2) & F.col("z").between(0, nz - 2))
+    return cells.withColumn("cell_id", linear_id(F.col("x"), F.col("y"), F.col("z"), nx - 1, ny - 1))
+
+
+def brick_corners(key: tuple, voxels: pa.Table, size: int, time: list[str]) -> pa.Table:
+    """The cells of a brick that have all corners."""
+    low = [k.as_py() * size for k in key[:3]]
+    at = tuple(voxels.column(a).to_numpy() - first for a, first in zip("xyz", low, strict=True))
+    values, there = np.full((size + 1,) * 3, -np.inf), np.zeros((size + 1,) * 3, bool)
+    # of a voxel given twice the larger value
+    np.maximum.at(values, at, voxels.column("v").to_numpy())
+    there[at] = True
+    views = [tuple(slice(d, size + d) for d in corner) for corner in CORNERS]
+    cells = np.nonzero(np.logical_and.reduce([there[view] for view in views]))
+    columns = {k: pa.repeat(v, len(cells[0])) for k, v in zip(time, key[3:], strict=True)}
+    columns |= {a: pa.array((i + first).astype(np.int32)) for a, i, first in zip("xyz", cells, low, strict=True)}
+    return pa.table(columns | {f"f{k}": pa.array(values[view][cells]) for k, view in enumerate(views)})
 
 
 def with_case(cells: DataFrame, iso: float) -> DataFrame:
@@ -107,7 +124,8 @@ def triangles(active_cells: DataFrame, iso: float) -> DataFrame:
 def offsets(active_cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """``cell_id, n_verts, first``: the number of vertices in the cells before, for each step (``t``) of a series."""
     keys = steps(active_cells)
-    return running_sums(active_cells.select(*keys, "cell_id", "n_verts"), "cell_id", "n_verts", keys, block)
+    # each level of the sums reads them again
+    return running_sums(kept(active_cells.select(*keys, "cell_id", "n_verts"), "cells"), "cell_id", "n_verts", keys, block)
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:
@@ -122,7 +140,7 @@ def write_obj(points: DataFrame, path: str) -> None:
     (``t=…``), each with a mesh of its own."""
     keys = steps(points)
     points = kept(points, "vertices")
-    counts = kept(points.groupBy(*keys, "cell_id").agg(F.count("*").alias("n_verts")), "counts")
+    counts = points.groupBy(*keys, "cell_id").agg(F.count("*").alias("n_verts"))
     rows = points.join(offsets(counts), [*keys, "cell_id"]).withColumn("vid", F.col("first") + F.col("n"))
     v = rows.select(*keys, F.lit(0).alias("part"), "vid", "vx", "vy", "vz")
     f = rows.filter(F.col("vid") % 3 == 0).select(*keys, F.lit(1).alias("part"), "vid", *[F.lit(None).cast("double").alias(c) for c in ("vx", "vy", "vz")])

@@ -26,17 +26,19 @@ def running_sums(rows: DataFrame, index: str, value: str, keys: list[str] | None
     at most once for the keys)."""
     keys = keys or []
     levels = levels_for(rows.agg(F.max(index)).first()[0], block)
-    at = rows.select(*keys, F.col(index).cast("long").alias("i"), F.col(value).cast("long").alias("s"))
-    sums = [at]
+    sums = [rows.select(*keys, F.col(index).cast("long").alias("i"), F.col(value).cast("long").alias("s"))]
     for _ in range(levels):
         sums.append(sums[-1].groupBy(*keys, F.floor(F.col("i") / F.lit(block)).alias("i")).agg(F.sum("s").alias("s")))
     starts = None
-    for level in reversed(sums):
-        level = level.withColumn("block", F.floor(F.col("i") / F.lit(block)))
-        before = Window.partitionBy(*keys, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-        own = level.withColumn("own", F.coalesce(F.sum("s").over(before), F.lit(0)))
-        if starts is not None:
-            own = own.join(starts, [*keys, "block"]).withColumn("own", F.col("own") + F.col("start"))
-        starts = own.select(*keys, F.col("i").alias("block"), F.col("own").alias("start"))
-    found = starts.withColumnsRenamed({"block": index, "start": "first"})
-    return rows.join(found, [*keys, index])
+    for level in reversed(sums[1:]):
+        starts = within(level.withColumn("block", F.floor(F.col("i") / F.lit(block))), keys, "i", "s", starts)
+        starts = starts.select(*keys, F.col("i").alias("block"), F.col("first").alias("start"))
+    # the rows take their blocks' starts along with their own columns, and are not met again
+    return within(rows.withColumn("block", F.floor(F.col(index) / F.lit(block))), keys, index, value, starts).select(*rows.columns, "first")
+
+
+def within(rows: DataFrame, keys: list[str], index: str, value: str, starts: DataFrame | None) -> DataFrame:
+    """Adds ``first`` to rows with their ``block``: the sum of what is before within the block, and before it."""
+    before = Window.partitionBy(*keys, "block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("first", F.coalesce(F.sum(F.col(value).cast("long")).over(before), F.lit(0)))
+    return own if starts is None else own.join(starts, [*keys, "block"]).withColumn("first", F.col("first") + F.col("start"))

@@ -164,6 +164,24 @@ def test_shadows_send_no_samples(spark, waves, monkeypatch):
     assert all(math.isclose(v, sum(w[4] for w in WAYS) - lost.get(k, 0.0), abs_tol=1e-9) for k, v in got.items())
 
 
+def test_cells_are_put_together_in_bricks(spark, two, monkeypatch):
+    gaps = two.filter("(x + y + z + t) % 7 > 0")
+    there = {(r.t, r.x, r.y, r.z): r.v for r in gaps.collect()}
+    want = {}
+    for t, x, y, z in there:
+        found = [there.get((t, x + a, y + b, z + c)) for a, b, c in isosurface.CORNERS]
+        if None not in found:
+            want[t, x, y, z] = found
+    got = {(r.t, r.x, r.y, r.z): [r[f"f{k}"] for k in range(8)] for r in isosurface.corners(gaps, *DIMS, size=4).collect()}
+    assert got == want and len(want) > 100
+    kept, reads = isosurface.kept, []
+    monkeypatch.setattr(isosurface, "kept", lambda rows, name: reads.append(name) or kept(rows, name))
+    sums = isosurface.offsets(isosurface.active(isosurface.corners(gaps, *DIMS), 0.5), block=8)
+    assert reads == ["cells"]  # the levels read what is kept
+    rows = sorted((r.t, r.cell_id, r.n_verts, r.first) for r in sums.collect())
+    assert all(b[3] == (a[3] + a[2] if a[0] == b[0] else 0) for a, b in zip(rows, rows[1:], strict=False)) and rows[0][3] == 0
+
+
 def test_scan_in_levels(spark):
     rng = random.Random(2)
     rows = [(t, i, rng.randint(0, 5)) for t in (1, 2) for i in sorted(rng.sample(range(1000), 200))]
